@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlens.llm import exact, substring, suffixes
+from ledgerlens.llm import exact, neardup, substring, suffixes
 from ledgerlens.llm.common import documents
 
 
@@ -14,9 +14,13 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digest_of(substring.substring_dedup(documents(spark, sf_dir), 35))
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_dedup(documents(spark, sf_dir))
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.digest_of(suffixes.suffix_dedup(documents(spark, sf_dir), 200))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op4_substring_dedup, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op4_substring_dedup, op6_near_dedup, op10_suffix_dedup)}
 ORACLES = {"op1_exact_dedup": exact.ORACLE}
