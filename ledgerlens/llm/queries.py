@@ -1,8 +1,9 @@
 """The registered queries of the text operators, each over its whole table."""
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlens.llm import exact, neardup, substring, suffixes
+from ledgerlens.llm import exact, neardup, packing, substring, suffixes
 from ledgerlens.llm.common import documents
 
 
@@ -10,6 +11,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(documents(spark, sf_dir))
 
 
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), 2048)
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digest_of(substring.substring_dedup(documents(spark, sf_dir), 35))
 
@@ -22,5 +27,5 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.digest_of(suffixes.suffix_dedup(documents(spark, sf_dir), 200))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op4_substring_dedup, op6_near_dedup, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_best_fit_packing, op4_substring_dedup, op6_near_dedup, op10_suffix_dedup)}
 ORACLES = {"op1_exact_dedup": exact.ORACLE}
