@@ -28,6 +28,9 @@ BASE = 0xD1342543DE82EF95
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Bytes outside ASCII letters and digits, where terms end; bytes of other scripts belong to terms.
+IS_PUNCTUATION = np.ones(256, bool)
+IS_PUNCTUATION[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -110,12 +113,15 @@ def byte_tokens(column: pa.Array) -> Tokens:
     return Tokens(BYTE_HASH[data], offsets, data)
 
 
-def word_tokens(column: pa.Array, lower: bool = False) -> Tokens:
-    """Words: runs of bytes other than space and tab to carriage return."""
-    data, offsets = text_bytes(column, lower)
+def word_tokens(column: pa.Array, lower: bool = False, between: np.ndarray = IS_SPACE) -> Tokens:
+    """Words: runs of bytes other than space and tab to carriage return, or than those of ``between``."""
+    return tokenize(*text_bytes(column, lower), between)
+
+
+def tokenize(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = IS_SPACE) -> Tokens:
     if not len(data):
         return Tokens(np.zeros(0, U), np.zeros(len(offsets), np.int64), data, np.zeros(0, np.int64), np.zeros(0, np.int64))
-    word = ~IS_SPACE[data]
+    word = ~between[data]
     breaks = np.zeros(len(data) + 1, bool)
     breaks[offsets] = True
     before = np.concatenate(([False], word[:-1]))

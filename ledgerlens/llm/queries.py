@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlens.llm import exact, neardup, packing, substring, suffixes
+from ledgerlens.llm import counts, exact, licenses, neardup, packing, substring, suffixes, toxicity
 from ledgerlens.llm.common import documents
 
 
@@ -23,9 +23,21 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_dedup(documents(spark, sf_dir))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(documents(spark, sf_dir))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counts.token_counts(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.digest_of(suffixes.suffix_dedup(documents(spark, sf_dir), 200))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_best_fit_packing, op4_substring_dedup, op6_near_dedup, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_best_fit_packing, op4_substring_dedup, op6_near_dedup, op7_license_scan, op8_toxicity, op9_token_counts, op10_suffix_dedup)}
 ORACLES = {"op1_exact_dedup": exact.ORACLE}
