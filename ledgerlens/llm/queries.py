@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlens.llm import counts, exact, licenses, neardup, packing, substring, suffixes, toxicity
+from ledgerlens.llm import counts, decontam, exact, licenses, neardup, packing, substring, suffixes, toxicity
 from ledgerlens.llm.common import documents
 
 
@@ -19,6 +19,10 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digest_of(substring.substring_dedup(documents(spark, sf_dir), 35))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.decontaminate(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_dedup(documents(spark, sf_dir))
 
@@ -39,5 +43,5 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.digest_of(suffixes.suffix_dedup(documents(spark, sf_dir), 200))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_best_fit_packing, op4_substring_dedup, op6_near_dedup, op7_license_scan, op8_toxicity, op9_token_counts, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_best_fit_packing, op4_substring_dedup, op5_decontamination, op6_near_dedup, op7_license_scan, op8_toxicity, op9_token_counts, op10_suffix_dedup)}
 ORACLES = {"op1_exact_dedup": exact.ORACLE}
