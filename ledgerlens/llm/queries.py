@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlens.llm import counts, decontam, exact, licenses, neardup, packing, substring, suffixes, toxicity
+from ledgerlens.llm import counts, decontam, exact, licenses, neardup, packing, scoring, substring, suffixes, toxicity
 from ledgerlens.llm.common import documents
 
 
@@ -15,6 +15,10 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), 2048)
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.score_documents(documents(spark, sf_dir))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digest_of(substring.substring_dedup(documents(spark, sf_dir), 35))
 
@@ -43,5 +47,5 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.digest_of(suffixes.suffix_dedup(documents(spark, sf_dir), 200))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_best_fit_packing, op4_substring_dedup, op5_decontamination, op6_near_dedup, op7_license_scan, op8_toxicity, op9_token_counts, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_best_fit_packing, op3_lm_scoring, op4_substring_dedup, op5_decontamination, op6_near_dedup, op7_license_scan, op8_toxicity, op9_token_counts, op10_suffix_dedup)}
 ORACLES = {"op1_exact_dedup": exact.ORACLE}
