@@ -123,7 +123,7 @@ def count_batches(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.R
         for part in slices(batch, "text", 1 << 21):
             data, offsets = text_bytes(part.column("text"))
             raw = data.tobytes()
-            split = [raw[a:b].split(b" ") if b > a else [] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+            split = [raw[a + (raw[a : a + 1] == b" ") : b].split(b" ") if b > a else [] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
             each = counter.counts([w for words in split for w in words])
             upto = np.concatenate(([0], np.cumsum(each)))[np.cumsum([0, *map(len, split)])]
             yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "n_bytes": np.diff(offsets), "n_tokens": np.diff(upto)})
@@ -132,8 +132,8 @@ def count_batches(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.R
 def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_bytes, n_tokens``: pieces of the best segmentation of each whole text.
 
-    A text is cut before each space, which becomes the word-start mark; a mark also starts the
-    text; other white space is ordinary. Null and empty texts have no tokens; equal rows are
+    A text is cut before each space, which becomes the word-start mark; a text that doesn't start
+    with a space gets a mark too; other white space is ordinary. Null and empty texts have no tokens; equal rows are
     counted each; further columns are ignored. Ties follow unigram tokenizers exactly: the tests
     compare with such a tokenizer over the same vocabulary.
     """

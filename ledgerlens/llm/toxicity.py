@@ -122,6 +122,14 @@ def scored(batches: Iterator[pa.RecordBatch], weights: np.ndarray, bias: float)
             yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "score": 1 / (1 + np.exp(-np.clip(logit, -35, 35)))})
 
 
+def kept_rows(batches: Iterator[pa.RecordBatch], weights: np.ndarray, bias: float, text_col: str) -> Iterator[pa.RecordBatch]:
+    """Whole rows whose score is below 0.5."""
+    for batch in batches:
+        for part in slices(batch, text_col):
+            place, doc = distinct_places(term_tokens(part.column(text_col)))
+            yield part.filter(pa.array(np.bincount(doc, weights[place], len(part)) + bias < 0))
+
+
 def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[np.ndarray, float]:
     """Fit on at most ``fit_rows`` of ``labels (doc_id, toxic)``; features are made on the executors."""
     chosen = labels.where("toxic IS NOT NULL").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
@@ -146,3 +154,13 @@ def toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, folds
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     out = texts.mapInArrow(partial(scored, weights=weights.astype(np.float32), bias=bias), "doc_id long, score double")
     return out.select("doc_id", (fold == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, folds: int = 5) -> DataFrame:
+    """The rows of ``docs``, all columns, that ``toxicity`` with the same labels predicts 0 for.
+
+    Rows are scored where they are read; nothing is joined or shuffled.
+    """
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds
+    weights, bias = train(docs, labels.where(fold != 0), fit_rows)
+    return docs.mapInArrow(partial(kept_rows, weights=weights.astype(np.float32), bias=bias, text_col="text"), docs.schema)
