@@ -1,8 +1,8 @@
 """All registered queries of the ledger operators."""
 
-from ledgerlens.plans import q_joins, q_profile
+from ledgerlens.plans import q_joins, q_profile, q_quality
 
-MODULES = (q_profile, q_joins)
+MODULES = (q_profile, q_joins, q_quality)
 
 
 def queries() -> dict:
