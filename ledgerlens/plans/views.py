@@ -83,7 +83,7 @@ def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct("l_partkey", "l_suppkey").alias("payload"),
         "l_partkey",
         "l_suppkey",
-        F.col("l_shipdate").alias("at"),
+        F.col("l_shipdate").alias("shipped_at"),
         "l_extendedprice",
         F.col("l_quantity").alias("quantity"),
     )
