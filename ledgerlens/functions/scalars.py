@@ -122,6 +122,6 @@ def normal_two_sided(z: Column) -> Column:
 
 def kolmogorov(d: Column, n1: Column, n2: Column) -> Column:
     """Asymptotic p-value of the two-sample statistic ``d``: 2 * sum of (-1)^(k-1) exp(-2 k^2 x^2)."""
-    x = d * F.sqrt(n1 * n2 / (n1 + n2))
+    x = d * F.sqrt(F.try_divide(n1 * n2, n1 + n2))
     series = reduce(lambda a, b: a + b, [F.exp(-2 * k * k * x * x) * (1 if k % 2 else -1) for k in range(1, 41)])
     return F.when(x < 0.2, 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), 2 * series)))

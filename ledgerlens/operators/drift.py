@@ -26,7 +26,7 @@ def feature_stats(long: DataFrame) -> DataFrame:
     for w, name in ((0, "ref"), (1, "rec")):
         here = F.when(F.col("recent") == w, v)
         rows = F.count_if(F.col("recent") == w)
-        aggs += [F.count(here).alias(f"n_{name}"), F.round(1 - F.count(here) / rows, 6).alias(f"null_{name}"), F.avg(here).alias(f"mean_{name}"), F.stddev_pop(here).alias(f"std_{name}")]
+        aggs += [F.count(here).alias(f"n_{name}"), F.round(1 - F.try_divide(F.count(here), rows), 6).alias(f"null_{name}"), F.avg(here).alias(f"mean_{name}"), F.stddev_pop(here).alias(f"std_{name}")]
     binary = F.coalesce(F.bool_and(v.isin(0.0, 1.0)), F.lit(False))
     return long.groupBy("feature").agg(*aggs, binary.alias("is_binary"))
 
@@ -44,8 +44,8 @@ def psi(long: DataFrame, stats: DataFrame, bins: int = 10, floor: float = 1e-6)
     at = F.size(F.filter("cuts", lambda e: v >= e))
     counts = binned.groupBy("feature", at.alias("bin")).agg(F.count_if(F.col("recent") == 0).alias("a"), F.count_if(F.col("recent") == 1).alias("b"), F.bool_and((F.col("recent") == 0) | (v == F.col("only"))).alias("same"))
     counts = counts.join(F.broadcast(info.select("feature", "n_ref", "n_rec", "flat", F.size("cuts").alias("n_cuts"))), "feature")
-    p = F.greatest(F.col("a") / F.col("n_ref"), F.lit(floor))
-    q = F.greatest(F.col("b") / F.col("n_rec"), F.lit(floor))
+    p = F.greatest(F.try_divide("a", "n_ref"), F.lit(floor))
+    q = F.greatest(F.try_divide("b", "n_rec"), F.lit(floor))
     empty = (F.max("n_cuts") + 1 - F.count("*")) * 0.0  # a bin that neither window has adds nothing
     out = counts.groupBy("feature").agg(
         (F.sum((q - p) * F.ln(q / p)) + empty).alias("raw"), F.max("flat").alias("flat"), F.bool_and("same").alias("same"), F.max("n_ref").alias("n_ref"), F.max("n_rec").alias("n_rec")
@@ -59,16 +59,18 @@ def ks(long: DataFrame) -> DataFrame:
     counts = long.where("value IS NOT NULL").groupBy("feature", "value").agg(F.count_if(F.col("recent") == 0).alias("a"), F.count_if(F.col("recent") == 1).alias("b"))
     run = W.partitionBy("feature").orderBy("value").rowsBetween(W.unboundedPreceding, 0)
     all_ = W.partitionBy("feature")
-    gap = F.abs(F.sum("a").over(run) / F.sum("a").over(all_) - F.sum("b").over(run) / F.sum("b").over(all_))
+    share = lambda c: F.try_divide(F.sum(c).over(run), F.sum(c).over(all_))
+    gap = F.abs(share("a") - share("b"))
     return counts.withColumn("gap", gap).groupBy("feature").agg(F.max("gap").alias("ks"))
 
 
 def z_test(stats: DataFrame) -> DataFrame:
     """Two-proportion z for binary features; no spread gives 0."""
     n1, n2, p1, p2 = (F.col(c) for c in ("n_ref", "n_rec", "mean_ref", "mean_rec"))
-    pooled = (n1 * p1 + n2 * p2) / (n1 + n2)
-    se = F.sqrt(pooled * (1 - pooled) * (1 / n1 + 1 / n2))
-    return stats.where("is_binary").select("feature", F.when(se > 0, (p2 - p1) / se).otherwise(0.0).alias("z"))
+    one = F.lit(1.0)
+    pooled = F.try_divide(n1 * p1 + n2 * p2, n1 + n2)
+    se = F.sqrt(pooled * (1 - pooled) * (F.try_divide(one, n1) + F.try_divide(one, n2)))
+    return stats.where("is_binary").select("feature", F.when(se == 0, 0.0).otherwise((p2 - p1) / se).alias("z"))
 
 
 def bh_adjust(df: DataFrame, p: str = "p_value") -> DataFrame:
@@ -102,7 +104,7 @@ def overall_drift(features: DataFrame) -> DataFrame:
     drifted = F.count_if(F.col("decision") == "drift")
     top = F.slice(F.reverse(F.array_sort(F.collect_list(F.when(F.col("psi").isNotNull(), F.struct("psi", "feature"))))), 1, 5)
     out = features.agg(tested.alias("tested"), drifted.alias("drifted"), top.alias("t"))
-    rate = F.col("drifted") / F.col("tested")
+    rate = F.try_divide("drifted", "tested")
     return out.select("tested", "drifted", F.round(rate, 6).alias("rate"), (rate >= RATE_LIMIT).alias("drift"), F.array_join("t.feature", ",").alias("top"))
 
 
