@@ -95,8 +95,8 @@ class UnigramCounter:
             new = list(dict.fromkeys(words))
         texts = [SPACE + w.decode() for w in new]
         short = [i for i, t in enumerate(texts) if len(t) <= BULK]
-        for at in range(0, len(short), 50_000):
-            some = short[at : at + 50_000]
+        for at in range(0, len(short), 10_000):
+            some = short[at : at + 10_000]
             self.known.update(zip([new[i] for i in some], self.bulk([texts[i] for i in some]).tolist(), strict=True))
         for i in range(len(new)):
             if len(texts[i]) > BULK:

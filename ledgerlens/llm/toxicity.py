@@ -13,7 +13,7 @@ from ledgerlens.llm.hashing import BYTE_HASH, IS_PUNCTUATION, LOWER, U, Tokens,
 #: Weights; a term's place is its hash modulo this.
 PLACES = 1 << 20
 #: Labelled documents that a model is fitted on at most: those with the least hashes of doc_id.
-FIT_ROWS = 20_000
+FIT_ROWS = 8_000
 
 # Terms that name groups, by kind; a term is swapped for each other one of its kind.
 IDENTITIES = {
@@ -137,7 +137,7 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # fit_rows bounds its size
     rows = texts.mapInArrow(features, "doc_id long, toxic int, places binary").toPandas()
     places = [np.frombuffer(x, np.int32) for x in rows["places"]]
-    doc = np.repeat(np.arange(len(places)), [len(x) for x in places])
+    doc = np.repeat(np.arange(len(places), dtype=np.int32), [len(x) for x in places])
     return fit(np.concatenate(places) if places else np.zeros(0, np.int32), doc, rows["toxic"].to_numpy(float))
 
 
