@@ -1,8 +1,6 @@
 """Substring deduplication by words: level-wise doubling."""
 
-import hashlib
 from collections.abc import Iterator
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +19,7 @@ def text_copy(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return bucketed(both, "doc_id", "texts", partitions(spark))
 
 
-def kept_words(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+def kept_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts without the words of repeated windows."""
     for batch in batches:
         for part in slices(batch, "text"):
@@ -62,7 +60,7 @@ def substring_dedup(docs: DataFrame, window: int = 35, id_col: str = "doc_id", t
     if "done_lo" not in candidates.columns:
         candidates = candidates.select("doc_id", F.col("cand_lo").alias("done_lo"), F.col("cand_hi").alias("done_hi"))
     out = "doc_id long, n_words long, n_removed long, kept_text string"
-    return texts.join(candidates.hint("shuffle_hash"), "doc_id", "left").mapInArrow(partial(kept_words, window=window), out)
+    return texts.join(candidates.hint("shuffle_hash"), "doc_id", "left").mapInArrow(kept_words, out)
 
 
 def widened(ranges: DataFrame, size: int, window: int) -> DataFrame:
