@@ -48,4 +48,4 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_best_fit_packing, op3_lm_scoring, op4_substring_dedup, op5_decontamination, op6_near_dedup, op7_license_scan, op8_toxicity, op9_token_counts, op10_suffix_dedup)}
-ORACLES = {"op1_exact_dedup": exact.ORACLE}
+ORACLES = {"op1_exact_dedup": exact.ORACLE, "op4_substring_dedup": substring.ORACLE, "op6_near_dedup": neardup.ORACLE}

@@ -70,3 +70,15 @@ def widened(ranges: DataFrame, size: int, window: int) -> DataFrame:
 
 def digest_of(df: DataFrame) -> DataFrame:
     return df.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+ORACLE = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+t AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS j FROM w),
+p AS (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 33, 1))) AS i FROM w),
+g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY array_to_string(ws[i : i + 34], ' ')) AS n FROM p),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS j FROM g WHERE n > 1)
+SELECT w.doc_id, count(word) AS n_words, count(gone.j) AS n_removed,
+  sha256(coalesce(string_agg(word, ' ' ORDER BY t.j) FILTER (gone.j IS NULL), '')) AS kept_sha256
+FROM w LEFT JOIN t USING (doc_id) LEFT JOIN gone ON gone.doc_id = t.doc_id AND gone.j = t.j GROUP BY w.doc_id
+"""
