@@ -17,6 +17,8 @@ MINIMA, BANDS = 128, 32
 _random = np.random.default_rng(20240607)
 MULTIPLY = _random.integers(0, 1 << 63, MINIMA, dtype=U) * U(2) + U(1)
 ADD = _random.integers(0, 1 << 63, MINIMA, dtype=U)
+#: Turns in which members outside a bucket's largest component are compared with one document of it.
+TURNS = 5
 #: Of the minima, so many must agree before full sets are compared: five standard deviations below 0.75.
 AGREE = int(MINIMA * 0.75 - 5 * (MINIMA * 0.75 * 0.25) ** 0.5)
 
@@ -90,23 +92,55 @@ def full_sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Reco
             yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "shingles": list_array(values.view(np.int64), first, pa.int64())})
 
 
-def verified(pairs: DataFrame, signed: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     """The pairs ``(a, b)`` whose full sets are similar enough; sizes and minima are compared first."""
-    left = signed.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"), F.col("minima").alias("ma"))
-    right = signed.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("minima").alias("mb"))
-    sized = pairs.join(left.drop("ma"), "a").join(right.drop("mb"), "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
+    left = known.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"), F.col("minima").alias("ma"), F.col("shingles").alias("sa"))
+    right = known.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("minima").alias("mb"), F.col("shingles").alias("sb"))
     agree = F.size(F.filter(F.zip_with("ma", "mb", lambda x, y: x == y), lambda x: x))
-    alike = sized.join(left.select("a", "ma"), "a").join(right.select("b", "mb"), "b").where(agree >= AGREE)
-    alike = materialize(alike.select("a", "b", "na", "nb"), "alike")
-    ids = alike.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = docs.join(ids, "doc_id").mapInArrow(partial(full_sets, width=width), "doc_id long, shingles array<long>")
-    sets = materialize(sets, "shingles")
-    both = alike.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a")
-    both = both.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
+    alike = pairs.join(left.drop("sa"), "a").join(right.drop("sb"), "b")
+    alike = alike.where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").where(agree >= AGREE).select("a", "b", "na", "nb")
+    both = alike.join(left.select("a", "sa"), "a").join(right.select("b", "sb"), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     return both.withColumn("common", common).where(f"100 * common >= {percent} * (na + nb - common)").select("a", "b")
 
 
+def merged(named: DataFrame, links: DataFrame) -> DataFrame:
+    """``named (doc_id, component)`` after ``links (a, b)``, which join components, not documents."""
+    ends = links.join(named.select(F.col("doc_id").alias("a"), F.col("component").alias("u")), "a")
+    ends = ends.join(named.select(F.col("doc_id").alias("b"), F.col("component").alias("v")), "b").select("u", "v")
+    moved = components(ends).select(F.col("node").alias("component"), F.col("component").alias("to"))
+    out = named.join(moved, "component", "left").select("doc_id", F.coalesce("to", "component").alias("component"))
+    return materialize(out, "components")
+
+
+def open_buckets(bucket: DataFrame, named: DataFrame, turn: int) -> DataFrame:
+    """Members of buckets that hold several components, with the bucket's largest component
+    (``main``) and a document of it that a hash draws anew each turn (``leader``)."""
+    rows = materialize(bucket.join(named, "doc_id"), "bucket-members")
+    order = F.struct(F.xxhash64("doc_id", "key", F.lit(turn)) if turn else F.lit(0), F.col("doc_id"))
+    sizes = rows.groupBy("key", "component").agg(F.count("*").alias("n"), F.min(F.struct(order.alias("o"), "doc_id")).alias("first"))
+    main = F.max(F.struct("n", (-F.col("component")).alias("c"), F.col("first.doc_id").alias("leader")))
+    found = sizes.groupBy("key").agg(F.count("*").alias("several"), main.alias("m")).where("several > 1")
+    return materialize(rows.join(found.select("key", "m.leader", (-F.col("m.c")).alias("main")), "key"), "open-buckets")
+
+
+def rare_shingles(sets: DataFrame, percent: int) -> DataFrame:
+    """``(key, doc_id)`` by prefix filtering: with the shingles of all sets in one order, any pair at
+    ``percent`` or more shares one of the first n - ceil(percent * n / 100) + 1 of either.
+
+    Rare shingles come first, so documents that have little but a frequent passage in common don't
+    meet. Shingles of one document alone are counted in its prefix but not returned.
+    """
+    rows = materialize(sets.select("doc_id", F.explode("shingles").alias("key")), "shingle-rows")
+    often = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    shared = rows.join(often, "key")
+    alone = sets.select("doc_id", F.size("shingles").alias("size"))
+    own = shared.groupBy("doc_id").agg(F.count("*").alias("n_shared"), F.array_sort(F.collect_list(F.struct("n", "key"))).alias("s"))
+    first = F.expr(f"size - int(ceil({percent} * size / 100)) + 1 - (size - n_shared)")
+    kept = own.join(alone, "doc_id").withColumn("take", first).where("take > 0")
+    return kept.select("doc_id", F.explode(F.expr("slice(s.key, 1, take)")).alias("key"))
+
+
 def near_dedup(docs: DataFrame, width: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Components of near-duplicate documents: ``doc_id, n_shingles, component_id, kept``.
 
@@ -114,11 +148,14 @@ def near_dedup(docs: DataFrame, width: int = 5, percent: int = 75, id_col: str =
     ``width``-word shingles (A-Z lower-cased; a shorter text is one shingle; links are confirmed on
     full sets). component_id is the least doc_id that links reach; that document is kept.
 
-    Equal word sequences are one class from the start. Of a band's bucket every class is compared
-    with the least; only where that leaves several components are members of different ones
-    compared too, so a bucket of one component costs one comparison a member and no link between
-    components is lost. Null, empty and blank texts have no shingles and are linked with nothing.
-    doc_id is taken to be unique; further columns are ignored; an empty table gives no rows.
+    Equal word sequences are one class from the start. Only buckets that still hold several
+    components are worked on: in a turn each member outside the largest component is compared with
+    one document of it, so a turn costs a comparison a member at most and a large group of copies
+    soon is one component. What then shares a bucket but no component is mostly not similar;
+    prefix filtering over full sets settles it exactly: documents that share a rare shingle and are
+    in different components are compared, so that no link between components is lost.
+    Null, empty and blank texts have no shingles and are linked with nothing. doc_id is taken to
+    be unique; further columns are ignored; an empty table gives no rows.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     kind = "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>, minima array<int>"
@@ -129,20 +166,38 @@ def near_dedup(docs: DataFrame, width: int = 5, percent: int = 75, id_col: str =
     reps = signed.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
     signed = materialize(reps.select("doc_id", "n_shingles", "bands", "minima"), "signatures")
     rows = signed.select("doc_id", F.explode("bands").alias("key"))
-    shared = materialize(rows.groupBy("key").agg(F.min("doc_id").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n"), "buckets")
-    bucket = materialize(rows.join(shared, "key"), "bucket-members")
-    pairs = bucket.where("doc_id <> leader").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()
-    links = materialize(verified(pairs, signed, texts, width, percent), "links")
-    found = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    named = bucket.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    named = materialize(named.select("key", "doc_id", "leader", "component"), "bucket-components")
-    several = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
-    split = materialize(named.join(several, "key"), "bucket-split")
-    other = split.select("key", F.col("doc_id").alias("b"), F.col("component").alias("cb"))
-    cross = split.select("key", F.col("doc_id").alias("a"), F.col("component").alias("ca"), "leader").join(other, "key")
-    cross = cross.where("ca < cb AND a <> leader AND b <> leader").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = verified(materialize(cross, "cross"), signed, texts, width, percent)
-    links = materialize(links.unionByName(more), "links")
-    found = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    out = member.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component_id", F.coalesce("component", "rep"))
+    shared = materialize(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "buckets")
+    bucket = materialize(rows.join(shared, "key", "left_semi"), "bucket-members")
+    ids = materialize(bucket.select("doc_id").distinct(), "bucket-ids")
+    sets = texts.join(ids, "doc_id", "left_semi").mapInArrow(partial(full_sets, width=width), "doc_id long, shingles array<long>")
+    known = materialize(signed.drop("bands").join(sets, "doc_id"), "shingles")
+    named = materialize(ids.select("doc_id", F.col("doc_id").alias("component")), "components")
+
+    def lead(bucket: DataFrame, named: DataFrame, turn: int) -> DataFrame:
+        near = open_buckets(bucket, named, turn)
+        pairs = near.where("component <> main").select(F.least("leader", "doc_id").alias("a"), F.greatest("leader", "doc_id").alias("b")).distinct()
+        return merged(named, materialize(verified(pairs, known, percent), "links"))
+
+    for turn in range(TURNS):
+        named = lead(bucket, named, turn)
+    left = open_buckets(bucket, named, TURNS).select("doc_id").distinct()
+    rare = materialize(rare_shingles(known.join(left, "doc_id", "left_semi"), percent), "rare-shingles")
+    named = lead(rare, named, TURNS)
+    near = open_buckets(rare, named, TURNS + 1)
+    outside = near.where("component <> main").select("key", F.col("doc_id").alias("a"), F.col("component").alias("ca"))
+    other = near.select("key", F.col("doc_id").alias("b"), F.col("component").alias("cb"), "main")
+    cross = outside.join(other, "key").where("ca <> cb AND (cb = main OR a < b)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    named = merged(named, materialize(verified(cross, known, percent), "links"))
+    out = member.join(named.withColumnRenamed("doc_id", "rep"), "rep", "left").withColumn("component_id", F.coalesce("component", "rep"))
     return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+
+
+ORACLE = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, CASE WHEN len(ws) < 5 THEN array_to_string(ws, ' ') ELSE array_to_string(ws[i : i + 4], ' ') END AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+l AS (SELECT x.doc_id AS a, y.doc_id AS b FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id JOIN n p ON p.doc_id = x.doc_id JOIN n q ON q.doc_id = y.doc_id
+  GROUP BY x.doc_id, y.doc_id HAVING 100 * count(*) >= 75 * (any_value(p.n) + any_value(q.n) - count(*))),
+r AS (SELECT doc_id AS node, doc_id AS seen FROM w UNION SELECT r.node, l.b FROM r JOIN l ON l.a = r.seen)
+SELECT w.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(seen) AS component_id, min(seen) = w.doc_id AS kept FROM w LEFT JOIN n USING (doc_id) JOIN r ON r.node = w.doc_id GROUP BY w.doc_id
+"""
