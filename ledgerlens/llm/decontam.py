@@ -93,15 +93,14 @@ class Cells:
         return out
 
 
-def count_cells(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """In how many cells each term occurs; term -1 has the number of cells."""
-    df, cells = np.zeros(size, np.int64), 0
+def count_terms(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """How often each term occurs; term -1 has the number of cells."""
+    total, cells = np.zeros(size, np.int64), 0
     for batch in batches:
-        own = Cells(batch)
-        df += np.bincount(own.distinct()[1], minlength=size)
-        cells += int(own.first[-1])
-    at = np.flatnonzero(df)
-    yield pa.RecordBatch.from_pydict({"term": np.append(at, -1).astype(np.int32), "df": np.append(df[at], cells)})
+        total += np.bincount(batch.column("term").flatten().to_numpy(zero_copy_only=False), minlength=size)
+        cells += int((-(-batch.column("n_terms").to_numpy(zero_copy_only=False) // CELL)).sum())
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_pydict({"term": np.append(at, -1).astype(np.int32), "n": np.append(total[at], cells)})
 
 
 def sketch(batches: Iterator[pa.RecordBatch], idf: np.ndarray, random: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -138,8 +137,10 @@ def search(batches: Iterator[pa.RecordBatch], items: Items, idf: np.ndarray, bas
     """Passages near an item in the latent space that also pass both order checks."""
     space = (idf[:, None] * basis).astype(np.float32)
     queries = np.stack([space[np.unique(r)].sum(0) for r in items.runs])
-    norm = np.linalg.norm(queries, axis=1, keepdims=True)
-    queries = queries / np.maximum(norm, 1e-9)
+    norm = np.maximum(np.linalg.norm(queries, axis=1), 1e-9)
+    queries = queries / norm[:, None]
+    # what a passage must have of an item's weight: a quarter, or half of what fits for long items
+    part = np.minimum(0.25, CELL / np.array([len(r) for r in items.runs])) * norm
     for batch in batches:
         rows: dict[tuple[int, int], tuple] = {}
         ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
@@ -151,10 +152,11 @@ def search(batches: Iterator[pa.RecordBatch], items: Items, idf: np.ndarray, bas
             passage = cells.passages(cells.sums(cell, space[term]))
             length = np.linalg.norm(passage, axis=1)
             some = np.flatnonzero(length > 0)
-            near = (passage[some] @ queries.T) / length[some, None]
-            p, q = np.nonzero(near >= cosine)
+            near = passage[some] @ queries.T
+            p, q = np.nonzero((near >= part) & (near >= cosine * length[some, None]))
+            value = near[p, q] / length[some[p]]
             upto = np.concatenate(([0], np.cumsum(cells.count)))
-            for c, j, value in zip(some[p].tolist(), q.tolist(), near[p, q].tolist(), strict=True):
+            for c, j, cos in zip(some[p].tolist(), q.tolist(), value.tolist(), strict=True):
                 run, d = items.runs[j], int(cells.doc[c])
                 start = (c - int(cells.first[d])) * CELL
                 place = cells.place[upto[d] : upto[d + 1]]
@@ -167,7 +169,7 @@ def search(batches: Iterator[pa.RecordBatch], items: Items, idf: np.ndarray, bas
                 if share < least or lcs(answer, text) < least * len(answer):
                     continue
                 key = (int(ids[at + d]), items.ids[j])
-                rows[key] = max(rows.get(key, (-1.0,)), (share, value, start))
+                rows[key] = max(rows.get(key, (-1.0,)), (share, cos, start))
         if rows:
             docs, names = zip(*rows, strict=True)
             share, value, start = zip(*rows.values(), strict=True)
@@ -195,11 +197,11 @@ def search_block(texts: DataFrame, items: Items, cosine: float, least: float, st
     size = len(items.vocabulary)
     kind = "doc_id long, n_terms long, place array<int>, term array<int>"
     known = materialize(texts.mapInArrow(partial(known_terms, vocabulary=items.vocabulary), kind), "known-terms")
-    counted = known.drop("doc_id").mapInArrow(partial(count_cells, size=size), "term int, df long")
-    df = {r["term"]: r["df"] for r in counted.groupBy("term").agg(F.sum("df").alias("df")).collect()}
-    cells = df.pop(-1, 0)
-    share = np.zeros(size)
-    share[list(df)] = np.array(list(df.values())) / max(cells, 1)
+    counted = known.drop("doc_id").mapInArrow(partial(count_terms, size=size), "term int, n long")
+    total = {r["term"]: r["n"] for r in counted.groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    cells = total.pop(-1, 0)
+    share = np.zeros(size)  # occurrences in a cell, on average
+    share[list(total)] = np.array(list(total.values())) / max(cells, 1)
     idf = np.log(1 + 1 / np.maximum(share, 1 / max(cells, 1)))
     stop = share > stop_share
     for run in items.runs:  # an item of common terms alone keeps its rarest
@@ -221,8 +223,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.4, le
 
     Latent semantic retrieval: passages of 48 terms (letters and digits, A-Z lower-cased) are rows
     of a TF-IDF matrix over the items' terms, with statistics from all passages; a randomised SVD
-    gives the latent space. A passage whose cosine with an item is ``cosine`` or more is checked in
-    order: the longest common subsequence with the item, and with its last quarter (the answer),
+    gives the latent space. A passage whose cosine with an item is ``cosine`` or more, and that holds
+    a quarter of the item's weight (less for items that a passage can't hold), is checked in order: the longest common subsequence with the item, and with its last quarter (the answer),
     must cover a share ``least``. Items go in blocks of 256, so nothing broadcast grows with the
     tables; the driver holds the statistics of a block's terms only.
 
