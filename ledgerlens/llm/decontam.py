@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import materialize
-from ledgerlens.llm.hashing import IS_PUNCTUATION, slices, word_tokens
+from ledgerlens.llm.hashing import IS_PUNCTUATION, slices, text_bytes, tokenize
 
 #: Benchmark items that one search takes; more are searched block after block.
 BLOCK = 256
@@ -21,7 +21,15 @@ DIRECTIONS, SKETCH = 48, 56
 
 
 def terms_of(column: pa.Array):
-    return word_tokens(column, lower=True, between=IS_PUNCTUATION)
+    """Terms of texts; in scripts without spaces (Han, kana, Thai, Lao) each character is one."""
+    data, offsets = text_bytes(column, lower=True)
+    after = np.append(data[1:], 0).astype(data.dtype)
+    lone = ((data >= 0xE3) & (data <= 0xE9)) | (data == 0xF0) | ((data == 0xE0) & (after >= 0xB8) & (after <= 0xBB))
+    if lone.any():
+        at = np.flatnonzero(lone)
+        cut = np.unique(np.concatenate((at, at + 3 + (data[at] == 0xF0))))
+        data, offsets = np.insert(data, cut, 32), offsets + np.searchsorted(cut, offsets)
+    return tokenize(data, offsets, IS_PUNCTUATION)
 
 
 class Items:
@@ -238,12 +246,24 @@ class Bound:
             yield p, own[q]
 
 
+def exact_runs(cells: Cells, run: np.ndarray) -> np.ndarray:
+    """Where the terms of ``run`` stand one after another, as indices into the cells' terms."""
+    doc = np.repeat(np.arange(len(cells.count)), cells.count)
+    at = np.flatnonzero(cells.term == run[0])
+    for k in range(1, len(run)):
+        at = at[at + k < len(cells.term)]
+        to = at + k
+        at = at[(cells.term[to] == run[k]) & (cells.place[to] == cells.place[at] + k) & (doc[to] == doc[at])]
+    return at
+
+
 def search(batches: Iterator[pa.RecordBatch], items: Items, idf: np.ndarray, basis: np.ndarray, cosine: float, least: float, least_terms: int) -> Iterator[pa.RecordBatch]:
     """Passages that may have an item, checked in order and in the latent space."""
     space = (idf[:, None] * basis).astype(np.float32)
     queries = np.stack([space[np.unique(r)].sum(0) for r in items.runs])
     queries /= np.maximum(np.linalg.norm(queries, axis=1), 1e-9)[:, None]
     long = [j for j, r in enumerate(items.runs) if len(r) >= least_terms]
+    short = [j for j, r in enumerate(items.runs) if len(r) < least_terms]
     need = np.array([int(np.ceil(least * len(items.runs[j]) - 1e-9)) for j in long])
     bound = Bound([items.runs[j] for j in long], len(idf)) if long else None
     orders = [Order(r) for r in items.runs]
@@ -268,6 +288,10 @@ def search(batches: Iterator[pa.RecordBatch], items: Items, idf: np.ndarray, bas
                 key = (int(ids[at + int(cells.doc[c])]), items.ids[j])
                 rows[key] = max(rows.get(key, (-1.0,)), (share, value, start))
 
+            for j in short:
+                for i in exact_runs(cells, items.runs[j]).tolist():
+                    c = int(cells.cell[i])
+                    keep(c, j, 1.0, near(c, j), int(cells.place[i]))
             ahead = np.repeat(np.arange(len(cells.count), dtype=np.int64) << 32, cells.count) + cells.place
             for p, q in bound.candidates(cells, need) if bound else ():
                 d, n = cells.doc[p], many.n[q]
@@ -279,10 +303,10 @@ def search(batches: Iterator[pa.RecordBatch], items: Items, idf: np.ndarray, bas
                     c, j, length, start = int(p[i]), long[q[i]], int(n[i]), int(begin[i])
                     place, text = cells.place[a[i] : b[i]].tolist(), cells.term[a[i] : b[i]].tolist()
                     value = near(c, j)
-                    if answers[j].lcs(text) < least * answers[j].n:
-                        continue
-                    if value < cosine and not orders[j].within(place, text, int(np.ceil(length / least)), int(need[q[i]])):
-                        continue
+                    if not orders[j].within(place, text, int(np.ceil(length / least)), int(need[q[i]])):
+                        # scattered terms are weak evidence: the passage must be near, and have most of the item or its end
+                        if value < cosine or (found[i] < 0.75 * length and answers[j].lcs(text) < least * answers[j].n):
+                            continue
                     keep(c, j, int(found[i]) / length, value, start)
         if rows:
             docs, names = zip(*rows, strict=True)
@@ -331,9 +355,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.4, le
 
     A document is found if its window around a passage has a share ``least`` of an item's terms in
     order (longest common subsequence), either within 1 / ``least`` times the item's length or, where
-    they are scattered further, with a latent cosine of ``cosine``; and its last quarter (the answer)
-    likewise. Windows that don't have so many of the item's terms, order aside, are the only ones not
-    checked. Items of fewer than ``least_terms`` terms aren't searched for.
+    they are scattered further, with a latent cosine of ``cosine`` and three quarters of the item or
+    its last quarter (the answer). Windows that don't have so many of the item's terms, order aside,
+    are the only ones not checked. Items of fewer than ``least_terms`` terms are found where all of
+    their terms stand one after another.
 
     The latent space is that of a TF-IDF matrix of passages of 48 terms (letters and digits, A-Z
     lower-cased) over the items' terms: directions of a randomised SVD with statistics of all

@@ -29,6 +29,18 @@ def test_repeats_in_one_document_leave_other_leaks(leaks):
     assert leaks([item], [" ".join([f"rare{i % 12} x{i}" for i in range(3000)]), f"{FILL} {item} {FILL}", FILL]) >= {(1, 0)}
 
 
+def test_most_of_an_item_without_its_end(leaks):
+    words = [f"word{i}" for i in range(40)]
+    first, reworded = words[:30], words[:30] + [f"new{i}" for i in range(10)]
+    texts = [f"{FILL} {' '.join(x)} {FILL}" for x in (first, reworded, words[:20], words)] + [FILL]
+    assert leaks([" ".join(words)], texts) == {(0, 0), (1, 0), (3, 0)}
+
+
+def test_short_items(leaks):
+    texts = ["so Paris, France it is", "France and Paris", "parisfrance", "何も無い", "前に東京都庁が在る", "Paris", None, ""]
+    assert leaks(["Paris France", "東京都庁", "?!", ""], texts) == {(0, 0), (4, 1)}
+
+
 def test_longest_common_subsequence():
     import numpy as np
 
