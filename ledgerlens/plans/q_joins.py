@@ -111,6 +111,13 @@ def warm_up_rows(spark, sf_dir):
     return jn.touching(e, e.where("step >= 700 AND event_id % 7 = 0")).select("event_id", "step")
 
 
+@query(f"""WITH {EVT}, live AS (SELECT * FROM evt WHERE step >= 700), f AS (SELECT step AS s, event_id AS i FROM live ORDER BY step, event_id LIMIT 1)
+SELECT event_id, step FROM evt, f WHERE (step < s OR (step = s AND event_id < i)) AND (sender IN (SELECT sender FROM live) OR dest IN (SELECT dest FROM live))""")
+def warm_up_rows_all(spark, sf_dir):
+    e = evt(spark, sf_dir)
+    return jn.touching(e, e.where("step >= 700")).select("event_id", "step")
+
+
 @query(f"WITH {ORD} SELECT event_id, amount, type FROM ord ORDER BY amount DESC, event_id LIMIT 25")
 def top_amounts(spark, sf_dir):
     return ords(spark, sf_dir).select("event_id", "amount", "type").orderBy(F.desc("amount"), "event_id").limit(25)

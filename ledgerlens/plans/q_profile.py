@@ -113,6 +113,16 @@ def history_as_of(spark, sf_dir):
     return out.withColumns({"prev_total": F.round("prev_total", 4), "prev_mean": cut("prev_mean")})
 
 
+@query(f"""WITH {EVT}
+SELECT p.event_id AS probe_id, p.sender, p.step, count(e.amount) AS prev_count, round(coalesce(sum(e.amount), 0), 4) AS prev_total, {cut_sql('avg(e.amount)')} AS prev_mean, max(e.amount) AS prev_max,
+p.step - max(e.step) AS hours_since_prev, CASE WHEN count(e.amount) > 0 THEN 'prior_transactions' ELSE 'no_prior_transactions' END AS status
+FROM evt p LEFT JOIN evt e ON e.sender = p.sender AND e.step <= p.step GROUP BY p.event_id, p.sender, p.step""")
+def history_as_of_all(spark, sf_dir):
+    e = evt(spark, sf_dir)
+    out = ft.history_as_of(e, e.select(F.col("event_id").alias("probe_id"), "sender", "step"))
+    return out.withColumns({"prev_total": F.round("prev_total", 4), "prev_mean": cut("prev_mean")})
+
+
 COLS = ("event_id", "step", "type", "amount", "sender", "dest", "label")
 
 
