@@ -10,17 +10,15 @@ from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import materialize
 from ledgerlens.llm.components import components
-from ledgerlens.llm.hashing import U, Tokens, gram_hash, mix, pair_hash, prefix_sums, slices, span_hash, word_tokens
+from ledgerlens.llm.hashing import U, Tokens, gram_hash, mix, pair_hash, placed_hash, run_hash, slices, word_tokens
 
 #: Minima and bands of four of them: a pair at similarity 0.75 meets in no band with probability 5e-6.
 MINIMA, BANDS = 128, 32
 _random = np.random.default_rng(20240607)
 MULTIPLY = _random.integers(0, 1 << 63, MINIMA, dtype=U) * U(2) + U(1)
 ADD = _random.integers(0, 1 << 63, MINIMA, dtype=U)
-#: Turns in which members outside a bucket's largest component are compared with one document of it.
-TURNS = 5
-#: Of the minima, so many must agree before full sets are compared: five standard deviations below 0.75.
-AGREE = int(MINIMA * 0.75 - 5 * (MINIMA * 0.75 * 0.25) ** 0.5)
+#: Turns in which members of a bucket are compared with one document of it, before the rest is settled exactly.
+TURNS = 2
 
 
 def shingle_sets(tokens: Tokens, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -36,7 +34,7 @@ def shingle_sets(tokens: Tokens, width: int) -> tuple[np.ndarray, np.ndarray]:
         values, owner = np.zeros(0, U), np.zeros(0, np.int64)
     short = np.flatnonzero((counts > 0) & (counts < width))
     if len(short):
-        values = np.concatenate((values, span_hash(prefix_sums(tokens.values), first[short], first[short + 1])))
+        values = np.concatenate((values, run_hash(tokens.values, first[short], first[short + 1])))
         owner = np.concatenate((owner, short))
     order = np.lexsort((values, owner))
     values, owner = values[order], owner[order]
@@ -70,8 +68,8 @@ def signatures(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Rec
             bands = np.repeat(mix(np.arange(1, BANDS + 1, dtype=U))[None, :], len(least), 0)
             for i in range(rows):
                 bands = pair_hash(bands, least[:, i::rows])
-            whole = span_hash(prefix_sums(tokens.values), tokens.first[:-1], tokens.first[1:])
-            other = span_hash(prefix_sums(mix(tokens.values + U(7))), tokens.first[:-1], tokens.first[1:])
+            whole = placed_hash(tokens.values, tokens.first)
+            other = placed_hash(tokens.other(), tokens.first, 1)
             has = np.concatenate(([0], np.cumsum(np.diff(first) > 0)))
             yield pa.RecordBatch.from_pydict(
                 {
@@ -80,7 +78,6 @@ def signatures(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Rec
                     "h1": whole.view(np.int64),
                     "h2": other.view(np.int64),
                     "bands": list_array(bands.reshape(-1).view(np.int64), has * BANDS, pa.int64()),
-                    "minima": list_array((least >> U(32)).astype(np.uint32).view(np.int32).reshape(-1), has * MINIMA, pa.int32()),
                 }
             )
 
@@ -93,52 +90,75 @@ def full_sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Reco
 
 
 def verified(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``(a, b)`` whose full sets are similar enough; sizes and minima are compared first."""
-    left = known.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"), F.col("minima").alias("ma"), F.col("shingles").alias("sa"))
-    right = known.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("minima").alias("mb"), F.col("shingles").alias("sb"))
-    agree = F.size(F.filter(F.zip_with("ma", "mb", lambda x, y: x == y), lambda x: x))
+    """The pairs ``(a, b)`` whose full sets are similar enough; sizes are compared first."""
+    left = known.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"), F.col("shingles").alias("sa"))
+    right = known.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("shingles").alias("sb"))
     alike = pairs.join(left.drop("sa"), "a").join(right.drop("sb"), "b")
-    alike = alike.where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").where(agree >= AGREE).select("a", "b", "na", "nb")
+    alike = alike.where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
     both = alike.join(left.select("a", "sa"), "a").join(right.select("b", "sb"), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     return both.withColumn("common", common).where(f"100 * common >= {percent} * (na + nb - common)").select("a", "b")
 
 
 def merged(named: DataFrame, links: DataFrame) -> DataFrame:
-    """``named (doc_id, component)`` after ``links (a, b)``, which join components, not documents."""
+    """``named (doc_id, component, central)`` after ``links (a, b)``, which join components, not documents."""
     ends = links.join(named.select(F.col("doc_id").alias("a"), F.col("component").alias("u")), "a")
     ends = ends.join(named.select(F.col("doc_id").alias("b"), F.col("component").alias("v")), "b").select("u", "v")
     moved = components(ends).select(F.col("node").alias("component"), F.col("component").alias("to"))
-    out = named.join(moved, "component", "left").select("doc_id", F.coalesce("to", "component").alias("component"))
+    out = named.join(moved, "component", "left").select("doc_id", F.coalesce("to", "component").alias("component"), "central")
     return materialize(out, "components")
 
 
-def open_buckets(bucket: DataFrame, named: DataFrame, turn: int) -> DataFrame:
+def open_buckets(bucket: DataFrame, named: DataFrame) -> DataFrame:
     """Members of buckets that hold several components, with the bucket's largest component
-    (``main``) and a document of it that a hash draws anew each turn (``leader``)."""
-    rows = materialize(bucket.join(named, "doc_id"), "bucket-members")
-    order = F.struct(F.xxhash64("doc_id", "key", F.lit(turn)) if turn else F.lit(0), F.col("doc_id"))
-    sizes = rows.groupBy("key", "component").agg(F.count("*").alias("n"), F.min(F.struct(order.alias("o"), "doc_id")).alias("first"))
-    main = F.max(F.struct("n", (-F.col("component")).alias("c"), F.col("first.doc_id").alias("leader")))
-    found = sizes.groupBy("key").agg(F.count("*").alias("several"), main.alias("m")).where("several > 1")
-    return materialize(rows.join(found.select("key", "m.leader", (-F.col("m.c")).alias("main")), "key"), "open-buckets")
+    (``main``) and the most central of the documents outside it (``leader``)."""
+    rows = bucket.join(named, "doc_id")
+    sizes = rows.groupBy("key", "component").agg(F.count("*").alias("n"), F.max(F.struct("central", "doc_id")).alias("best"))
+    main = F.max(F.struct("n", "best")).alias("m")
+    several = sizes.groupBy("key").agg(F.count("*").alias("several"), main).where("several > 1")
+    others = sizes.join(several.select("key", "m"), "key").where("best <> m.best")
+    leader = others.groupBy("key").agg(F.max("best.doc_id").alias("any"), F.max("best").alias("best"), F.first("m.best.doc_id").alias("main_doc"), F.max("m.n").alias("n"))
+    # while all are alone, the most central of all leads
+    lead = leader.select("key", F.when(F.col("n") == 1, F.col("main_doc")).otherwise(F.col("best.doc_id")).alias("leader"))
+    return rows.join(lead, "key")
 
 
 def rare_shingles(sets: DataFrame, percent: int) -> DataFrame:
-    """``(key, doc_id)`` by prefix filtering: with the shingles of all sets in one order, any pair at
-    ``percent`` or more shares one of the first n - ceil(percent * n / 100) + 1 of either.
+    """``(key, doc_id, size, rest)`` by prefix filtering: with the shingles of all sets in one order, any
+    pair at ``percent`` or more shares one of the first n - ceil(percent * n / 100) + 1 of either.
 
     Rare shingles come first, so documents that have little but a frequent passage in common don't
-    meet. Shingles of one document alone are counted in its prefix but not returned.
+    meet. Shingles of one document alone come before all others and aren't returned; ``rest`` is the
+    number of shingles from this one on.
     """
     rows = materialize(sets.select("doc_id", F.explode("shingles").alias("key")), "shingle-rows")
     often = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     shared = rows.join(often, "key")
     alone = sets.select("doc_id", F.size("shingles").alias("size"))
-    own = shared.groupBy("doc_id").agg(F.count("*").alias("n_shared"), F.array_sort(F.collect_list(F.struct("n", "key"))).alias("s"))
-    first = F.expr(f"size - int(ceil({percent} * size / 100)) + 1 - (size - n_shared)")
+    own = shared.groupBy("doc_id").agg(F.count("*").cast("int").alias("shared"), F.array_sort(F.collect_list(F.struct("n", "key"))).alias("s"))
+    first = F.expr(f"size - int(ceil({percent} * size / 100)) + 1 - (size - shared)")
     kept = own.join(alone, "doc_id").withColumn("take", first).where("take > 0")
-    return kept.select("doc_id", F.explode(F.expr("slice(s.key, 1, take)")).alias("key"))
+    prefix = kept.select("doc_id", "size", "shared", F.posexplode(F.expr("slice(s.key, 1, take)")).alias("at", "key"))
+    return prefix.select("doc_id", "size", "key", (F.col("shared") - F.col("at")).alias("rest"))
+
+
+def across(rare: DataFrame, named: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``(a, b)`` of different components that share a rare shingle and may be similar enough.
+
+    From the first shingle that two sets share, neither has more in common with the other than what
+    it has from there on. That bound is applied to a member and the bucket's least size first, so
+    members that can link with nothing there aren't paired at all; then to each pair.
+    """
+    rows = materialize(rare.join(named.select("doc_id", "component"), "doc_id"), "rare-members")
+    sizes = rows.groupBy("key", "component").agg(F.count("*").alias("n"), F.min("size").alias("least_size"), F.max("rest").alias("most"))
+    main = F.max(F.struct("n", "component")).alias("m")
+    least = sizes.groupBy("key").agg(F.count("*").alias("several"), main, F.min("least_size").alias("least_size"), F.max("most").alias("most")).where("several > 1")
+    near = rows.join(least.select("key", F.col("m.component").alias("main"), "least_size", "most"), "key")
+    near = near.where(f"{100 + percent} * least(rest, most) >= {percent} * (size + least_size)")
+    outside = near.where("component <> main").select("key", F.col("doc_id").alias("a"), F.col("component").alias("ca"), F.col("size").alias("na"), F.col("rest").alias("ra"))
+    other = near.select("key", F.col("doc_id").alias("b"), F.col("component").alias("cb"), F.col("size").alias("nb"), F.col("rest").alias("rb"), "main")
+    cross = outside.join(other, "key").where("ca <> cb AND (cb = main OR a < b)").where(f"{100 + percent} * least(ra, rb) >= {percent} * (na + nb)")
+    return cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_dedup(docs: DataFrame, width: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -148,47 +168,43 @@ def near_dedup(docs: DataFrame, width: int = 5, percent: int = 75, id_col: str =
     ``width``-word shingles (A-Z lower-cased; a shorter text is one shingle; links are confirmed on
     full sets). component_id is the least doc_id that links reach; that document is kept.
 
-    Equal word sequences are one class from the start. Only buckets that still hold several
-    components are worked on: in a turn each member outside the largest component is compared with
-    one document of it, so a turn costs a comparison a member at most and a large group of copies
-    soon is one component. What then shares a bucket but no component is mostly not similar;
-    prefix filtering over full sets settles it exactly: documents that share a rare shingle and are
-    in different components are compared, so that no link between components is lost.
-    Null, empty and blank texts have no shingles and are linked with nothing. doc_id is taken to
-    be unique; further columns are ignored; an empty table gives no rows.
+    Equal word sequences (two hashes, 128 bits) are one class from the start. A document is central
+    if its buckets have many members: the text that copies were made from meets all of them, while
+    copies meet each other less. In a turn each member of a bucket with several components is
+    compared with one central document, so a turn costs a comparison a member and a large group of
+    copies is one component after the first. What then shares a bucket but no component is mostly
+    not similar; prefix filtering over full sets settles it exactly: documents in different components
+    that share a rare shingle, early enough in both sets, are compared, so no link between documents
+    that share a bucket is lost.
+
+    Null, empty and blank texts have no shingles and are linked with nothing. Rows that repeat a
+    doc_id are one document with the shingles of all of them; further columns are ignored; an empty
+    table gives no rows.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    kind = "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>, minima array<int>"
+    kind = "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>"
     signed = materialize(texts.mapInArrow(partial(signatures, width=width), kind), "signatures")
     classes = materialize(signed.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")), "classes")
     member = signed.select("doc_id", "n_shingles", "h1", "h2").join(classes, ["h1", "h2"], "left")
     member = materialize(member.select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")), "members")
     reps = signed.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    signed = materialize(reps.select("doc_id", "n_shingles", "bands", "minima"), "signatures")
-    rows = signed.select("doc_id", F.explode("bands").alias("key"))
-    shared = materialize(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "buckets")
-    bucket = materialize(rows.join(shared, "key", "left_semi"), "bucket-members")
-    ids = materialize(bucket.select("doc_id").distinct(), "bucket-ids")
-    sets = texts.join(ids, "doc_id", "left_semi").mapInArrow(partial(full_sets, width=width), "doc_id long, shingles array<long>")
-    known = materialize(signed.drop("bands").join(sets, "doc_id"), "shingles")
-    named = materialize(ids.select("doc_id", F.col("doc_id").alias("component")), "components")
-
-    def lead(bucket: DataFrame, named: DataFrame, turn: int) -> DataFrame:
-        near = open_buckets(bucket, named, turn)
-        pairs = near.where("component <> main").select(F.least("leader", "doc_id").alias("a"), F.greatest("leader", "doc_id").alias("b")).distinct()
-        return merged(named, materialize(verified(pairs, known, percent), "links"))
-
-    for turn in range(TURNS):
-        named = lead(bucket, named, turn)
-    left = open_buckets(bucket, named, TURNS).select("doc_id").distinct()
-    rare = materialize(rare_shingles(known.join(left, "doc_id", "left_semi"), percent), "rare-shingles")
-    named = lead(rare, named, TURNS)
-    near = open_buckets(rare, named, TURNS + 1)
-    outside = near.where("component <> main").select("key", F.col("doc_id").alias("a"), F.col("component").alias("ca"))
-    other = near.select("key", F.col("doc_id").alias("b"), F.col("component").alias("cb"), "main")
-    cross = outside.join(other, "key").where("ca <> cb AND (cb = main OR a < b)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    rows = materialize(reps.select("doc_id", "n_shingles", F.explode("bands").alias("key")), "band-rows")
+    shared = materialize(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
+    bucket = materialize(rows.join(shared, "key"), "bucket-members")
+    named = bucket.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"), F.sum("n").alias("central"))
+    named = materialize(named.withColumn("component", F.col("doc_id")), "components")
+    sets = texts.join(named.select("doc_id"), "doc_id", "left_semi").mapInArrow(partial(full_sets, width=width), "doc_id long, shingles array<long>")
+    known = materialize(named.select("doc_id", "n_shingles").join(sets, "doc_id"), "shingles")
+    bucket, named = bucket.select("doc_id", "key"), named.select("doc_id", "component", "central")
+    for _ in range(TURNS):
+        near = open_buckets(bucket, named).where("doc_id <> leader")
+        pairs = near.select(F.least("leader", "doc_id").alias("a"), F.greatest("leader", "doc_id").alias("b")).distinct()
+        named = merged(named, materialize(verified(pairs, known, percent), "links"))
+    left = open_buckets(bucket, named).select("doc_id").distinct()
+    rare = rare_shingles(known.join(left, "doc_id", "left_semi"), percent)
+    cross = materialize(across(rare, named, percent), "pairs")
     named = merged(named, materialize(verified(cross, known, percent), "links"))
-    out = member.join(named.withColumnRenamed("doc_id", "rep"), "rep", "left").withColumn("component_id", F.coalesce("component", "rep"))
+    out = member.join(named.select(F.col("doc_id").alias("rep"), "component"), "rep", "left").withColumn("component_id", F.coalesce("component", "rep"))
     return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 

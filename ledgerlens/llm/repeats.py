@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.hashing import U, Tokens, byte_tokens, gram_hash, mix, prefix_sums, slices, span_hash, word_tokens
+from ledgerlens.llm.hashing import U, Tokens, byte_tokens, gram_hash, mix, slices, word_tokens
 
 PROBE = "key long, n int, doc_id long, lo int, hi int"
 #: Probes that a task gathers before it joins equal keys and sends them on.

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.hashing import BYTE_HASH, IS_PUNCTUATION, LOWER, U, Tokens, pair_hash, prefix_sums, slices, span_hash, tokenize, word_tokens
+from ledgerlens.llm.hashing import IS_PUNCTUATION, LOWER, U, Tokens, pair_hash, slices, tokenize, word_hash, word_tokens
 
 #: Weights; a term's place is its hash modulo this.
 PLACES = 1 << 20
@@ -42,11 +42,10 @@ def distinct_places(tokens: Tokens) -> tuple[np.ndarray, np.ndarray]:
     doc = np.repeat(np.arange(len(tokens.first) - 1, dtype=np.int64), np.diff(tokens.first)) * PLACES
     keys = [doc + (tokens.values % U(PLACES)).astype(np.int64)]
     if len(doc):
-        sums = prefix_sums(BYTE_HASH[tokens.data])
         for n in STEMS:
             longer = tokens.end - tokens.start > n
             start = tokens.start[longer]
-            stem = pair_hash(span_hash(sums, start, start + n), np.full(1, 7, U))
+            stem = pair_hash(word_hash(tokens.data, start, start + n), np.full(1, 7, U))
             keys.append(doc[longer] + (stem % U(PLACES)).astype(np.int64))
     both = np.unique(np.concatenate(keys))
     return both % PLACES, both // PLACES
