@@ -266,12 +266,25 @@ def test_toxicity_finds_insults_and_spares_groups(spark):
     out = {r["doc_id"]: r for r in toxicity.toxicity(df.drop("toxic"), df.select("doc_id", "toxic")).collect()}
     assert all(out[i]["predicted"] == y for i, _, y in data if out[i]["held_out"])
     assert all(out[i]["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0) for i, _, _ in data)
-    place, doc = toxicity.distinct_places(toxicity.term_tokens(__import__("pyarrow").array([t for _, t, _ in data])))
-    label = np.array([y for _, _, y in data], float)
-    at = toxicity.place_of("muslims"), toxicity.place_of("christians")
-    with_swaps, _ = toxicity.fit(place, doc, label)
-    without, _ = toxicity.fit(place, doc, label, swap_weight=0.0)
-    assert abs(with_swaps[at[0]] - with_swaps[at[1]]) < 0.5 * abs(without[at[0]] - without[at[1]])
+    neutral = [(10_000 + i, " ".join([*rnd.choices(filler, k=30), term])) for i in range(60) for term in ("muslims", "christians")]
+    whole = df.unionByName(spark.createDataFrame(neutral, "doc_id long, text string"), allowMissingColumns=True)
+
+    def gap_and_false(weight):
+        weights, bias = toxicity.train(df.drop("toxic"), df.select("doc_id", "toxic"), swap_weight=weight)
+        place, doc = toxicity.distinct_places(toxicity.term_tokens(__import__("pyarrow").array([t for _, t in neutral])))
+        logit = np.bincount(doc, weights[place], len(neutral)) + bias
+        return abs(logit[::2].mean() - logit[1::2].mean()), int((logit[::2] > -1).sum())
+
+    (gap, wrong), (gap_without, wrong_without) = gap_and_false(5.0), gap_and_false(0.0)
+    assert gap_without > 1 and gap < 0.2 * gap_without and wrong <= wrong_without
+    out = {r["doc_id"]: r["predicted"] for r in toxicity.toxicity(whole.drop("toxic"), df.select("doc_id", "toxic")).collect()}
+    assert not any(out[i] for i, _ in neutral)
+
+
+def test_counterfactual_texts():
+    assert toxicity.swapped(["No one here", "A Muslim and a muslim, gay-ish"])[0] == []
+    texts = toxicity.swapped(["é A Muslim and a muslim, old"])[0]
+    assert "é a sikh and a sikh, old" in texts and "é a muslim and a muslim, young" in texts and len(texts) == 7 + 2
 
 
 def test_toxicity_edges(spark, docs, empty, rows, sf_dir):
