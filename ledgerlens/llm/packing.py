@@ -13,10 +13,9 @@ from pyspark.sql import functions as F
 from ledgerlens.llm.common import materialize, partitions
 from ledgerlens.llm.tokens import piece_batches
 
-#: Steps of the search for one filling, fillings tried at a branch, and branches in all.
-FILL_STEPS, FILLINGS, BRANCHES = 400, 4, 5_000
-#: Up to so many items a pattern is used once at a time, which makes the search complete.
-SMALL = 48
+#: Steps of the search for one filling, fillings tried at a branch, and branches tried after the first
+#: solution. Bin packing is NP-hard: they bound the search, not what is packed.
+FILL_STEPS, FILLINGS, BRANCHES = 1_000, 4, 5_000
 
 
 def fillings(sizes: list[int], left: list[int], room: int, steps: int, keep: int) -> list[tuple[int, list[tuple[int, int]]]]:
@@ -72,20 +71,23 @@ def fillings(sizes: list[int], left: list[int], room: int, steps: int, keep: int
     return best
 
 
-def plan(histogram: dict[int, int], capacity: int) -> list[tuple[list[int], int]]:
+def plan(histogram: dict[int, int], capacity: int, fill_steps: int = FILL_STEPS, keep: int = FILLINGS, tries: int = BRANCHES) -> list[tuple[list[int], int]]:
     """Patterns (lengths in a sequence, number of such sequences) that pack all items.
 
     Branch and bound over fillings around the largest item left. The first descent takes the
     best filling each time and is the incumbent; further ones stop where waste exceeds what a
-    solution with fewer sequences may waste. The work depends on the number of distinct lengths
-    (``capacity`` at most), not on the number of items.
+    solution with fewer sequences may waste; they begin at the end of the descent, where few lengths
+    are left and waste arises. A filling is used for half of the sequences that it could fill at once
+    (once while under four), so the work grows with the logarithm of the number of items and a small
+    input is searched one sequence at a time. The search is complete unless ``fill_steps`` end one for
+    a filling, ``keep`` leaves fillings out or ``tries`` branches have been tried since the first
+    solution; it stops where no solution can have fewer sequences than ceil(total / capacity).
     """
     sizes = sorted((s for s, n in histogram.items() if n), reverse=True)
     left = [histogram[s] for s in sizes]
     total = sum(s * n for s, n in zip(sizes, left, strict=True))
     bound = -(-total // capacity)
     place = {s: i for i, s in enumerate(sizes)}
-    single = sum(left) <= SMALL
     best: list[tuple[list[int], int]] | None = None
     best_bins = 0
     path: list[tuple[list[int], int]] = []
@@ -95,7 +97,7 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[list[int], int]
     def options() -> Iterator[tuple[int, list[int]]]:
         top = next(i for i, n in enumerate(left) if n)
         left[top] -= 1
-        found = fillings(sizes, left, capacity - sizes[top], FILL_STEPS * (10 if single else 1), FILLINGS)
+        found = fillings(sizes, left, capacity - sizes[top], fill_steps, keep)
         left[top] += 1
         return iter([(w, [sizes[top], *[s for s, n in f for _ in range(n)]]) for w, f in found])
 
@@ -111,15 +113,15 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[list[int], int]
     branches.append(options())
     while branches:
         step = next(branches[-1], None)
-        tried += 1
-        if step is None or (best is not None and tried > BRANCHES):
+        tried += best is not None
+        if step is None or (best is not None and tried > tries):
             branches.pop()
             if path:
                 undo()
             continue
         waste, pattern = step
         need = {s: pattern.count(s) for s in set(pattern)}
-        times = 1 if single else min(left[place[s]] // n for s, n in need.items())
+        times = max(1, min(left[place[s]] // n for s, n in need.items()) // 2)
         if best is not None and wasted[-1] + waste * times > (best_bins - 1) * capacity - total:
             continue
         for s in pattern:
@@ -162,7 +164,7 @@ def placed(frames: Iterator[pd.DataFrame], table: pd.DataFrame) -> Iterator[pd.D
         yield frame.drop(columns="rank")
 
 
-def pack(items: DataFrame, capacity: int) -> DataFrame:
+def pack(items: DataFrame, capacity: int, fill_steps: int = FILL_STEPS, keep: int = FILLINGS, tries: int = BRANCHES) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to ``items (doc_id, piece, length, ...)``; 1 <= length <= capacity.
 
     Only the histogram of lengths (``capacity`` rows at most) reaches the driver. Items of one
@@ -170,7 +172,7 @@ def pack(items: DataFrame, capacity: int) -> DataFrame:
     isn't one task's work. ``items`` should be written before: it is read three times.
     """
     counts = items.groupBy("length").count()
-    table = slots(plan({r["length"]: r["count"] for r in counts.collect()}, capacity))
+    table = slots(plan({r["length"]: r["count"] for r in counts.collect()}, capacity, fill_steps, keep, tries))
     parts = partitions(items.sparkSession)
     sliced = items.withColumn("slice", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(parts)).cast("int"))
     before = sliced.groupBy("length", "slice").count()
@@ -193,8 +195,9 @@ def pieces(docs: DataFrame, path: str, capacity: int = 2048, end: int = 0, id_co
 def pack_documents(docs: DataFrame, path: str, capacity: int = 2048, end: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Where each piece of each document goes: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``.
 
-    Null and empty texts are the end token alone; equal rows are packed each; an empty table gives
-    no rows; doc_id is taken to be unique; further columns are ignored.
+    A text with the string of a special token has that token's id there. Null and empty texts are the
+    end token alone; rows that are equal or repeat a doc_id are packed each; an empty table gives no
+    rows; further columns are ignored.
     """
     cut = pieces(docs, path, capacity, end, id_col, text_col)
     small = materialize(cut.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), "pieces")
@@ -202,7 +205,7 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = 2048, end: int =
 
 
 def sequences(docs: DataFrame, path: str, capacity: int = 2048, end: int = 0) -> DataFrame:
-    """The packed sequences: ``sequence_id, ids (binary), members (doc_id, piece, offset)``."""
+    """The packed sequences: ``sequence_id, ids (binary), members (doc_id, piece, offset)``; doc_id must be unique."""
     where = pack_documents(docs, path, capacity, end).select("doc_id", "piece", "sequence_id", "offset")
     whole = pieces(docs, path, capacity, end).join(where, ["doc_id", "piece"])
     parts = F.array_sort(F.collect_list(F.struct("offset", "doc_id", "piece", "ids")))

@@ -18,12 +18,17 @@ LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvw
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string, n int, digest string, rep long"
 
 
+#: Two words that every polynomial hash modulo 2^64 takes for one.
+THUE_MORSE = ["".join("ab"[(i.bit_count() + k) % 2] for i in range(2048)) for k in range(2)]
+
+
 @pytest.fixture(scope="module")
 def rows(spark, sf_dir):
     base = [(r["doc_id"], r["text"]) for r in documents(spark, sf_dir).collect()]
     long = " ".join(f"w{i % 977} x{i * 7919 % 10007}" for i in range(30_000))
     passage = " ".join(f"common{i}" for i in range(60))
     extra = [None, "", "", " \t\n", "One", "one", "one two three", "a" * 700, "b" * 250 + "a" * 300, "the " * 120, "é" * 300, "é" * 300, long, long + " end"]
+    extra += [*THUE_MORSE, *[f"{' '.join(f'm{j}' for j in range(20))} {x} {' '.join(f'n{j}' for j in range(20))}" for x in THUE_MORSE]]
     extra += [f"Start {i} {passage} stop {i * 31}" for i in range(6)] + ["Case MATTERS here not", "case matters HERE not"]
     return base + list(enumerate(extra, 10_000))
 
@@ -57,6 +62,21 @@ def test_digest_index_appends_only_new(spark):
     again = {r["doc_id"]: (r["keep_id"], r["kept"]) for r in exact.exact_dedup(second, index).collect()}
     assert again == {4: (3, False), 5: (5, True)}
     assert index.table().count() == 3
+    spark.sql(f"DROP TABLE {index.name}")  # what a new session without the old catalogue finds
+    found = exact.DigestIndex(spark, index.path)
+    third = spark.createDataFrame([(9, "B"), (10, "d")], "doc_id long, text string")
+    assert {r["doc_id"]: (r["keep_id"], r["kept"]) for r in exact.exact_dedup(third, found).collect()} == {9: (2, False), 10: (10, True)}
+    with pytest.raises(ValueError, match="not a digest index"):
+        first.write.parquet(f"{index.path}-other")
+        exact.DigestIndex(spark, f"{index.path}-other")
+
+
+def test_batches_meet_the_index_in_an_anti_join(spark, docs, monkeypatch):
+    plans = []
+    write = exact.materialize
+    monkeypatch.setattr(exact, "materialize", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df, name))
+    exact.exact_dedup(docs).count()
+    assert any("LeftAnti" in p and "SortMergeJoin" in p for p in plans)
 
 
 def brute_words(rows, window):
@@ -158,6 +178,16 @@ def test_packing(docs, rows, empty):
     assert packing.pack_documents(empty, path).count() == 0
 
 
+def test_packing_of_special_tokens_and_alike_words(spark):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = ["a <|endoftext|> b", "x<|startoftext|>y <|ENDOFTEXT|>", "<|ENDOFTEXT|> z", *THUE_MORSE, "same", "same"]
+    want = [zlib.crc32(np.array([*Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids, 0], "<u4").tobytes()) for t in texts]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r["ids_crc32"] for r in packing.pack_documents(df, path).orderBy("doc_id").collect()] == want
+
+
 def test_sequences_hold_their_pieces(spark):
     some = spark.createDataFrame([(1, "one two three"), (2, "four"), (3, "one")], "doc_id long, text string")
     (row,) = packing.sequences(some, public_tokenizers.path("word_bpe_49k.json")).collect()
@@ -193,12 +223,25 @@ def test_lm_scores(docs, rows, empty):
         ws = words[r["doc_id"]]
         base = sum(math.log10((seen[w] + 1) / (n + v + 1)) for w in ws)
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[r["doc_id"]], len(ws), sum(w in seen for w in ws), n)
-        assert r["base_score"] == pytest.approx(base, rel=1e-9) and r["score"] < 0
+        assert r["base_score"] == pytest.approx(base, rel=1e-7) and r["score"] < 0 and r["perplexity"] == pytest.approx(10 ** (-r["score"] / len(ws)))
         better[r["held_out"]] += r["score"] - base
     assert better[0] > 0 and better[1] > 0
     assert scoring.score_documents(empty).count() == 0
 
 
+def test_lm_scores_depend_on_the_texts_alone(spark, docs):
+    def scores(parts, shuffle):
+        spark.conf.set("spark.sql.shuffle.partitions", shuffle)
+        try:
+            return {r["doc_id"]: tuple(r) for r in scoring.score_documents(docs.repartition(parts, "text")).collect()}
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", 4)
+
+    assert scores(2, 3) == scores(7, 5)
+    twice = spark.createDataFrame([(1, "a b"), (1, "a b"), (1, "c"), (5, None)], "doc_id long, text string")
+    assert {(r["doc_id"], r["n_tokens"]) for r in scoring.score_documents(twice).collect()} == {(1, 8), (5, 1)}
+
+
 def test_decontamination(spark, docs, rows, empty, sf_dir):
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     items = bench.collect()
