@@ -1,7 +1,7 @@
 """Repeated windows: which runs of W tokens of a text also start anywhere else.
 
 The same steps serve words and bytes. A *probe* is a key made from content, with the window
-starts ``lo:hi`` of one document that it speaks for. Probes with equal keys meet in one shuffle;
+starts ``lo:hi`` of one row that it speaks for. Probes with equal keys meet in one shuffle;
 those of keys that occur once are done with, the others go on. Within a task equal keys are
 joined first, so that a passage of any number of copies sends at most one probe a task.
 
@@ -12,6 +12,9 @@ joined first, so that a passage of any number of copies sends at most one probe
   W tokens after it, as one probe. If it is repeated, so is every window in it. One copy of each
   settled stretch goes on probing, for the sake of windows elsewhere that have a copy there only.
 * with q = W a probe is one window, which gives the exact answer.
+
+Probes that only rule windows out have keys of 64 bits: a collision costs time. Those that settle
+stretches and windows have 128 bits from two independent hashes.
 """
 
 from collections.abc import Iterator
@@ -24,9 +27,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.hashing import U, Tokens, byte_tokens, gram_hash, mix, slices, word_tokens
+from ledgerlens.llm.hashing import U, Tokens, byte_tokens, gram_hash, mix, pair_hash, placed_hash, slices, word_tokens
 
-PROBE = "key long, n int, doc_id long, lo int, hi int"
+PROBE = "key long, other long, n int, row long, lo int, hi int"
 #: Probes that a task gathers before it joins equal keys and sends them on.
 BLOCK = 1 << 20
 
@@ -36,15 +39,17 @@ def tokens_of(column: pa.Array, unit: str) -> Tokens:
 
 
 def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
-    """Index of the leftmost smallest value in each run of ``width`` values."""
-    best, at, have = values, np.arange(len(values)), 1
-    while have < width:
-        step = min(have, width - have)
-        right = best[step:] < best[: len(best) - step]
-        at = np.where(right, at[step:], at[: len(at) - step])
-        best = np.where(right, best[step:], best[: len(best) - step])
-        have += step
-    return at
+    """Index of the leftmost smallest value (by its first 32 bits) in each run of ``width`` values.
+
+    Smallest values up to and from the ends of blocks of ``width`` give those of all runs in two passes.
+    """
+    n = len(values)
+    full = np.full(-(-n // width) * width, np.iinfo(U).max, U)
+    full[:n] = (values & U(0xFFFFFFFF00000000)) | np.arange(n, dtype=U)
+    blocks = full.reshape(-1, width)
+    upto = np.minimum.accumulate(blocks, axis=1).ravel()
+    onward = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    return (np.minimum(onward[: n - width + 1], upto[width - 1 : n]) & U(0xFFFFFFFF)).astype(np.int64)
 
 
 def covered(n: int, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -86,17 +91,28 @@ def open_windows(batch: pa.RecordBatch, tokens: Tokens, window: int) -> np.ndarr
     return mask
 
 
+def window_hash(grams: np.ndarray, at: np.ndarray, window: int, q: int, seed: int = 0) -> np.ndarray:
+    """Hashes of the windows that start at ``at``, from the q-grams that tile them."""
+    h = grams[at]
+    for step in [*range(q, window - q, q), window - q]:
+        h = pair_hash(h, grams[at + step], seed)
+    return h
+
+
 def sampled(tokens: Tokens, mask: np.ndarray, window: int, q: int) -> tuple[np.ndarray, ...]:
     """Keys and window ranges of the chosen q-grams; ``mask`` has the windows that count."""
     at = np.flatnonzero(mask)
     if not len(at):
-        return np.zeros(0, U), at, at
-    grams = gram_hash(tokens.values, q)
+        return np.zeros(0, U), np.zeros(0, U), at, at
     if q == window:
-        return grams[at], at, at + 1
+        tile = -(-window // 8)
+        keys = [window_hash(gram_hash(v, tile, i), at, window, tile, i) for i, v in enumerate((tokens.values, tokens.other()))]
+        return *keys, at, at + 1
+    grams = gram_hash(tokens.values, q)
     chosen = sliding_argmin(grams, window - q + 1)[at]
     new = np.flatnonzero(np.concatenate(([True], chosen[1:] != chosen[:-1])))
-    return grams[chosen[new]], at[new], at[np.append(new[1:], len(at)) - 1] + 1
+    key = grams[chosen[new]]
+    return key, np.zeros(len(key), U), at[new], at[np.append(new[1:], len(at)) - 1] + 1
 
 
 def stretches(tokens: Tokens, mask: np.ndarray, window: int, q: int, every: int) -> tuple[np.ndarray, ...]:
@@ -106,24 +122,31 @@ def stretches(tokens: Tokens, mask: np.ndarray, window: int, q: int, every: int)
     pick[: len(grams)] &= grams % U(every) == 0
     at = np.flatnonzero(pick)
     if len(at) < 2:
-        return np.zeros(0, U), at[:0], at[:0]
+        return np.zeros(0, U), np.zeros(0, U), at[:0], at[:0]
     open_before = np.concatenate(([0], np.cumsum(mask)))
-    left, right = at[:-1], at[1:]
-    whole = open_before[right + 1] - open_before[left] == right + 1 - left
-    left, right = left[whole], right[whole]
-    return span_hash(prefix_sums(tokens.values), left, right + window), left, right + 1
+    whole = open_before[at[1:] + 1] - open_before[at[:-1]] == at[1:] + 1 - at[:-1]
+    left, right = at[:-1][whole], at[1:][whole]
+    other = tokens.other()
+    keys = []
+    for seed, (values, own) in enumerate(((tokens.values, grams), (other, gram_hash(other, q, 1)))):
+        between = placed_hash(values[at[0] : at[-1]], at - at[0], seed)[whole]
+        keys.append(pair_hash(between, window_hash(own, right, window, q, seed), seed))
+    return *keys, left, right + 1
 
 
-def send(key: np.ndarray, doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> Iterator[pa.RecordBatch]:
+def send(key: np.ndarray, other: np.ndarray, row: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Probes with one row a key. The first of equal ones speaks for all (n is their number); the
     others are known to repeat, so they go on under keys of their own with n = -1."""
-    _, at, inverse, count = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
-    speaks = at[inverse] == np.arange(len(key))
-    own = mix(key ^ mix(doc.astype(U) * U(0x9E3779B97F4A7C15) + lo.astype(U)))
+    order = np.lexsort((other, key)) if other.any() else np.argsort(key, kind="stable")
+    new = np.flatnonzero(np.concatenate(([True], (key[order][1:] != key[order][:-1]) | (other[order][1:] != other[order][:-1]))))
+    count = np.full(len(key), -1, np.int32)
+    count[order[new]] = np.diff(np.append(new, len(key)))
+    own = mix(key ^ mix(row.astype(U) * U(0x9E3779B97F4A7C15) + lo.astype(U)))
     rows = {
-        "key": np.where(speaks, key, own).view(np.int64),
-        "n": np.where(speaks, count[inverse], -1).astype(np.int32),
-        "doc_id": doc,
+        "key": np.where(count > 0, key, own).view(np.int64),
+        "other": other.view(np.int64),
+        "n": count,
+        "row": row,
         "lo": lo.astype(np.int32),
         "hi": hi.astype(np.int32),
     }
@@ -132,46 +155,94 @@ def send(key: np.ndarray, doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> It
         yield table.slice(i, 1 << 16)
 
 
-def probe_batches(batches: Iterator[pa.RecordBatch], unit: str, window: int, q: int, every: int) -> Iterator[pa.RecordBatch]:
+def sent(probes: Iterator[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+    """Gather probes and send them in blocks."""
     held: list[tuple[np.ndarray, ...]] = []
     size = 0
-    for batch in batches:
-        for part in slices(batch, "text"):
-            tokens = tokens_of(part.column("text"), unit)
-            mask = open_windows(part, tokens, window)
-            key, lo, hi = stretches(tokens, mask, window, q, every) if every else sampled(tokens, mask, window, q)
-            doc = np.searchsorted(tokens.first, lo, "right") - 1
-            lo, hi = lo - tokens.first[doc], hi - tokens.first[doc]
-            held.append((key, part.column("doc_id").to_numpy(zero_copy_only=False)[doc], lo, hi))
-            size += len(key)
-            if size >= BLOCK:
-                yield from send(*map(np.concatenate, zip(*held, strict=True)))
-                held, size = [], 0
+    for some in probes:
+        held.append(some)
+        size += len(some[0])
+        if size >= BLOCK:
+            yield from send(*map(np.concatenate, zip(*held, strict=True)))
+            held, size = [], 0
     if size:
         yield from send(*map(np.concatenate, zip(*held, strict=True)))
 
 
-def repeated(docs: DataFrame, unit: str, window: int, q: int, every: int = 0) -> DataFrame:
-    """Window ranges ``(doc_id, lo, hi, speaks)`` whose probe occurs more than once in all documents.
+def probe_batches(batches: Iterator[pa.RecordBatch], unit: str, window: int, q: int, every: int, refined: tuple[int, int] | None) -> Iterator[pa.RecordBatch]:
+    def probes() -> Iterator[tuple[np.ndarray, ...]]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                tokens = tokens_of(part.column("text"), unit)
+                mask = open_windows(part, tokens, window)
+                if refined:
+                    mask &= in_open_buckets(part, tokens, window, *refined)
+                key, other, lo, hi = stretches(tokens, mask, window, q, every) if every else sampled(tokens, mask, window, q)
+                text = np.searchsorted(tokens.first, lo, "right") - 1
+                yield key, other, part.column("row").to_numpy(zero_copy_only=False)[text], lo - tokens.first[text], hi - tokens.first[text]
 
-    ``speaks`` marks one range of each key.
-    """
-    probes = docs.mapInArrow(partial(probe_batches, unit=unit, window=window, q=q, every=every), PROBE)
-    same = W.partitionBy("key")
-    least = F.min(F.struct("doc_id", "lo")).over(same) == F.struct("doc_id", "lo") if every else F.lit(False)
+    yield from sent(probes())
+
+
+def shared(probes: DataFrame, speaks: bool = False) -> DataFrame:
+    """Probes whose key occurs more than once in all documents."""
+    same = W.partitionBy("key", "other")
+    least = F.min(F.struct("row", "lo")).over(same) == F.struct("row", "lo") if speaks else F.lit(False)
     counted = probes.withColumn("total", F.sum("n").over(same)).withColumn("speaks", (F.col("n") > 0) & least)
-    return counted.where("total > 1 OR n < 0").select("doc_id", "lo", "hi", "speaks")
+    return counted.where("total > 1 OR n < 0")
+
+
+def repeated(docs: DataFrame, unit: str, window: int, q: int, every: int = 0, refined: tuple[int, int] | None = None) -> DataFrame:
+    """Window ranges ``(row, lo, hi, speaks)`` whose probe occurs more than once in all documents.
+
+    ``speaks`` marks one range of each key. ``refined`` are the q and every of buckets in ``docs``
+    (see ``suffixes``) that windows must be in.
+    """
+    probes = docs.mapInArrow(partial(probe_batches, unit=unit, window=window, q=q, every=every, refined=refined), PROBE)
+    return shared(probes, bool(every)).select("row", "lo", "hi", "speaks")
+
+
+def picked(tokens: Tokens, window: int, q: int, every: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places that their own q-gram chooses, in texts with a window; their grams, and numbers in the text."""
+    grams = gram_hash(tokens.values, q)
+    inside = covered(len(tokens.values), tokens.first[:-1], np.where(np.diff(tokens.first) >= window, tokens.first[1:] - q + 1, tokens.first[:-1]))
+    at = np.flatnonzero(inside[: len(grams)] & (grams % U(every) == 0))
+    start = np.searchsorted(at, tokens.first[:-1])
+    return at, grams[at], np.arange(len(at)) - start[np.searchsorted(tokens.first, at, "right") - 1]
+
+
+def in_open_buckets(batch: pa.RecordBatch, tokens: Tokens, window: int, q: int, every: int) -> np.ndarray:
+    """Mask of windows all of whose chosen places, pairs and fours of them are in buckets with others.
+
+    Columns ``open1``, ``open2`` and ``open4`` have the numbers of those of each text; any other place,
+    pair or four closes the windows that have it inside.
+    """
+    at, _, number = picked(tokens, window, q, every)
+    text = np.searchsorted(tokens.first, at, "right") - 1
+    mask = np.ones(len(tokens.values), bool)
+    for size in (1, 2, 4):
+        column = batch.column(f"open{size}")
+        count = pc.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        known = (np.repeat(np.arange(len(batch)), count) << 32) + column.flatten().to_numpy(zero_copy_only=False)
+        ends = np.arange(len(at)) + size - 1
+        has = np.flatnonzero(ends < len(at))
+        has = has[text[ends[has]] == text[has]]
+        closed = has[~np.isin((text[has] << 32) + number[has], known)]
+        lo = np.maximum(at[ends[closed]] + q - window, tokens.first[text[closed]])
+        hi = np.maximum(at[closed] + 1, lo)
+        mask &= ~covered(len(mask), lo, hi)
+    return mask
 
 
 def per_document(ranges: DataFrame, name: str) -> DataFrame:
     """Ranges of each document as two lists; as long as the document at most."""
     pairs = F.array_sort(F.collect_list(F.struct("lo", "hi")))
-    return ranges.groupBy("doc_id").agg(pairs.alias("r")).select("doc_id", F.col("r.lo").alias(f"{name}_lo"), F.col("r.hi").alias(f"{name}_hi"))
+    return ranges.groupBy("row").agg(pairs.alias("r")).select("row", F.col("r.lo").alias(f"{name}_lo"), F.col("r.hi").alias(f"{name}_hi"))
 
 
 def settled(ranges: DataFrame) -> DataFrame:
     """Settled ranges of each document, and those of them that go on speaking for their content."""
     pairs = F.array_sort(F.collect_list(F.struct("lo", "hi")))
     spoken = F.array_sort(F.collect_list(F.when(F.col("speaks"), F.struct("lo", "hi"))))
-    both = ranges.groupBy("doc_id").agg(pairs.alias("r"), spoken.alias("s"))
-    return both.selectExpr("doc_id", "r.lo AS done_lo", "r.hi AS done_hi", "s.lo AS spoken_lo", "s.hi AS spoken_hi")
+    both = ranges.groupBy("row").agg(pairs.alias("r"), spoken.alias("s"))
+    return both.selectExpr("row", "r.lo AS done_lo", "r.hi AS done_hi", "s.lo AS spoken_lo", "s.hi AS spoken_hi")

@@ -13,10 +13,13 @@ from ledgerlens.llm.repeats import covered, per_document, ranges_mask, repeated,
 
 
 def text_copy(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(doc_id, text)`` in the shared folder, bucketed by doc_id: every level joins it in place."""
+    """``(row, doc_id, text)`` in the shared folder, bucketed by row: every level joins it in place.
+
+    Rows are numbered as they are written, so rows that repeat a doc_id stay apart.
+    """
     spark = docs.sparkSession
-    both = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return bucketed(both, "doc_id", "texts", partitions(spark))
+    both = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return bucketed(both, "row", "texts", partitions(spark))
 
 
 def kept_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -44,23 +47,25 @@ def substring_dedup(docs: DataFrame, window: int = 35, id_col: str = "doc_id", t
 
     Level-wise doubling: runs of a quarter of the window are counted, those that repeat are
     extended to half, those that still repeat to the whole window; a level that leaves no
-    candidate ends it. Returns ``doc_id, n_words, n_removed, kept_text`` (kept words joined by one
+    candidate ends it. At the shorter lengths a window is judged by one run in it, which its
+    content chooses, so that neighbouring windows share a count; at the last all are counted. Returns ``doc_id, n_words, n_removed, kept_text`` (kept words joined by one
     space). Words are runs without space and tab to carriage return and are compared unchanged;
     windows never cross documents and are judged on the input. Null and empty texts have no words;
-    texts shorter than a window keep all; doc_id is taken to be unique; further columns are ignored.
+    texts shorter than a window keep all; rows that are equal or repeat a doc_id are documents of their
+    own; an empty table gives no rows; further columns are ignored.
     """
     texts = text_copy(docs, id_col, text_col)
     candidates = None
     for size in sorted({max(1, -(-window // 4)), max(1, -(-window // 2)), window}):
-        at_level = texts if candidates is None else texts.join(candidates.hint("shuffle_hash"), "doc_id")
+        at_level = texts if candidates is None else texts.join(candidates.hint("shuffle_hash"), "row")
         last = "done" if size == window else "cand"
         candidates = materialize(per_document(widened(repeated(at_level, "word", window, size), size, window), last), "repeats")
         if candidates.isEmpty():
             break
     if "done_lo" not in candidates.columns:
-        candidates = candidates.select("doc_id", F.col("cand_lo").alias("done_lo"), F.col("cand_hi").alias("done_hi"))
+        candidates = candidates.select("row", F.col("cand_lo").alias("done_lo"), F.col("cand_hi").alias("done_hi"))
     out = "doc_id long, n_words long, n_removed long, kept_text string"
-    return texts.join(candidates.hint("shuffle_hash"), "doc_id", "left").mapInArrow(kept_words, out)
+    return texts.join(candidates.hint("shuffle_hash"), "row", "left").mapInArrow(kept_words, out)
 
 
 def widened(ranges: DataFrame, size: int, window: int) -> DataFrame:

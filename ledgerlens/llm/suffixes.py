@@ -1,6 +1,7 @@
 """Byte-level deduplication: bucket-pointer refinement of suffixes."""
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -8,8 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import materialize
-from ledgerlens.llm.hashing import byte_tokens, slices
-from ledgerlens.llm.repeats import per_document, ranges_mask, repeated, settled, spans
+from ledgerlens.llm.hashing import U, byte_tokens, mix, pair_hash, slices
+from ledgerlens.llm.repeats import PROBE, per_document, picked, ranges_mask, repeated, sent, settled, shared, spans
 from ledgerlens.llm.substring import text_copy
 
 
@@ -35,38 +36,93 @@ def kept_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def suffix_dedup(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def gram_buckets(batches: Iterator[pa.RecordBatch], window: int, q: int, every: int) -> Iterator[pa.RecordBatch]:
+    """Probes of the suffixes that their q-gram chooses: ``lo`` is the offset, ``hi`` the number in the text."""
+
+    def probes() -> Iterator[tuple[np.ndarray, ...]]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                tokens = byte_tokens(part.column("text"))
+                at, key, number = picked(tokens, window, q, every)
+                text = np.searchsorted(tokens.first, at, "right") - 1
+                yield key, mix(key + U(1)), part.column("row").to_numpy(zero_copy_only=False)[text], at - tokens.first[text], number
+
+    yield from sent(probes())
+
+
+def pointer_pairs(batches: Iterator[pa.RecordBatch], window: int, q: int, step: int) -> Iterator[pa.RecordBatch]:
+    """Probes of suffixes by their bucket's identifier and that of the suffix ``step`` chosen places later.
+
+    Both come from the last round; a suffix whose later one was alone in its bucket is alone now.
+    """
+
+    def probes() -> Iterator[tuple[np.ndarray, ...]]:
+        for batch in batches:
+            lists = batch.column("s")
+            row = np.repeat(batch.column("row").to_numpy(zero_copy_only=False), np.diff(lists.offsets.to_numpy()))
+            own = lists.flatten()
+            lo, number, name = (own.field(x).to_numpy(zero_copy_only=False) for x in ("lo", "hi", "name"))
+            text = np.repeat(np.arange(len(batch), dtype=np.int64), np.diff(lists.offsets.to_numpy())) << 32
+            place = text + number
+            later = np.searchsorted(place, place + step)
+            has = np.flatnonzero(later < len(place))
+            has = has[place[later[has]] == place[has] + step]
+            gap = lo[later[has]] - lo[has]
+            has, gap = has[gap + q <= window], gap[gap + q <= window]
+            key = pair_hash(pair_hash(name[has].view(U), name[later[has]].view(U)), gap.astype(U))
+            yield key, mix(key + U(1)), row[has], lo[has], number[has]
+
+    yield from sent(probes())
+
+
+def refine(state: DataFrame, window: int, q: int, step: int) -> DataFrame:
+    """The next round's buckets: ``(row, lo, hi, name)`` of suffixes that are not alone."""
+    lists = state.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("lo", "hi", "name"))).alias("s"))
+    return buckets(lists.mapInArrow(partial(pointer_pairs, window=window, q=q, step=step), PROBE))
+
+
+def buckets(probes: DataFrame) -> DataFrame:
+    """Suffixes that share a bucket, with its identifier."""
+    return materialize(shared(probes).select("row", "lo", "hi", F.col("other").alias("name")), "buckets")
+
+
+def numbers(state: DataFrame, name: str) -> DataFrame:
+    return state.groupBy("row").agg(F.array_sort(F.collect_list("hi")).alias(name))
+
+
+def suffix_dedup(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text", every: int = 32) -> DataFrame:
     """Remove every byte covered by a string of ``length`` bytes that also starts anywhere else.
 
-    Suffixes are put in buckets by a q-gram (an eighth of the length) and buckets are refined:
-    the identifier of a bucket of depth 2h is made from those of depth h at an offset and h later,
-    so each refinement reuses the last one's. A suffix alone in its bucket is settled and goes no
-    further. Identifiers are content hashes, which lets a task compute that of any later offset of
-    its own text; only the sort that finds a bucket's members is a shuffle. Between refinements
-    long common prefixes are settled whole (see ``repeats.stretches``).
+    Bucket-pointer refinement over the suffixes that a q-gram (an eighth of the length) chooses, one
+    in ``every``: their first buckets are by the q-gram; a round sorts suffixes on the identifiers of
+    their own bucket and of the bucket of a later suffix, both of the last round, and gives new
+    identifiers, which the next round reads at twice the distance. A suffix that is alone is settled
+    and, as a later suffix, settles others without a sort. Strings that have a chosen suffix, pair or
+    four of neighbours alone in its bucket occur once; only the others are looked at on their own:
+    long common prefixes are settled whole (see ``repeats.stretches``), the rest by all their bytes.
 
     Returns ``doc_id, n_bytes, removed (start, end of each maximal run), kept (bytes)``. Texts are
     UTF-8 bytes; null counts as empty; strings never cross documents and are judged on the input;
-    a removed run may cut a character, so what is kept is binary. doc_id is taken to be unique;
-    further columns are ignored.
+    a removed run may cut a character, so what is kept is binary. Rows that are equal or repeat a
+    doc_id are documents of their own; an empty table gives no rows; further columns are ignored.
     """
     texts = text_copy(docs, id_col, text_col)
-    gram = max(1, length // 8)
-    open_ = materialize(per_document(repeated(texts, "byte", length, gram), "cand"), "buckets")
-    if length >= 16:
-        deeper = texts.join(open_.hint("shuffle_hash"), "doc_id")
-        open_ = materialize(per_document(repeated(deeper, "byte", length, length // 2), "cand"), "buckets")
-    state = texts.join(open_.hint("shuffle_hash"), "doc_id")
-    whole = materialize(settled(repeated(state, "byte", length, gram, every=32)), "stretches")
-    state = texts.join(open_.hint("shuffle_hash"), "doc_id").join(whole.hint("shuffle_hash"), "doc_id", "left")
-    if length >= 16:
-        near = materialize(per_document(repeated(state, "byte", length, length - length // 10), "cand"), "buckets")
-        state = texts.join(near.hint("shuffle_hash"), "doc_id").join(whole.hint("shuffle_hash"), "doc_id", "left")
+    q = max(1, length // 8)
+    one = buckets(texts.mapInArrow(partial(gram_buckets, window=length, q=q, every=every), PROBE))
+    two = refine(one, length, q, 1)
+    four = refine(two, length, q, 2)
+    open_ = texts
+    for state, name in ((one, "open1"), (two, "open2"), (four, "open4")):
+        open_ = open_.join(numbers(state, name).hint("shuffle_hash"), "row", "left")
+    whole = materialize(settled(repeated(open_, "byte", length, q, every=every, refined=(q, every))), "stretches")
+    near = repeated(open_.join(whole.hint("shuffle_hash"), "row", "left"), "byte", length, max(1, length - length // 10), refined=(q, every))
+    near = materialize(per_document(near, "cand"), "candidates")
+    state = texts.join(near.hint("shuffle_hash"), "row").join(whole.hint("shuffle_hash"), "row", "left")
     single = repeated(state, "byte", length, length)
-    ranges = single.drop("speaks").unionByName(whole.select("doc_id", F.explode(F.arrays_zip("done_lo", "done_hi")).alias("r")).selectExpr("doc_id", "r.done_lo AS lo", "r.done_hi AS hi"))
+    ranges = single.drop("speaks").unionByName(whole.select("row", F.explode(F.arrays_zip("done_lo", "done_hi")).alias("r")).selectExpr("row", "r.done_lo AS lo", "r.done_hi AS hi"))
     done = per_document(ranges.withColumn("hi", F.expr(f"hi + {length - 1}")), "done")
     out = "doc_id long, n_bytes long, removed array<struct<start: int, end: int>>, kept binary"
-    return texts.join(done.hint("shuffle_hash"), "doc_id", "left").mapInArrow(kept_bytes, out)
+    return texts.join(done.hint("shuffle_hash"), "row", "left").mapInArrow(kept_bytes, out)
 
 
 def digest_of(df: DataFrame) -> DataFrame:

@@ -118,6 +118,25 @@ def test_suffix_dedup(docs, rows, empty, length):
     assert suffixes.suffix_dedup(empty, length).count() == 0
 
 
+def test_repeated_rows_are_documents_of_their_own(spark):
+    words = " ".join(f"u{i}" for i in range(60))
+    other = " ".join(f"v{i}" for i in range(60))
+    df = spark.createDataFrame([(1, words), (1, other), (2, words), (3, None)], "doc_id long, text string")
+    got = sorted(tuple(r)[:3] for r in substring.digest_of(substring.substring_dedup(df)).collect())
+    assert got == [(1, 60, 0), (1, 60, 60), (2, 60, 60), (3, 0, 0)]
+    got = sorted(tuple(r)[:3] for r in suffixes.digest_of(suffixes.suffix_dedup(df)).collect())
+    assert got == [(1, len(other), 0), (1, len(words), len(words)), (2, len(words), len(words)), (3, 0, 0)]
+
+
+def test_sliding_argmin():
+    from ledgerlens.llm.repeats import sliding_argmin
+
+    values = np.random.default_rng(2).integers(0, 5, 300).astype(np.uint64) << np.uint64(40)
+    for width in (1, 2, 7, 300):
+        want = [i + int(np.argmin(values[i : i + width])) for i in range(len(values) - width + 1)]
+        assert sliding_argmin(values, width).tolist() == want
+
+
 def shingles(text):
     w = (text or "").encode().translate(LOWER).split()
     return {tuple(w[p : p + 5]) for p in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
