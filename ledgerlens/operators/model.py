@@ -1,6 +1,6 @@
 """Gradient-boosted classifier on ledger features: fit, score, importance, counterfactuals, attribution."""
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
@@ -56,11 +56,21 @@ def attributions(model, floors, df: DataFrame, features: Sequence[str], medians:
     return out.withColumn("rank", rank).where(F.col("rank") <= top).select("event_id", "rank", "feature", "contribution")
 
 
-def counterfactuals(model, floors, df: DataFrame, features: Sequence[str], factors: Sequence[float], threshold: float = 0.5) -> DataFrame:
-    """The nearest change of the amount that flips each decision: a grid of factors, scored in one pass."""
-    base = score(model, floors, df, features, threshold).select("event_id", F.col("predicted").alias("was"))
-    grid = df.withColumn("factor", F.explode(F.array(*[F.lit(float(f)) for f in factors])))
-    grid = grid.withColumn("amount", F.col("amount") * F.col("factor"))
+def counterfactuals(model, floors, df: DataFrame, features: Sequence[str], factors: Sequence[float], types: Sequence[str], derive: Callable[[DataFrame], DataFrame], threshold: float = 0.5, most: int = 60) -> DataFrame:
+    """The nearest change that flips each decision: a grid of factors of the amount and of types, at most
+    ``most`` candidates a row, scored in one pass.
+
+    ``derive`` makes the features that depend on amount or type anew, so only rows that could exist
+    are scored. The distance is the relative change of the amount, and 1 more for another type; of
+    equal ones the smaller factor and the first type win. Rows that nothing flips are left out.
+    """
+    if len(factors) * len(types) > most:
+        raise ValueError(f"{len(factors)} factors by {len(types)} types are more than {most} candidates")
+    base = score(model, floors, df, features, threshold).select("event_id", F.col("predicted").alias("was"), F.col("p").alias("p_was"))
+    grid = df.withColumnRenamed("type", "type_was").withColumn("factor", F.explode(F.array(*[F.lit(float(f)) for f in factors])))
+    grid = grid.withColumn("type", F.explode(F.array(*map(F.lit, types)))).where("factor <> 1.0 OR type <> type_was")
+    grid = derive(grid.withColumn("amount", F.col("amount") * F.col("factor")))
     out = score(model, floors, grid, features, threshold).join(base, "event_id").where("predicted <> was")
-    best = F.min_by(F.struct("factor", "p"), F.struct(F.abs(F.col("factor") - 1), F.col("factor")))
-    return out.groupBy("event_id", "was").agg(best.alias("b")).select("event_id", "was", "b.factor", "b.p")
+    distance = F.abs(F.col("factor") - 1) + (F.col("type") != F.col("type_was")).cast("int")
+    best = F.min_by(F.struct("factor", "type", "p", distance.alias("distance")), F.struct(distance, "factor", "type"))
+    return out.groupBy("event_id", "was", "p_was").agg(best.alias("b")).select("event_id", "was", "p_was", "b.factor", "b.type", "b.p", "b.distance")

@@ -105,6 +105,8 @@ def profile_summary(profile: DataFrame) -> DataFrame:
         "with_positives": F.count_if(F.col("positives") > 0),
         "several_positives": F.count_if(F.col("positives") > 1),
         "all_positive": F.count_if(F.col("positives") == n),
+        "once_pct": 100 * F.avg((n == 1).cast("int")),
+        "largest_amount": F.max("max"),
     }
     return unpivot_aggs(profile, {k: {"value": F.round(v.cast("double"), 4)} for k, v in metrics.items()}, name="metric")
 
@@ -112,10 +114,11 @@ def profile_summary(profile: DataFrame) -> DataFrame:
 def concentration(profile: DataFrame, share: float = 0.01) -> DataFrame:
     """Share of rows and positives held by the busiest accounts.
 
+    Positives are those of all accounts with as many rows as one of the busiest.
     Accounts with equal counts are one row before they are ranked, so the ranking is over the
     distinct counts, of which there are few.
     """
-    by_n = profile.groupBy("n").agg(F.count("*").alias("accounts"))
+    by_n = profile.groupBy("n").agg(F.count("*").alias("accounts"), F.sum("positives").alias("positives"))
     desc = W.orderBy(F.desc("n"))
     ranked = by_n.withColumn("before", F.sum("accounts").over(desc) - F.col("accounts"))
     ranked = ranked.withColumn("top", F.ceil(F.sum("accounts").over(W.partitionBy()) * share))
@@ -124,6 +127,7 @@ def concentration(profile: DataFrame, share: float = 0.01) -> DataFrame:
         F.max("top").alias("top_accounts"),
         pct(F.sum(taken * F.col("n")), F.sum(F.col("accounts") * F.col("n"))).alias("top_share_pct"),
         pct(F.max("n"), F.sum(F.col("accounts") * F.col("n"))).alias("busiest_share_pct"),
+        pct(F.sum(F.when(F.col("before") < F.col("top"), F.col("positives"))), F.sum("positives")).alias("top_positives_pct"),
     )
 
 

@@ -119,10 +119,10 @@ def eligible_labels(spark, sf_dir):
     return lb.eligible_labels(facts, {k: F.expr(c) for k, c in ELIGIBLE.items()})[0].select("transaction_id", "label")
 
 
-@query(f"WITH {EVT} SELECT CASE WHEN step <= 350 THEN 'old' ELSE 'recent' END AS source, event_id, step, amount, label FROM evt WHERE step <= 350 OR step >= 401")
+@query(f"WITH {EVT} SELECT CASE WHEN step <= 380 THEN 'old' ELSE 'recent' END AS source, event_id, step, amount, label FROM evt WHERE step <= 350 OR step >= 401 ORDER BY step, event_id")
 def retraining_set(spark, sf_dir):
     e = evt(spark, sf_dir).select("event_id", "step", "amount", "label", F.lit(0.5).alias("p"))
-    return lb.retraining_set(e.where("step <= 380"), e.where("step > 380"), (351, 400), ["p"]).select("source", "event_id", "step", "amount", "label").withColumn("source", F.when(F.col("step") <= 350, "old").otherwise("recent"))
+    return lb.retraining_set(e.where("step <= 380"), e.where("step > 380"), (351, 400), ["p"]).select("source", "event_id", "step", "amount", "label").orderBy("step", "event_id")
 
 
 @query(f"""WITH {EVT}, s AS (SELECT avg(amount) FILTER (step > 400) > 1.0 * avg(amount) FILTER (step <= 350) AS drift, count(*) FILTER (step > 700) AS n_labels, count(*) FILTER (step > 700 AND label = 1) AS n_positives, count(*) FILTER (step BETWEEN 351 AND 400) AS in_gap FROM evt)
@@ -135,9 +135,9 @@ def retraining_eligibility(spark, sf_dir):
     return lb.eligibility(summary)
 
 
-@query(f"WITH {SUB} SELECT transaction_id, turn, source_type, outcome FROM sub WHERE transaction_id < 20 ORDER BY transaction_id, turn")
+@query(f"WITH {SUB} SELECT transaction_id, turn, source_type, outcome FROM sub ORDER BY transaction_id, turn")
 def audit_trail(spark, sf_dir):
-    return submissions(spark, sf_dir).where("transaction_id < 20").select("transaction_id", "turn", "source_type", "outcome").orderBy("transaction_id", "turn")
+    return submissions(spark, sf_dir).select("transaction_id", "turn", "source_type", "outcome").orderBy("transaction_id", "turn")
 
 
 @query(f"WITH {SUB} SELECT source_type, outcome, count(*) AS n, min(turn) AS first_turn, max(turn) AS last_turn FROM sub GROUP BY GROUPING SETS ((), (source_type), (source_type, outcome))")
@@ -206,9 +206,14 @@ def json_lines_scan(spark, sf_dir):
     return good.agg(F.count("*").alias("parsed"), F.max(one).alias("k")).join(bad.agg(F.count("*").alias("malformed"), F.max(one).alias("k")), "k").drop("k")
 
 
-@query(f"WITH {ORD} SELECT column_name, known, CASE known WHEN 'before' THEN 'feature' WHEN 'after' THEN 'audit' ELSE 'review' END AS use FROM (SELECT unnest(['event_id', 'step', 'type', 'amount', 'sender', 'dest', 'sender_old', 'sender_new', 'dest_old', 'dest_new', 'label']) AS column_name, unnest(['unclear', 'before', 'before', 'before', 'before', 'before', 'before', 'after', 'before', 'after', 'after']) AS known)")
+TIMED = ("event_id", "step", "type", "amount", "sender", "dest", "sender_old", "sender_new", "dest_old", "dest_new", "label")
+
+
+@query(f"WITH {ORD} SELECT column_name, known, n_present, CASE known WHEN 'before' THEN 'feature' WHEN 'after' THEN 'audit' ELSE 'review' END AS use FROM (SELECT unnest(['event_id', 'step', 'type', 'amount', 'sender', 'dest', 'sender_old', 'sender_new', 'dest_old', 'dest_new', 'label']) AS column_name, unnest(['unclear', 'before', 'before', 'before', 'before', 'before', 'before', 'after', 'before', 'after', 'after']) AS known) JOIN (UNPIVOT (SELECT {', '.join(f'count({c}) AS {c}' for c in TIMED)} FROM ord) ON COLUMNS(*) INTO NAME column_name VALUE n_present) USING (column_name)")
 def column_timing(spark, sf_dir):
-    return va.column_timing(ords(spark, sf_dir))
+    o = ords(spark, sf_dir)
+    present = pf.unpivot_aggs(o, {c: {"n_present": F.count(c)} for c in TIMED}, name="column_name")
+    return va.column_timing(o).join(F.broadcast(present), "column_name")  # a row a column
 
 
 LONG = ("amount", "sender_old", "sender_new", "dest_old", "dest_new")

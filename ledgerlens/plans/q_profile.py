@@ -214,7 +214,7 @@ PROFILE = "prof AS (SELECT dest AS account, count(*) AS n, sum(amount) AS total,
 METRICS = {
     "accounts": "count(*)", "repeated_pct": "100.0 * avg(CAST(n > 1 AS INTEGER))", "mean_count": "avg(n)", "median_count": "quantile_cont(n, 0.5)", "max_count": "max(n)", "mean_of_means": "avg(mean)",
     "median_of_medians": "quantile_cont(median, 0.5)", "max_total": "max(total)", "mean_total": "avg(total)", "with_positives": "count(*) FILTER (positives > 0)",
-    "several_positives": "count(*) FILTER (positives > 1)", "all_positive": "count(*) FILTER (positives = n)",
+    "several_positives": "count(*) FILTER (positives > 1)", "all_positive": "count(*) FILTER (positives = n)", "once_pct": "100.0 * avg(CAST(n = 1 AS INTEGER))", "largest_amount": "max(max)",
 }
 
 
@@ -223,8 +223,8 @@ def profile_summary(spark, sf_dir):
     return pf.profile_summary(pf.account_profile(evt(spark, sf_dir), "dest"))
 
 
-@query(f"""WITH {ORD}, prof AS (SELECT sender, count(*) AS n FROM ord GROUP BY sender), r AS (SELECT n, row_number() OVER (ORDER BY n DESC, sender) AS i, ceil(count(*) OVER () * 0.01) AS top FROM prof)
-SELECT CAST(max(top) AS BIGINT) AS top_accounts, round(100.0 * sum(n) FILTER (i <= top) / sum(n), 4) AS top_share_pct, round(100.0 * max(n) / sum(n), 4) AS busiest_share_pct FROM r""")
+@query(f"""WITH {ORD}, prof AS (SELECT sender, count(*) AS n, sum(label) AS y FROM ord GROUP BY sender), r AS (SELECT n, y, row_number() OVER (ORDER BY n DESC, sender) AS i, ceil(count(*) OVER () * 0.01) AS top FROM prof)
+SELECT CAST(max(top) AS BIGINT) AS top_accounts, round(100.0 * sum(n) FILTER (i <= top) / sum(n), 4) AS top_share_pct, round(100.0 * max(n) / sum(n), 4) AS busiest_share_pct, round(100.0 * sum(y) FILTER (n >= (SELECT min(n) FROM r WHERE i <= top)) / sum(y), 4) AS top_positives_pct FROM r""")
 def account_concentration(spark, sf_dir):
     return pf.concentration(pf.account_profile(ords(spark, sf_dir), "sender"))
 
@@ -243,6 +243,11 @@ FLAGS = {
     "dest_unchanged": "abs(dest_old - dest_new) <= 0.01",
     "sender_was_zero": "sender_old = 0",
     "amount_over_balance": "amount > sender_old",
+    "dest_was_zero": "dest_old = 0",
+    "sender_emptied": "sender_old > 0 AND sender_new <= 0",
+    "both_exact": "abs(sender_old - amount - sender_new) <= 0.01 AND abs(dest_old + amount - dest_new) <= 0.01",
+    "neither_exact": "abs(sender_old - amount - sender_new) > 0.01 AND abs(dest_old + amount - dest_new) > 0.01",
+    "negative_balance": "sender_new < 0 OR dest_new < 0",
 }
 
 

@@ -28,15 +28,19 @@ def event_stream(spark, sf_dir):
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
 
 
-def in_order(df, parts: int, name: str):
-    """Files of a table by ranges of step, written one after another: a source with several batches."""
+def arriving(df, transform, parts: int, name: str, by: str = "step", fmt: str = "parquet"):
+    """Run ``transform`` as a stream over a table that arrives in ``parts`` ranges of a column, one
+    bounded run for each with the same checkpoint; return all rows written."""
     import uuid
 
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    last = df.agg(F.max("step")).first()[0]
+    spark, base = df.sparkSession, f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    last, out = df.agg(F.max(by)).first()[0] or 0, None
     for i in range(parts):
-        df.where((F.col("step") > last * i // parts) & (F.col("step") <= last * (i + 1) // parts)).write.mode("append").parquet(path)
-    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 2).parquet(path)
+        low = F.col(by) > last * i // parts if i else F.lit(True)
+        df.where(low & (F.col(by) <= last * (i + 1) // parts)).write.mode("append").parquet(f"{base}/in")
+        stream = spark.readStream.schema(df.schema).parquet(f"{base}/in")
+        out, _ = jobs.drain(transform(stream), f"{base}/checkpoint", f"{base}/out", fmt)
+    return out
 
 
 def _sql(role: str) -> str:
@@ -51,8 +55,8 @@ def _sql(role: str) -> str:
 
 @query(f"WITH {EVT} SELECT event_id, {_sql('sender')}, {_sql('dest')} FROM evt")
 def stream_account_features(spark, sf_dir):
-    stream = in_order(evt(spark, sf_dir).select("event_id", "step", "amount", "sender", "dest"), 3, "ordered")
-    rows, _ = jobs.drain(jobs.account_features(stream))
+    events = evt(spark, sf_dir).select("event_id", "step", "amount", "sender", "dest")
+    rows = arriving(events, jobs.account_features, 3, "ordered")
     out = jobs.paired(rows)
     return out.select(*[F.round(c, 4).alias(c) if "total" in c or "sum" in c else F.col(c) for c in out.columns])
 
@@ -109,12 +113,17 @@ def stream_progress(spark, sf_dir):
     return spark.createDataFrame(rows, "run int, batch long, n_rows long")
 
 
-FEATURES = ("amount", "sender_old", "dest_old", "step", "to_sender")
+FEATURES = ("amount", "sender_old", "dest_old", "step", "to_sender", "priority")
+
+
+def derived(o):
+    """The features that depend on others; a candidate's are made anew from its amount and type."""
+    return o.withColumns({"to_sender": F.when(F.col("sender_old") > 0, F.col("amount") / F.col("sender_old")), "priority": F.substring("type", 1, 1).cast("int")})
 
 
 def _model(spark, sf_dir):
-    o = ords(spark, sf_dir).withColumn("to_sender", F.when(F.col("sender_old") > 0, F.col("amount") / F.col("sender_old")))
-    o = materialize(temporal_split(o).select("event_id", "label", "split", *FEATURES), "model-input")
+    o = derived(ords(spark, sf_dir))
+    o = materialize(temporal_split(o).select("event_id", "label", "split", "type", *FEATURES), "model-input")
     return o, *ml.fit(o.where("split = 'train'"), FEATURES)
 
 
@@ -139,5 +148,7 @@ def local_attributions(spark, sf_dir):
 
 @query()
 def counterfactual_amounts(spark, sf_dir):
+    """The nearest change of amount (by 1 to 400 %) or type that flips each decision of the test part."""
     o, model, floors = _model(spark, sf_dir)
-    return ml.counterfactuals(model, floors, o.where("split = 'test'"), FEATURES, (0.25, 0.5, 0.75, 0.9, 1.1, 1.25, 1.5, 2.0, 3.0, 5.0))
+    types = [r["type"] for r in o.select("type").distinct().orderBy("type").limit(5).collect()]
+    return ml.counterfactuals(model, floors, o.where("split = 'test'"), FEATURES, (0.25, 0.5, 0.75, 0.9, 0.99, 1.0, 1.01, 1.1, 1.5, 2.0, 3.0, 5.0), types, derived)

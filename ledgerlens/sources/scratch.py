@@ -9,10 +9,12 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; only where it is unset a temporary folder takes its place."""
+    """``spark.checkpoint.dir``; only where it is unset, in local mode, a temporary folder takes its place."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     return _own.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="spark-scratch-"))
 
 

@@ -5,7 +5,9 @@ Each takes and returns streaming frames; ``drain`` runs one to the end of what i
 
 import uuid
 from collections.abc import Iterator
+from functools import partial
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,9 +27,9 @@ def drain(stream: DataFrame, checkpoint: str | None = None, path: str | None = N
     """
     base = f"{shared_dir(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
     path, checkpoint = path or f"{base}/out", checkpoint or f"{base}/checkpoint"
-    query = stream.writeStream.format(fmt).option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    query = stream.writeStream.format(fmt).option("path", path).option("header", True).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(path), query
+    return stream.sparkSession.read.schema(stream.schema).option("header", True).format(fmt).load(path), query
 
 
 def by_role(events: DataFrame) -> DataFrame:
@@ -36,39 +38,64 @@ def by_role(events: DataFrame) -> DataFrame:
     return events.select("event_id", "step", "amount", F.explode(roles).alias("r")).select("r.role", "r.account", "event_id", "step", "amount")
 
 
-def _account(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+def _account(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState, scored_from: int) -> Iterator[pd.DataFrame]:
     """History of one account in one role: features are read before the event is added.
 
-    State keeps sums and the events of the longest window only.
+    State keeps sums and the events of the longest window only; windows are differences of prefix sums.
+    Events before ``scored_from`` change the state alone.
     """
     n, total, largest, last, steps, amounts = state.get if state.exists else (0, 0.0, None, None, [], [])
-    steps, amounts = list(steps or []), list(amounts or [])
     batch = pd.concat(list(frames), ignore_index=True).sort_values(["step", "event_id"])
-    rows = []
-    for event, step, amount in zip(batch["event_id"].tolist(), batch["step"].tolist(), batch["amount"].tolist(), strict=True):
-        keep = next((i for i, s in enumerate(steps) if s > step - max(WINDOWS)), len(steps))
-        steps, amounts = steps[keep:], amounts[keep:]
-        row = [*key, event, n, total, largest, None if last is None else step - last]
-        for w in WINDOWS:
-            near = [a for s, a in zip(steps, amounts, strict=True) if s > step - w]
-            row += [len(near), float(sum(near))]
-        rows.append(row)
-        n, total, largest, last = n + 1, total + amount, amount if largest is None else max(largest, amount), step
-        steps.append(step)
-        amounts.append(amount)
-    state.update((n, total, largest, last, steps, amounts))
-    out = pd.DataFrame(rows, columns=[c.split()[0] for c in OUT.split(", ")])
-    out["hours_since_prev"] = out["hours_since_prev"].astype("Int64")
-    yield out
-
-
-def account_features(events: DataFrame) -> DataFrame:
+    known, step, amount = len(steps or []), batch["step"].to_numpy(np.int64), batch["amount"].to_numpy(float)
+    every, paid = np.concatenate((np.array(steps or [], np.int64), step)), np.concatenate((np.array(amounts or [], float), amount))
+    place = np.arange(known, len(every))
+    out = pd.DataFrame({"role": key[0], "account": key[1], "event_id": batch["event_id"].to_numpy()})
+    out["prev_count"] = n + np.arange(len(step))
+    out["prev_total"] = total + np.concatenate(([0.0], np.cumsum(amount)[:-1]))
+    before = np.maximum.accumulate(np.concatenate(([-np.inf if largest is None else largest], amount)))
+    out["prev_max"] = np.where(np.isinf(before[:-1]), np.nan, before[:-1])
+    out["hours_since_prev"] = pd.array(step, "Int64") - pd.array([last, *step[:-1].tolist()], "Int64")
+    upto = np.concatenate(([0.0], np.cumsum(paid)))
+    in_order = bool((np.diff(every) >= 0).all())
+    for w in WINDOWS:
+        if in_order:
+            first = np.searchsorted(every, step - w, "right")
+            out[f"count_{w}h"], out[f"sum_{w}h"] = place - first, upto[place] - upto[first]
+        else:  # an account with late events: each row looks at all that came before it
+            near = [every[:p] > s - w for p, s in zip(place.tolist(), step.tolist(), strict=True)]
+            out[f"count_{w}h"], out[f"sum_{w}h"] = [int(x.sum()) for x in near], [float(paid[: len(x)][x].sum()) for x in near]
+    keep = every > step[-1] - max(WINDOWS)
+    state.update((n + len(step), total + float(amount.sum()), float(before[-1]), int(step[-1]), every[keep].tolist(), paid[keep].tolist()))
+    yield out[step >= scored_from]
+
+
+def account_features(events: DataFrame, scored_from: int = -(1 << 62)) -> DataFrame:
     """Strictly past features of both accounts of each event, keyed by (role, account).
 
+    A stream that begins with the events of the past warms the state up: those with a step below
+    ``scored_from`` are known to later ones and get no row. An event with a lower step than its
+    account's last is taken as it comes (its hours are negative); ``late_events`` finds such events.
+
     No single-partition order is needed: only events of one account are put in order, by
     (step, event_id) in a batch, by arrival between batches.
     """
-    return by_role(events).groupBy("role", "account").applyInPandasWithState(_account, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
+    return by_role(events).groupBy("role", "account").applyInPandasWithState(partial(_account, scored_from=scored_from), OUT, STATE, "append", GroupStateTimeout.NoTimeout)
+
+
+def _late(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState, account: str) -> Iterator[pd.DataFrame]:
+    batch = pd.concat(list(frames), ignore_index=True).sort_values("event_id")
+    step = batch["step"].to_numpy(np.int64)
+    newest = np.maximum.accumulate(np.concatenate((state.get[:1] if state.exists else [-(1 << 62)], step)))
+    state.update((int(newest[-1]),))
+    batch["hours_late"] = newest[:-1] - step
+    yield batch.loc[batch["hours_late"] > 0, ["event_id", account, "step", "hours_late"]]
+
+
+def late_events(events: DataFrame, account: str) -> DataFrame:
+    """Events ``(event_id, account, step)`` with a lower step than an earlier one of their account, by
+    event_id in a batch and by arrival between batches, and how late they are."""
+    out = f"event_id long, {account} long, step long, hours_late long"
+    return events.groupBy(account).applyInPandasWithState(partial(_late, account=account), out, "newest long", "append", GroupStateTimeout.NoTimeout)
 
 
 def paired(features: DataFrame) -> DataFrame:
