@@ -78,9 +78,42 @@ PAIR = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 def pair_hash(left: np.ndarray, right: np.ndarray, seed: int = 0) -> np.ndarray:
     """Hash of a run from the hashes of its two (possibly overlapping) parts."""
     x = left * U(PAIR[seed])
-    x ^= x >> U(29)
+    x ^= x >> U(32)
     x += right
-    return mix(x)
+    x *= U(SEEDS[seed])
+    x ^= x >> U(29)
+    return x
+
+
+BASE = 0xD1342543DE82EF95
+
+
+class _Powers:
+    """Powers of the base and of its inverse, grown on demand and kept for a worker's life."""
+
+    up = down = np.ones(1, U)
+
+    @classmethod
+    def of(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(cls.up) < n:
+            size = max(n, 1 << 16, 2 * len(cls.up))
+            cls.up, cls.down = (np.multiply.accumulate(np.append(np.ones(1, U), np.full(size - 1, b, U))) for b in (BASE, pow(BASE, -1, 1 << 64)))
+        return cls.up, cls.down
+
+
+def quick_gram_hash(tokens: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of all runs of ``n`` tokens from prefix sums, at a fifth of the cost of ``gram_hash``.
+
+    A polynomial has pairs of texts that collide, so this is for what only rules runs out.
+    """
+    if len(tokens) < n:
+        return np.zeros(0, U)
+    up, down = _Powers.of(len(tokens))
+    sums = np.zeros(len(tokens) + 1, U)
+    np.cumsum(tokens * up[: len(tokens)], out=sums[1:])
+    out = sums[n:] - sums[:-n]
+    out *= down[: len(out)]
+    return mix(out)
 
 
 def gram_hash(tokens: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
@@ -123,8 +156,8 @@ class Tokens:
 
 
 def text_bytes(column: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes of all texts of an Arrow column and the offset of each; null counts as empty."""
-    column = column.fill_null("").cast(pa.large_string())
+    """Bytes of all texts (or binary values) of an Arrow column and the offset of each; null counts as empty."""
+    column = column.fill_null(b"").cast(pa.large_binary()) if pa.types.is_binary(column.type) else column.fill_null("").cast(pa.large_string())
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
     raw = column.buffers()[2]
     data = np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]] if raw is not None and raw.size else np.zeros(0, np.uint8)
@@ -156,7 +189,7 @@ def tokenize(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = IS_SPA
 
 def slices(batch: pa.RecordBatch, column: str, size: int = 1 << 19):
     """Cut a batch into runs of rows with about ``size`` bytes of text, so that arrays stay in cache."""
-    lengths = pc.binary_length(batch.column(column).fill_null("")).to_numpy(zero_copy_only=False)
+    lengths = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
     total = np.cumsum(lengths, dtype=np.int64)
     at = 0
     while at < len(total):

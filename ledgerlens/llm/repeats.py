@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.hashing import U, Tokens, byte_tokens, gram_hash, mix, pair_hash, placed_hash, slices, word_tokens
+from ledgerlens.llm.hashing import U, Tokens, byte_tokens, gram_hash, mix, pair_hash, placed_hash, quick_gram_hash, slices, word_tokens
 
 PROBE = "key long, other long, n int, row long, lo int, hi int"
 #: Probes that a task gathers before it joins equal keys and sends them on.
@@ -54,9 +54,7 @@ def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
 
 def covered(n: int, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     """Mask of the positions in any of the ranges ``lo:hi``."""
-    steps = np.zeros(n + 1, np.int32)
-    np.add.at(steps, np.minimum(lo, n), 1)
-    np.add.at(steps, np.minimum(hi, n), -1)
+    steps = np.bincount(np.minimum(lo, n), minlength=n + 1) - np.bincount(np.minimum(hi, n), minlength=n + 1)
     return np.cumsum(steps[:-1]) > 0
 
 
@@ -108,7 +106,7 @@ def sampled(tokens: Tokens, mask: np.ndarray, window: int, q: int) -> tuple[np.n
         tile = -(-window // 8)
         keys = [window_hash(gram_hash(v, tile, i), at, window, tile, i) for i, v in enumerate((tokens.values, tokens.other()))]
         return *keys, at, at + 1
-    grams = gram_hash(tokens.values, q)
+    grams = quick_gram_hash(tokens.values, q)
     chosen = sliding_argmin(grams, window - q + 1)[at]
     new = np.flatnonzero(np.concatenate(([True], chosen[1:] != chosen[:-1])))
     key = grams[chosen[new]]
@@ -144,7 +142,7 @@ def send(key: np.ndarray, other: np.ndarray, row: np.ndarray, lo: np.ndarray, hi
     own = mix(key ^ mix(row.astype(U) * U(0x9E3779B97F4A7C15) + lo.astype(U)))
     rows = {
         "key": np.where(count > 0, key, own).view(np.int64),
-        "other": other.view(np.int64),
+        "other": np.where((count > 0) | (other != 0), other, key).view(np.int64),  # a key of its own doesn't lose the old one
         "n": count,
         "row": row,
         "lo": lo.astype(np.int32),
@@ -169,14 +167,12 @@ def sent(probes: Iterator[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         yield from send(*map(np.concatenate, zip(*held, strict=True)))
 
 
-def probe_batches(batches: Iterator[pa.RecordBatch], unit: str, window: int, q: int, every: int, refined: tuple[int, int] | None) -> Iterator[pa.RecordBatch]:
+def probe_batches(batches: Iterator[pa.RecordBatch], unit: str, window: int, q: int, every: int) -> Iterator[pa.RecordBatch]:
     def probes() -> Iterator[tuple[np.ndarray, ...]]:
         for batch in batches:
             for part in slices(batch, "text"):
                 tokens = tokens_of(part.column("text"), unit)
                 mask = open_windows(part, tokens, window)
-                if refined:
-                    mask &= in_open_buckets(part, tokens, window, *refined)
                 key, other, lo, hi = stretches(tokens, mask, window, q, every) if every else sampled(tokens, mask, window, q)
                 text = np.searchsorted(tokens.first, lo, "right") - 1
                 yield key, other, part.column("row").to_numpy(zero_copy_only=False)[text], lo - tokens.first[text], hi - tokens.first[text]
@@ -192,46 +188,57 @@ def shared(probes: DataFrame, speaks: bool = False) -> DataFrame:
     return counted.where("total > 1 OR n < 0")
 
 
-def repeated(docs: DataFrame, unit: str, window: int, q: int, every: int = 0, refined: tuple[int, int] | None = None) -> DataFrame:
+def repeated(docs: DataFrame, unit: str, window: int, q: int, every: int = 0) -> DataFrame:
     """Window ranges ``(row, lo, hi, speaks)`` whose probe occurs more than once in all documents.
 
-    ``speaks`` marks one range of each key. ``refined`` are the q and every of buckets in ``docs``
-    (see ``suffixes``) that windows must be in.
+    ``speaks`` marks one range of each key.
     """
-    probes = docs.mapInArrow(partial(probe_batches, unit=unit, window=window, q=q, every=every, refined=refined), PROBE)
+    probes = docs.mapInArrow(partial(probe_batches, unit=unit, window=window, q=q, every=every), PROBE)
     return shared(probes, bool(every)).select("row", "lo", "hi", "speaks")
 
 
 def picked(tokens: Tokens, window: int, q: int, every: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Places that their own q-gram chooses, in texts with a window; their grams, and numbers in the text."""
-    grams = gram_hash(tokens.values, q)
+    grams = quick_gram_hash(tokens.values, q)
     inside = covered(len(tokens.values), tokens.first[:-1], np.where(np.diff(tokens.first) >= window, tokens.first[1:] - q + 1, tokens.first[:-1]))
     at = np.flatnonzero(inside[: len(grams)] & (grams % U(every) == 0))
     start = np.searchsorted(at, tokens.first[:-1])
     return at, grams[at], np.arange(len(at)) - start[np.searchsorted(tokens.first, at, "right") - 1]
 
 
-def in_open_buckets(batch: pa.RecordBatch, tokens: Tokens, window: int, q: int, every: int) -> np.ndarray:
-    """Mask of windows all of whose chosen places, pairs and fours of them are in buckets with others.
+def open_ranges(batches: Iterator[pa.RecordBatch], window: int, q: int, every: int) -> Iterator[pa.RecordBatch]:
+    """The parts ``(of, base, text)`` of texts whose windows all have their chosen places, pairs and fours
+    of them in buckets with others: row and offset that each is from, and its bytes.
 
     Columns ``open1``, ``open2`` and ``open4`` have the numbers of those of each text; any other place,
     pair or four closes the windows that have it inside.
     """
-    at, _, number = picked(tokens, window, q, every)
-    text = np.searchsorted(tokens.first, at, "right") - 1
-    mask = np.ones(len(tokens.values), bool)
-    for size in (1, 2, 4):
-        column = batch.column(f"open{size}")
-        count = pc.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-        known = (np.repeat(np.arange(len(batch)), count) << 32) + column.flatten().to_numpy(zero_copy_only=False)
-        ends = np.arange(len(at)) + size - 1
-        has = np.flatnonzero(ends < len(at))
-        has = has[text[ends[has]] == text[has]]
-        closed = has[~np.isin((text[has] << 32) + number[has], known)]
-        lo = np.maximum(at[ends[closed]] + q - window, tokens.first[text[closed]])
-        hi = np.maximum(at[closed] + 1, lo)
-        mask &= ~covered(len(mask), lo, hi)
-    return mask
+    for batch in batches:
+        for part in slices(batch, "text"):
+            tokens = byte_tokens(part.column("text"))
+            first, n = tokens.first, len(tokens.values)
+            at, _, number = picked(tokens, window, q, every)
+            text = np.searchsorted(first, at, "right") - 1
+            base = np.searchsorted(at, first[:-1])
+            mask = covered(n, first[:-1], np.maximum(first[1:] - window + 1, first[:-1]))
+            known = np.ones(len(at), bool)
+            for size in (1, 2, 4):
+                column = part.column(f"open{size}")
+                count = pc.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                here = np.zeros(len(at), bool)
+                here[np.repeat(base, count) + column.flatten().to_numpy(zero_copy_only=False)] = True
+                last = np.flatnonzero(known) + size - 1  # what the last round closed closes no more windows
+                last = last[last < len(at)]
+                start = last - size + 1
+                own = (text[last] == text[start]) & ~here[start]
+                lo = np.maximum(at[last[own]] + q - window, first[text[start[own]]])
+                mask &= ~covered(n, lo, np.maximum(at[start[own]] + 1, lo))
+                known = here
+            lo, hi = spans(mask)
+            row = np.searchsorted(first, lo, "right") - 1
+            raw = tokens.data.tobytes()
+            parts = [raw[x : y + window - 1] for x, y in zip(lo.tolist(), hi.tolist(), strict=True)]
+            yield pa.RecordBatch.from_pydict({"of": part.column("row").take(pa.array(row)), "base": (lo - first[row]).astype(np.int32), "text": pa.array(parts, pa.binary())})
 
 
 def per_document(ranges: DataFrame, name: str) -> DataFrame:

@@ -8,24 +8,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import materialize
-from ledgerlens.llm.hashing import U, byte_tokens, mix, pair_hash, slices
-from ledgerlens.llm.repeats import PROBE, per_document, picked, ranges_mask, repeated, sent, settled, shared, spans
+from ledgerlens.llm.common import bucketed, materialize, partitions
+from ledgerlens.llm.hashing import U, byte_tokens, pair_hash, slices, text_bytes
+from ledgerlens.llm.repeats import PROBE, open_ranges, per_document, picked, ranges_mask, repeated, sent, settled, shared, spans
 from ledgerlens.llm.substring import text_copy
 
 
 def kept_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "text"):
-            tokens = byte_tokens(part.column("text"))
-            first, n = tokens.first, len(tokens.values)
+            data, first = text_bytes(part.column("text"))
+            n = len(data)
             gone = ranges_mask(part, ("done_lo", "done_hi"), first)
             gone = gone if gone is not None and n else np.zeros(n, bool)
             kept, removed = [], []
             for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
                 lo, hi = spans(gone[a:b])
                 removed.append([{"start": int(x), "end": int(y)} for x, y in zip(lo, hi, strict=True)])
-                kept.append(tokens.data[a:b][~gone[a:b]].tobytes())
+                kept.append(data[a:b][~gone[a:b]].tobytes())
             yield pa.RecordBatch.from_pydict(
                 {
                     "doc_id": part.column("doc_id"),
@@ -45,7 +45,7 @@ def gram_buckets(batches: Iterator[pa.RecordBatch], window: int, q: int, every:
                 tokens = byte_tokens(part.column("text"))
                 at, key, number = picked(tokens, window, q, every)
                 text = np.searchsorted(tokens.first, at, "right") - 1
-                yield key, mix(key + U(1)), part.column("row").to_numpy(zero_copy_only=False)[text], at - tokens.first[text], number
+                yield key, np.zeros(len(key), U), part.column("row").to_numpy(zero_copy_only=False)[text], at - tokens.first[text], number
 
     yield from sent(probes())
 
@@ -70,7 +70,7 @@ def pointer_pairs(batches: Iterator[pa.RecordBatch], window: int, q: int, step:
             gap = lo[later[has]] - lo[has]
             has, gap = has[gap + q <= window], gap[gap + q <= window]
             key = pair_hash(pair_hash(name[has].view(U), name[later[has]].view(U)), gap.astype(U))
-            yield key, mix(key + U(1)), row[has], lo[has], number[has]
+            yield key, np.zeros(len(key), U), row[has], lo[has], number[has]
 
     yield from sent(probes())
 
@@ -83,14 +83,15 @@ def refine(state: DataFrame, window: int, q: int, step: int) -> DataFrame:
 
 def buckets(probes: DataFrame) -> DataFrame:
     """Suffixes that share a bucket, with its identifier."""
-    return materialize(shared(probes).select("row", "lo", "hi", F.col("other").alias("name")), "buckets")
+    name = F.when(F.col("n") > 0, F.col("key")).otherwise(F.col("other"))
+    return materialize(shared(probes).select("row", "lo", "hi", name.alias("name")), "buckets")
 
 
 def numbers(state: DataFrame, name: str) -> DataFrame:
     return state.groupBy("row").agg(F.array_sort(F.collect_list("hi")).alias(name))
 
 
-def suffix_dedup(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text", every: int = 32) -> DataFrame:
+def suffix_dedup(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text", every: int = 40) -> DataFrame:
     """Remove every byte covered by a string of ``length`` bytes that also starts anywhere else.
 
     Bucket-pointer refinement over the suffixes that a q-gram (an eighth of the length) chooses, one
@@ -98,7 +99,7 @@ def suffix_dedup(docs: DataFrame, length: int = 200, id_col: str = "doc_id", tex
     their own bucket and of the bucket of a later suffix, both of the last round, and gives new
     identifiers, which the next round reads at twice the distance. A suffix that is alone is settled
     and, as a later suffix, settles others without a sort. Strings that have a chosen suffix, pair or
-    four of neighbours alone in its bucket occur once; only the others are looked at on their own:
+    four of neighbours alone in its bucket occur once; only the parts of texts with others go on:
     long common prefixes are settled whole (see ``repeats.stretches``), the rest by all their bytes.
 
     Returns ``doc_id, n_bytes, removed (start, end of each maximal run), kept (bytes)``. Texts are
@@ -114,12 +115,15 @@ def suffix_dedup(docs: DataFrame, length: int = 200, id_col: str = "doc_id", tex
     open_ = texts
     for state, name in ((one, "open1"), (two, "open2"), (four, "open4")):
         open_ = open_.join(numbers(state, name).hint("shuffle_hash"), "row", "left")
-    whole = materialize(settled(repeated(open_, "byte", length, q, every=every, refined=(q, every))), "stretches")
-    near = repeated(open_.join(whole.hint("shuffle_hash"), "row", "left"), "byte", length, max(1, length - length // 10), refined=(q, every))
+    parts = open_.mapInArrow(partial(open_ranges, window=length, q=q, every=every), "of long, base int, text binary")
+    parts = bucketed(parts.withColumn("row", F.monotonically_increasing_id()), "row", "parts", partitions(docs.sparkSession))
+    whole = materialize(settled(repeated(parts, "byte", length, q, every=every)), "stretches")
+    near = repeated(parts.join(whole.hint("shuffle_hash"), "row", "left"), "byte", length, max(1, length - length // 10))
     near = materialize(per_document(near, "cand"), "candidates")
-    state = texts.join(near.hint("shuffle_hash"), "row").join(whole.hint("shuffle_hash"), "row", "left")
+    state = parts.join(near.hint("shuffle_hash"), "row").join(whole.hint("shuffle_hash"), "row", "left")
     single = repeated(state, "byte", length, length)
     ranges = single.drop("speaks").unionByName(whole.select("row", F.explode(F.arrays_zip("done_lo", "done_hi")).alias("r")).selectExpr("row", "r.done_lo AS lo", "r.done_hi AS hi"))
+    ranges = ranges.join(parts.select("row", "of", "base"), "row").selectExpr("of AS row", "lo + base AS lo", "hi + base AS hi")
     done = per_document(ranges.withColumn("hi", F.expr(f"hi + {length - 1}")), "done")
     out = "doc_id long, n_bytes long, removed array<struct<start: int, end: int>>, kept binary"
     return texts.join(done.hint("shuffle_hash"), "row", "left").mapInArrow(kept_bytes, out)
