@@ -1,5 +1,6 @@
 """Helpers that the text operators share: the shared folder, scratch tables, input columns."""
 
+import gc
 import os
 import tempfile
 import uuid
@@ -49,6 +50,13 @@ def bucketed(df: DataFrame, key: str, name: str, buckets: int, sort: bool = Fals
     return spark.table(table)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of steps whose results are written; it does so for plans that
+    have become garbage, which else happens whenever the driver's heap fills up."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import bucketed, materialize, partitions
+from ledgerlens.llm.common import bucketed, materialize, partitions, release
 from ledgerlens.llm.hashing import U, byte_tokens, pair_hash, slices, text_bytes
 from ledgerlens.llm.repeats import PROBE, open_ranges, per_document, picked, ranges_mask, repeated, sent, settled, shared, spans
 from ledgerlens.llm.substring import text_copy
@@ -84,7 +84,9 @@ def refine(state: DataFrame, window: int, q: int, step: int) -> DataFrame:
 def buckets(probes: DataFrame) -> DataFrame:
     """Suffixes that share a bucket, with its identifier."""
     name = F.when(F.col("n") > 0, F.col("key")).otherwise(F.col("other"))
-    return materialize(shared(probes).select("row", "lo", "hi", name.alias("name")), "buckets")
+    out = materialize(shared(probes).select("row", "lo", "hi", name.alias("name")), "buckets")
+    release(out.sparkSession)
+    return out
 
 
 def numbers(state: DataFrame, name: str) -> DataFrame:
@@ -118,8 +120,10 @@ def suffix_dedup(docs: DataFrame, length: int = 200, id_col: str = "doc_id", tex
     parts = open_.mapInArrow(partial(open_ranges, window=length, q=q, every=every), "of long, base int, text binary")
     parts = bucketed(parts.withColumn("row", F.monotonically_increasing_id()), "row", "parts", partitions(docs.sparkSession))
     whole = materialize(settled(repeated(parts, "byte", length, q, every=every)), "stretches")
+    release(docs.sparkSession)
     near = repeated(parts.join(whole.hint("shuffle_hash"), "row", "left"), "byte", length, max(1, length - length // 10))
     near = materialize(per_document(near, "cand"), "candidates")
+    release(docs.sparkSession)
     state = parts.join(near.hint("shuffle_hash"), "row").join(whole.hint("shuffle_hash"), "row", "left")
     single = repeated(state, "byte", length, length)
     ranges = single.drop("speaks").unionByName(whole.select("row", F.explode(F.arrays_zip("done_lo", "done_hi")).alias("r")).selectExpr("row", "r.done_lo AS lo", "r.done_hi AS hi"))
