@@ -8,9 +8,11 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from ledgerlens.llm import counts, decontam, exact, licenses, neardup, packing, queries, scoring, substring, suffixes, toxicity
+from ledgerlens.llm import pitman_yor as hpy
 from ledgerlens.llm.common import documents
 from ledgerlens.llm.components import components
 
@@ -248,6 +250,55 @@ def test_lm_scores(docs, rows, empty):
     assert scoring.score_documents(empty).count() == 0
 
 
+def seating_score(rows, held):
+    """The model of lm_scores by dictionaries over all documents at once: its sweeps, draws and averages."""
+    words, contexts, doc = scoring.events(pa.RecordBatch.from_pydict({"text": pa.array([t for _, t in rows], pa.string())}))
+    tokens = list(zip(words.tolist(), contexts.tolist(), doc.tolist(), strict=True))
+    pairs = sorted({t[:2] for t in tokens})
+    seen = Counter(t[:2] for t in tokens if not held[rows[t[2]][0]])
+    count = np.array([seen[p] for p in pairs])
+    names = hpy.pair_keys(*np.array(pairs, np.uint64).T)
+    vocabulary = sorted({w for w, _ in pairs})
+    of_words = hpy.word_keys(np.array(vocabulary, np.uint64))
+
+    def by(which, values):
+        out = Counter()
+        for pair, x in zip(pairs, values.tolist(), strict=True):
+            out[pair[which]] += x
+        return out
+
+    tables, root_tables, discount, mean = np.minimum(count, 1), None, None, 0.0
+    customers = by(1, count)
+    for sweep in range(scoring.BURN_IN + 1):
+        root_customers, held_tables = by(0, tables), by(1, tables)
+        at_root = np.array([root_customers[w] for w in vocabulary])
+        root_tables = stage.root_seats(at_root, of_words, sweep) if sweep else np.minimum(at_root, 1)
+        if not sweep:
+            ones = [[(x == k).sum() for k in (1, 2)] for x in (count, at_root)]
+            discount = tuple(min(max(a / max(a + 2 * b, 1), 0.05), 0.95) for a, b in ones)
+        stage = hpy.Stage(at_root.sum(), root_tables.sum(), discount, sum(v > 0 for v in by(0, count).values()), count.sum())
+        root = dict(zip(vocabulary, stage.root(at_root, root_tables).tolist(), strict=True))
+        of_word, of_context = np.array([root[w] for w, _ in pairs]), np.array([held_tables[c] for _, c in pairs])
+        if sweep < scoring.BURN_IN:
+            tables = stage.seats(count, of_word, of_context, names, sweep + 1)
+    for i in range(1, scoring.SWEEPS + 1):
+        tables = stage.seats(count, of_word, of_context, names, scoring.BURN_IN + 1 + i)
+        mean = mean + stage.predictive(count, tables, of_word, np.array([customers[c] for _, c in pairs]), of_context) / scoring.SWEEPS
+    log, out = dict(zip(pairs, np.log10(mean).tolist(), strict=True)), Counter()
+    for w, c, d in tokens:
+        out[rows[d][0]] += log[w, c]
+    return out
+
+
+def test_lm_scores_are_those_of_the_model(spark, docs, rows, monkeypatch):
+    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in rows}
+    want = seating_score(rows, held)
+    for hot in (256, 5):
+        monkeypatch.setattr(scoring, "HOT", hot)
+        got = {r["doc_id"]: r["score"] for r in scoring.score_documents(docs).collect()}
+        assert got == {i: pytest.approx(x, rel=1e-6) for i, x in want.items()}
+
+
 def test_lm_scores_depend_on_the_texts_alone(spark, docs):
     def scores(parts, shuffle):
         spark.conf.set("spark.sql.shuffle.partitions", shuffle)
