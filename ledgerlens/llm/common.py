@@ -33,10 +33,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
+def materialize(df: DataFrame, name: str, folder: str = "") -> DataFrame:
+    """Write ``df`` to the shared folder, or to ``folder`` in it, and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    path = scratch_path(spark, name)
+    path = f"{folder}/{name}" if folder else scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -50,6 +50,12 @@ def bucketed(df: DataFrame, key: str, name: str, buckets: int, sort: bool = Fals
     return spark.table(table)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of tables that no later step reads."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of steps whose results are written; it does so for plans that
     have become garbage, which else happens whenever the driver's heap fills up."""

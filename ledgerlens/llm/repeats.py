@@ -114,10 +114,13 @@ def sampled(tokens: Tokens, mask: np.ndarray, window: int, q: int) -> tuple[np.n
 
 
 def stretches(tokens: Tokens, mask: np.ndarray, window: int, q: int, every: int) -> tuple[np.ndarray, ...]:
-    """Keys and ranges of runs between neighbouring starts that their own q-gram chooses."""
+    """Keys and ranges of runs between neighbouring starts that their own q-gram chooses, or that begin or
+    end an open run: equal texts are so settled up to their ends."""
     grams = gram_hash(tokens.values, q)
     pick = mask.copy()
     pick[: len(grams)] &= grams % U(every) == 0
+    begin, end = spans(mask)
+    pick[begin], pick[end - 1] = True, True
     at = np.flatnonzero(pick)
     if len(at) < 2:
         return np.zeros(0, U), np.zeros(0, U), at[:0], at[:0]
@@ -242,9 +245,9 @@ def open_ranges(batches: Iterator[pa.RecordBatch], window: int, q: int, every: i
 
 
 def per_document(ranges: DataFrame, name: str) -> DataFrame:
-    """Ranges of each document as two lists; as long as the document at most."""
-    pairs = F.array_sort(F.collect_list(F.struct("lo", "hi")))
-    return ranges.groupBy("row").agg(pairs.alias("r")).select("row", F.col("r.lo").alias(f"{name}_lo"), F.col("r.hi").alias(f"{name}_hi"))
+    """Ranges of each document as two lists; as long as the document at most. A range is one number on its way."""
+    both = ranges.select("row", F.expr("shiftleft(CAST(lo AS BIGINT), 32) + hi").alias("r")).groupBy("row").agg(F.array_sort(F.collect_list("r")).alias("r"))
+    return both.selectExpr("row", f"transform(r, x -> CAST(shiftright(x, 32) AS INT)) AS {name}_lo", f"transform(r, x -> CAST(x & 2147483647 AS INT)) AS {name}_hi")
 
 
 def settled(ranges: DataFrame) -> DataFrame:

@@ -5,10 +5,11 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import bucketed, materialize, partitions, release
+from ledgerlens.llm.common import bucketed, materialize, partitions, release, remove, scratch_path
 from ledgerlens.llm.hashing import U, byte_tokens, pair_hash, slices, text_bytes
 from ledgerlens.llm.repeats import PROBE, open_ranges, per_document, picked, ranges_mask, repeated, sent, settled, shared, spans
 from ledgerlens.llm.substring import text_copy
@@ -75,16 +76,16 @@ def pointer_pairs(batches: Iterator[pa.RecordBatch], window: int, q: int, step:
     yield from sent(probes())
 
 
-def refine(state: DataFrame, window: int, q: int, step: int) -> DataFrame:
+def refine(state: DataFrame, window: int, q: int, step: int, round_: str, folder: str) -> DataFrame:
     """The next round's buckets: ``(row, lo, hi, name)`` of suffixes that are not alone."""
     lists = state.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("lo", "hi", "name"))).alias("s"))
-    return buckets(lists.mapInArrow(partial(pointer_pairs, window=window, q=q, step=step), PROBE))
+    return buckets(lists.mapInArrow(partial(pointer_pairs, window=window, q=q, step=step), PROBE), round_, folder)
 
 
-def buckets(probes: DataFrame) -> DataFrame:
+def buckets(probes: DataFrame, round_: str, folder: str) -> DataFrame:
     """Suffixes that share a bucket, with its identifier."""
     name = F.when(F.col("n") > 0, F.col("key")).otherwise(F.col("other"))
-    out = materialize(shared(probes).select("row", "lo", "hi", name.alias("name")), "buckets")
+    out = materialize(shared(probes).select("row", "lo", "hi", name.alias("name")), round_, folder)
     release(out.sparkSession)
     return out
 
@@ -93,6 +94,23 @@ def numbers(state: DataFrame, name: str) -> DataFrame:
     return state.groupBy("row").agg(F.array_sort(F.collect_list("hi")).alias(name))
 
 
+def whole_runs(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    """Maximal runs ``(row, lo, hi)`` of bytes in repeated windows, in terms of the text that each part is ``of``."""
+    for batch in batches:
+        base, starts, ends = batch.column("base").to_numpy(zero_copy_only=False).astype(np.int64), [], []
+        for name in ("one", "done"):
+            lo, hi = batch.column(f"{name}_lo"), batch.column(f"{name}_hi")
+            part = np.repeat(np.arange(len(batch)), pc.list_value_length(lo).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+            for held, values, more in ((starts, lo, 0), (ends, hi, window - 1)):
+                held.append((part << 32) + values.flatten().to_numpy(zero_copy_only=False) + more)
+        lo, hi = np.concatenate(starts), np.concatenate(ends)
+        order = np.argsort(lo, kind="stable")
+        lo, upto = lo[order], np.maximum.accumulate(hi[order])
+        new = np.flatnonzero(np.concatenate(([True], lo[1:] > upto[:-1]))) if len(lo) else np.zeros(0, np.int64)
+        part, lo, hi = lo[new] >> 32, lo[new] & 0xFFFFFFFF, upto[np.append(new[1:], len(upto)) - 1][: len(new)] & 0xFFFFFFFF
+        yield pa.RecordBatch.from_pydict({"row": batch.column("of").take(pa.array(part)), "lo": (lo + base[part]).astype(np.int32), "hi": (hi + base[part]).astype(np.int32)})
+
+
 def suffix_dedup(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text", every: int = 40) -> DataFrame:
     """Remove every byte covered by a string of ``length`` bytes that also starts anywhere else.
 
@@ -111,24 +129,25 @@ def suffix_dedup(docs: DataFrame, length: int = 200, id_col: str = "doc_id", tex
     """
     texts = text_copy(docs, id_col, text_col)
     q = max(1, length // 8)
-    one = buckets(texts.mapInArrow(partial(gram_buckets, window=length, q=q, every=every), PROBE))
-    two = refine(one, length, q, 1)
-    four = refine(two, length, q, 2)
+    folder = scratch_path(docs.sparkSession, "buckets")
+    one = buckets(texts.mapInArrow(partial(gram_buckets, window=length, q=q, every=every), PROBE), "one", folder)
+    two = refine(one, length, q, 1, "two", folder)
+    four = refine(two, length, q, 2, "four", folder)
     open_ = texts
     for state, name in ((one, "open1"), (two, "open2"), (four, "open4")):
         open_ = open_.join(numbers(state, name).hint("shuffle_hash"), "row", "left")
     parts = open_.mapInArrow(partial(open_ranges, window=length, q=q, every=every), "of long, base int, text binary")
     parts = bucketed(parts.withColumn("row", F.monotonically_increasing_id()), "row", "parts", partitions(docs.sparkSession))
+    remove(docs.sparkSession, folder)
     whole = materialize(settled(repeated(parts, "byte", length, q, every=every)), "stretches")
     release(docs.sparkSession)
     near = repeated(parts.join(whole.hint("shuffle_hash"), "row", "left"), "byte", length, max(1, length - length // 10))
     near = materialize(per_document(near, "cand"), "candidates")
     release(docs.sparkSession)
     state = parts.join(near.hint("shuffle_hash"), "row").join(whole.hint("shuffle_hash"), "row", "left")
-    single = repeated(state, "byte", length, length)
-    ranges = single.drop("speaks").unionByName(whole.select("row", F.explode(F.arrays_zip("done_lo", "done_hi")).alias("r")).selectExpr("row", "r.done_lo AS lo", "r.done_hi AS hi"))
-    ranges = ranges.join(parts.select("row", "of", "base"), "row").selectExpr("of AS row", "lo + base AS lo", "hi + base AS hi")
-    done = per_document(ranges.withColumn("hi", F.expr(f"hi + {length - 1}")), "done")
+    single = per_document(repeated(state, "byte", length, length), "one")
+    found = parts.select("row", "of", "base").join(single.hint("shuffle_hash"), "row", "left").join(whole.select("row", "done_lo", "done_hi").hint("shuffle_hash"), "row", "left")
+    done = per_document(found.mapInArrow(partial(whole_runs, window=length), "row long, lo int, hi int"), "done")
     out = "doc_id long, n_bytes long, removed array<struct<start: int, end: int>>, kept binary"
     return texts.join(done.hint("shuffle_hash"), "row", "left").mapInArrow(kept_bytes, out)
 
