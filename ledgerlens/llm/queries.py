@@ -2,8 +2,9 @@
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ledgerlens.llm import counts, decontam, exact, licenses, neardup, packing, scoring, substring, suffixes, toxicity
+from ledgerlens.llm import counts, decontam, exact, lexical, licenses, neardup, negatives, packing, scoring, substring, suffixes, topk, toxicity
 from ledgerlens.llm.common import documents
 
 
@@ -47,5 +48,18 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.digest_of(suffixes.suffix_dedup(documents(spark, sf_dir), 200))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_best_fit_packing, op3_lm_scoring, op4_substring_dedup, op5_decontamination, op6_near_dedup, op7_license_scan, op8_toxicity, op9_token_counts, op10_suffix_dedup)}
-ORACLES = {"op1_exact_dedup": exact.ORACLE, "op4_substring_dedup": substring.ORACLE, "op6_near_dedup": neardup.ORACLE}
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 100 == 0, label)
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.lexical_search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), 10)
+
+
+def op13_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0, 5)
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_best_fit_packing, op3_lm_scoring, op4_substring_dedup, op5_decontamination, op6_near_dedup, op7_license_scan, op8_toxicity, op9_token_counts, op10_suffix_dedup, op11_hard_negatives, op12_lexical_search, op13_exact_top_k)}
+ORACLES = {"op1_exact_dedup": exact.ORACLE, "op4_substring_dedup": substring.ORACLE, "op6_near_dedup": neardup.ORACLE, "op11_hard_negatives": negatives.ORACLE, "op12_lexical_search": lexical.ORACLE, "op13_exact_top_k": topk.ORACLE}
