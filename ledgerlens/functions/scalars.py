@@ -106,11 +106,6 @@ def kurtosis(x: str) -> Column:
     return F.when(n > 3, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.kurtosis(x) + 6))
 
 
-def quantile(x: str | Column, q: float) -> Column:
-    """Exact, with linear interpolation."""
-    return F.percentile(x, q)
-
-
 def normal_two_sided(z: Column) -> Column:
     """P(|N(0,1)| > |z|) by a rational approximation of erfc with relative error below 1.2e-7."""
     x = F.abs(z) / F.lit(2.0**0.5)

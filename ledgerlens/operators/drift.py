@@ -1,22 +1,29 @@
 """Distribution drift between a reference and a recent window, all features in one long plan."""
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.scalars import kolmogorov, normal_two_sided
+from ledgerlens.operators.prefix import segmented_sums
 from ledgerlens.operators.profile import to_long
+from ledgerlens.operators.quantiles import order_statistics
 from ledgerlens.sources.scratch import materialize
 
 PSI_LIMIT, ALPHA, RATE_LIMIT, LEAST = 0.20, 0.05, 0.15, 30
 
 
-def long_windows(df: DataFrame, features: Sequence[str], window: Column) -> DataFrame:
-    """``(feature, value, recent)`` with recent 0 or 1, written once: several passes follow."""
+def long_rows(df: DataFrame, features: Sequence[str], window: Column) -> DataFrame:
+    """``(feature, value, recent)`` with recent 0 or 1."""
     tagged = df.withColumn("recent", F.when(window == "reference", 0).when(window == "recent", 1)).where("recent IS NOT NULL")
-    return materialize(to_long(tagged, features, ["recent"]), "long")
+    return to_long(tagged, features, ["recent"])
+
+
+def long_windows(df: DataFrame, features: Sequence[str], window: Column) -> DataFrame:
+    """``long_rows``, written once: several passes follow."""
+    return materialize(long_rows(df, features, window), "long")
 
 
 def feature_stats(long: DataFrame) -> DataFrame:
@@ -35,9 +42,9 @@ def psi(long: DataFrame, stats: DataFrame, bins: int = 10, floor: float = 1e-6)
     """Population stability index by reference deciles, [a, b) with the last closed, or by value for
     binary features; NULL below 30 values in a window."""
     v = F.col("value")
-    quantiles = F.array_distinct(F.percentile(F.when(F.col("recent") == 0, v), [i / bins for i in range(bins + 1)]))
-    edges = long.where(v.isNotNull()).groupBy("feature").agg(quantiles.alias("q"))
-    info = stats.select("feature", "is_binary", "n_ref", "n_rec").join(edges, "feature")
+    deciles = order_statistics(long.where("recent = 0"), ["feature"], [i / bins for i in range(bins + 1)])
+    edges = deciles.select("feature", F.array_distinct("q").alias("q"))
+    info = stats.select("feature", "is_binary", "n_ref", "n_rec").join(edges, "feature", "left")
     cuts = F.when(F.col("is_binary"), F.array(F.lit(0.5))).when(F.size("q") <= 2, F.array().cast("array<double>")).otherwise(F.expr("slice(q, 2, size(q) - 2)"))
     info = info.select("feature", "n_ref", "n_rec", cuts.alias("cuts"), (~F.col("is_binary") & (F.size("q") == 1)).alias("flat"), F.col("q")[0].alias("only"))
     binned = long.where(v.isNotNull()).join(F.broadcast(info.select("feature", "cuts", "only")), "feature")  # a row a feature
@@ -55,13 +62,12 @@ def psi(long: DataFrame, stats: DataFrame, bins: int = 10, floor: float = 1e-6)
 
 
 def ks(long: DataFrame) -> DataFrame:
-    """Two-sample Kolmogorov-Smirnov statistic: equal values are one row, then running fractions."""
+    """Two-sample Kolmogorov-Smirnov statistic: equal values are one row, then running fractions, a
+    feature's values over as many partitions as they take."""
     counts = long.where("value IS NOT NULL").groupBy("feature", "value").agg(F.count_if(F.col("recent") == 0).alias("a"), F.count_if(F.col("recent") == 1).alias("b"))
-    run = W.partitionBy("feature").orderBy("value").rowsBetween(W.unboundedPreceding, 0)
-    all_ = W.partitionBy("feature")
-    share = lambda c: F.try_divide(F.sum(c).over(run), F.sum(c).over(all_))
-    gap = F.abs(share("a") - share("b"))
-    return counts.withColumn("gap", gap).groupBy("feature").agg(F.max("gap").alias("ks"))
+    run = segmented_sums(counts, ["feature"], ["value"], {"below_a": F.col("a"), "below_b": F.col("b")})
+    gap = F.abs(F.try_divide("below_a", "all_below_a") - F.try_divide("below_b", "all_below_b"))
+    return run.groupBy("feature").agg(F.max(gap).alias("ks"))
 
 
 def z_test(stats: DataFrame) -> DataFrame:
@@ -85,7 +91,11 @@ def bh_adjust(df: DataFrame, p: str = "p_value") -> DataFrame:
 
 def feature_drift(df: DataFrame, features: Sequence[str], window: Column) -> DataFrame:
     """PSI, KS or z, p-values with false-discovery control, and the decision for each feature."""
-    long = long_windows(df, features, window)
+    return tested(long_windows(df, features, window))
+
+
+def tested(long: DataFrame) -> DataFrame:
+    """``feature_drift`` of long rows."""
     stats = materialize(feature_stats(long), "stats")
     out = stats.join(psi(long, stats), "feature", "left").join(ks(long), "feature", "left").join(z_test(stats), "feature", "left")
     enough = F.least("n_ref", "n_rec") >= LEAST
@@ -98,11 +108,27 @@ def feature_drift(df: DataFrame, features: Sequence[str], window: Column) -> Dat
     return out.withColumns({"decision": decision, "reason": F.when(decision == "drift", reason).otherwise("")})
 
 
+def sensitivity(df: DataFrame, column: str, factors: Sequence[float], where: Column, derive: Callable[[DataFrame], DataFrame], features: Sequence[str], window: Column) -> DataFrame:
+    """Drift tests with ``column`` scaled by each factor where ``where`` holds, one row ``feature@factor`` each.
+
+    ``derive`` makes what depends on the column anew for each factor, so all features move together as they
+    would in real data; those that don't depend on it are the control.
+    """
+    tagged = df.withColumn("__window", window)
+    long = None
+    for k in factors:
+        scaled = derive(tagged.withColumn(column, F.when(where, F.col(column) * k).otherwise(F.col(column))))
+        wide = scaled.select("__window", *[F.col(f).cast("double").alias(f"{f}@{k}") for f in features])
+        part = long_rows(wide, [f"{f}@{k}" for f in features], F.col("__window"))
+        long = part if long is None else long.unionByName(part)
+    return tested(materialize(long, "long"))
+
+
 def overall_drift(features: DataFrame) -> DataFrame:
-    """Drifted share of tested features, and the five with the largest PSI."""
+    """Drifted share of tested features, and the five with the largest PSI (equal to nine places: the last name first)."""
     tested = F.count_if(F.col("decision") != "insufficient_sample")
     drifted = F.count_if(F.col("decision") == "drift")
-    top = F.slice(F.reverse(F.array_sort(F.collect_list(F.when(F.col("psi").isNotNull(), F.struct("psi", "feature"))))), 1, 5)
+    top = F.slice(F.reverse(F.array_sort(F.collect_list(F.when(F.col("psi").isNotNull(), F.struct(F.round("psi", 9).alias("psi"), "feature"))))), 1, 5)
     out = features.agg(tested.alias("tested"), drifted.alias("drifted"), top.alias("t"))
     rate = F.try_divide("drifted", "tested")
     return out.select("tested", "drifted", F.round(rate, 6).alias("rate"), (rate >= RATE_LIMIT).alias("drift"), F.array_join("t.feature", ",").alias("top"))

@@ -7,14 +7,16 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.scalars import DAY, WEEK, FrozenParams, amounts, balances, one_hot, post_balances, safe_divide, temporal
+from ledgerlens.operators.quantiles import values_of
 
 WINDOWS = (1, DAY, WEEK)
 
 
 def fit_params(df: DataFrame, train_end: int) -> FrozenParams:
     """Fit on ``step <= train_end``: one row of aggregates."""
-    row = df.where(F.col("step") <= train_end).agg(F.percentile("amount", 0.99).alias("p99"), F.sort_array(F.collect_set("type")).alias("types")).first()
-    return FrozenParams(large_amount=row["p99"], types=tuple(row["types"]))
+    train = df.where(F.col("step") <= train_end)
+    types = train.agg(F.sort_array(F.collect_set("type")).alias("types")).first()["types"]
+    return FrozenParams(large_amount=values_of(train, ["amount"], [0.99]).get("amount", [None])[0], types=tuple(types))
 
 
 def mark_new_pairs(df: DataFrame) -> DataFrame:

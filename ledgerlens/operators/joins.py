@@ -1,11 +1,12 @@
 """Joins with checked multiplicity, as-of availability, and set comparisons."""
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.operators.profile import unpivot_aggs
+from ledgerlens.sources.scratch import materialize
 
 
 def assert_unique(df: DataFrame, keys: Sequence[str], name: str) -> None:
@@ -66,3 +67,27 @@ def overlap(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
     for x in rest:
         first = first.unionByName(x)
     return first.groupBy("key").agg(F.max("shared").alias("shared"))
+
+
+#: A key with more than one in so many rows is hot; so there are fewer hot keys than this.
+HOT_KEYS = 1_000
+
+
+def with_totals(df: DataFrame, keys: Sequence[str], aggs: Mapping[str, Column]) -> DataFrame:
+    """``df`` with aggregates of each row's group, as a window over ``keys`` would add.
+
+    A window moves all rows of a key to one task. Here groups are summed where rows are read, and rows
+    meet their sums in two joins: those of hot keys stay where they are, as the hot keys' sums are fewer
+    than ``HOT_KEYS`` rows and broadcast; the others are shuffled, none of their keys being large.
+    """
+    totals = materialize(df.groupBy(*keys).agg(F.count("*").alias("__n"), *[c.alias(k) for k, c in aggs.items()]), "totals")
+    rows = totals.agg(F.coalesce(F.sum("__n"), F.lit(0))).first()[0]
+    hot = F.broadcast(totals.where(F.col("__n") * HOT_KEYS > rows))
+    same = lambda t: [df[k].eqNullSafe(t[f"__{k}"]) for k in keys]
+    named = {k: f"__{k}" for k in keys}
+    big, small = hot.withColumnsRenamed(named), totals.where(F.col("__n") * HOT_KEYS <= rows).withColumnsRenamed(named)
+    here = df.join(big, same(big), "inner")
+    rest = df.join(big, same(big), "left_anti")
+    there = rest.join(small, [rest[k].eqNullSafe(small[f"__{k}"]) for k in keys], "inner")
+    columns = [*df.columns, *aggs]
+    return here.select(*columns).unionByName(there.select(*columns))

@@ -7,7 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.scalars import safe_divide
-from ledgerlens.operators.prefix import running_sums
+from ledgerlens.operators.prefix import running_sums, segmented_sums
+from ledgerlens.operators.quantiles import distinct_edges, values_of
 
 
 def confusion(scores: DataFrame, threshold: float, by: Sequence[str] = (), undefined: str = "zero") -> DataFrame:
@@ -59,9 +60,7 @@ def roc_points(scores: DataFrame) -> DataFrame:
 def ranking(scores: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Average precision (step-wise), ROC-AUC with ties and Brier score, for each group."""
     if by:
-        counts = score_counts(scores, by)
-        down = W.partitionBy(*by).orderBy(F.desc("p")).rowsBetween(W.unboundedPreceding, 0)
-        run = counts.withColumns({"tp": F.sum("positives").over(down), "n_above": F.sum("n").over(down)})
+        run = segmented_sums(score_counts(scores, by), by, [F.desc("p")], {"tp": F.col("positives"), "n_above": F.col("n")})
     else:
         run = curve(scores)
     neg_above = F.col("n_above") - F.col("tp")
@@ -98,7 +97,7 @@ def select_threshold(grid: DataFrame) -> DataFrame:
 
 def calibration(scores: DataFrame, bins: int = 10) -> DataFrame:
     """Mean score and rate by quantile bin of the score."""
-    edges = scores.agg(F.array_distinct(F.percentile("p", [i / bins for i in range(1, bins)])).alias("e")).first()["e"] or []
+    edges = distinct_edges(values_of(scores, ["p"], [i / bins for i in range(1, bins)]).get("p"))
     bin_ = sum(((F.col("p") > e).cast("int") for e in edges), F.lit(0))
     return scores.groupBy(bin_.alias("bin")).agg(F.count("*").alias("n"), F.round(F.avg("p"), 5).alias("mean_p"), F.round(F.avg("label"), 5).alias("rate"))
 

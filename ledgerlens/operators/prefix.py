@@ -14,20 +14,20 @@ from ledgerlens.sources.scratch import materialize
 
 
 def ranged(df: DataFrame, order: Sequence[str | Column]) -> DataFrame:
-    """``df`` with ``part``, increasing with ``order``; written, so that parts stay as they are."""
-    cut = df.repartitionByRange(*order).withColumn("part", F.spark_partition_id())
+    """``df`` with ``__part``, increasing with ``order``; written, so that parts stay as they are."""
+    cut = df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
     return materialize(cut, "ranged")
 
 
 def running_sums(df: DataFrame, order: Sequence[str | Column], sums: Mapping[str, Column]) -> DataFrame:
     """Add inclusive running sums over ``order`` (which should be a total order)."""
     cut = ranged(df, order)
-    totals = cut.groupBy("part").agg(*[F.sum(c).alias(k) for k, c in sums.items()])
-    before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)  # one row a partition
-    offsets = totals.select("part", *[F.coalesce(F.sum(k).over(before), F.lit(0)).alias(f"__{k}") for k in sums])
-    local = W.partitionBy("part").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    out = cut.withColumns({k: F.sum(c).over(local) for k, c in sums.items()}).join(offsets, "part")
-    return out.withColumns({k: F.col(k) + F.col(f"__{k}") for k in sums}).drop("part", *[f"__{k}" for k in sums])
+    totals = cut.groupBy("__part").agg(*[F.sum(c).alias(k) for k, c in sums.items()])
+    before = W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)  # one row a partition
+    offsets = totals.select("__part", *[F.coalesce(F.sum(k).over(before), F.lit(0)).alias(f"__{k}") for k in sums])
+    local = W.partitionBy("__part").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    out = cut.withColumns({k: F.sum(c).over(local) for k, c in sums.items()}).join(offsets, "__part")
+    return out.withColumns({k: F.col(k) + F.col(f"__{k}") for k in sums}).drop("__part", *[f"__{k}" for k in sums])
 
 
 def row_ids(df: DataFrame, order: Sequence[str | Column], name: str = "row_id") -> DataFrame:
@@ -38,8 +38,32 @@ def row_ids(df: DataFrame, order: Sequence[str | Column], name: str = "row_id")
 def lag_global(df: DataFrame, order: Sequence[str], column: str, name: str) -> DataFrame:
     """The column's value in the row before, across partitions."""
     cut = ranged(df, order)
-    last = cut.groupBy("part").agg(F.max_by(column, F.struct(*order)).alias("last"))
-    offsets = last.select("part", F.lag("last").over(W.orderBy("part")).alias("__before"))
-    local = cut.withColumn(name, F.lag(column).over(W.partitionBy("part").orderBy(*order)))
-    first = F.row_number().over(W.partitionBy("part").orderBy(*order)) == 1
-    return local.withColumn("__first", first).join(offsets, "part").withColumn(name, F.when(F.col("__first"), F.col("__before")).otherwise(F.col(name))).drop("part", "__before", "__first")
+    last = cut.groupBy("__part").agg(F.max_by(column, F.struct(*order)).alias("last"))
+    offsets = last.select("__part", F.lag("last").over(W.orderBy("__part")).alias("__before"))
+    local = cut.withColumn(name, F.lag(column).over(W.partitionBy("__part").orderBy(*order)))
+    first = F.row_number().over(W.partitionBy("__part").orderBy(*order)) == 1
+    return local.withColumn("__first", first).join(offsets, "__part").withColumn(name, F.when(F.col("__first"), F.col("__before")).otherwise(F.col(name))).drop("__part", "__before", "__first")
+
+
+def null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on columns of the same names where NULL equals NULL; the keys stay once."""
+    other = right.withColumnsRenamed({k: f"__on_{k}" for k in keys})
+    on = [left[k].eqNullSafe(F.col(f"__on_{k}")) for k in keys]
+    return left.join(other, on, how).drop(*[f"__on_{k}" for k in keys])
+
+
+def segmented_sums(df: DataFrame, by: Sequence[str], order: Sequence[str | Column], sums: Mapping[str, Column]) -> DataFrame:
+    """Inclusive running sums over ``order`` in each segment ``by``, and the segment's sums as ``all_*``.
+
+    Rows are range-partitioned by segment and order together, so a segment of any size spreads over as
+    many partitions as it needs, and small ones share one. What meets in one place is a partition's rows,
+    or a segment's sums of the partitions it touches. ``order`` should be total within a segment.
+    """
+    cut = ranged(df, [*by, *order])
+    parts = cut.groupBy(*by, "__part").agg(*[F.sum(c).alias(k) for k, c in sums.items()])
+    whole = W.partitionBy(*by)
+    before = whole.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+    offsets = parts.select(*by, "__part", *[F.coalesce(F.sum(k).over(before), F.lit(0)).alias(f"__{k}") for k in sums], *[F.sum(k).over(whole).alias(f"all_{k}") for k in sums])
+    local = W.partitionBy("__part", *by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    out = null_safe(cut.withColumns({k: F.sum(c).over(local) for k, c in sums.items()}), offsets, ["__part", *by])
+    return out.withColumns({k: F.col(k) + F.col(f"__{k}") for k in sums}).drop("__part", *[f"__{k}" for k in sums])

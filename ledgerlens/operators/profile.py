@@ -8,6 +8,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.scalars import kurtosis, safe_divide, skewness
+from ledgerlens.operators.prefix import null_safe
+from ledgerlens.operators.quantiles import column_quantiles, distinct_edges, values_of, with_quantiles
 
 
 def unpivot_aggs(df: DataFrame, aggs: Mapping[str, Mapping[str, Column]], keys: Sequence[str] = (), name: str = "name") -> DataFrame:
@@ -20,7 +22,7 @@ def unpivot_aggs(df: DataFrame, aggs: Mapping[str, Mapping[str, Column]], keys:
 
 def to_long(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
     """One row for each row and column: ``(*keep, feature, value)``."""
-    rows = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in columns])
+    rows = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"`{c}`").cast("double").alias("value")) for c in columns])
     return df.select(*keep, F.explode(rows).alias("r")).select(*keep, "r.feature", "r.value")
 
 
@@ -38,22 +40,19 @@ def describe(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) ->
     """Count, mean, sample deviation, quartiles by linear interpolation, IQR, skewness and kurtosis."""
 
     def of(c: str) -> dict[str, Column]:
-        q = lambda p: F.percentile(c, p)
         return {
             "n": F.count(c),
             "mean": F.round(F.avg(c), 4),
             "std": F.round(F.stddev_samp(c), 4),
             "min": F.min(c).cast("double"),
-            "q1": F.round(q(0.25), 4),
-            "median": F.round(q(0.5), 4),
-            "q3": F.round(q(0.75), 4),
             "max": F.max(c).cast("double"),
-            "iqr": F.round(q(0.75) - q(0.25), 4),
             "skew": F.round(skewness(c), 3),
             "kurt": F.round(kurtosis(c), 3),
         }
 
-    return unpivot_aggs(df, {c: of(c) for c in columns}, keys, name="column_name")
+    moments = unpivot_aggs(df, {c: of(c) for c in columns}, keys, name="column_name")
+    out = with_quantiles(moments, df, columns, {"q1": 0.25, "median": 0.5, "q3": 0.75}, keys, "column_name")
+    return out.withColumn("iqr", F.round(F.col("q3") - F.col("q1"), 4)).withColumns({c: F.round(c, 4) for c in ("q1", "median", "q3")})
 
 
 def quality_audit(df: DataFrame, rules: Mapping[str, Column]) -> DataFrame:
@@ -85,9 +84,9 @@ def rate_by(df: DataFrame, *keys: str | Column, label: str = "label") -> DataFra
 def account_profile(df: DataFrame, key: str, label: str = "label") -> DataFrame:
     """Count, total, mean, maximum, exact median and positives of each account."""
     a = F.col("amount")
-    return df.groupBy(F.col(key).alias("account")).agg(
-        F.count("*").alias("n"), F.sum(a).alias("total"), F.avg(a).alias("mean"), F.max(a).alias("max"), F.percentile(a, 0.5).alias("median"), F.sum(label).cast("long").alias("positives")
-    )
+    out = df.groupBy(F.col(key).alias("account")).agg(F.count("*").alias("n"), F.sum(a).alias("total"), F.avg(a).alias("mean"), F.max(a).alias("max"), F.sum(label).cast("long").alias("positives"))
+    halves = column_quantiles(df.withColumnRenamed(key, "account"), ["amount"], [0.5], ["account"])
+    return null_safe(out, halves.select("account", F.col("q")[0].alias("median")), ["account"], "left")
 
 
 def profile_summary(profile: DataFrame) -> DataFrame:
@@ -96,10 +95,8 @@ def profile_summary(profile: DataFrame) -> DataFrame:
         "accounts": F.count("*"),
         "repeated_pct": 100 * F.avg((n > 1).cast("int")),
         "mean_count": F.avg(n),
-        "median_count": F.percentile(n, 0.5),
         "max_count": F.max(n),
         "mean_of_means": F.avg("mean"),
-        "median_of_medians": F.percentile("median", 0.5),
         "max_total": F.max("total"),
         "mean_total": F.avg("total"),
         "with_positives": F.count_if(F.col("positives") > 0),
@@ -108,7 +105,9 @@ def profile_summary(profile: DataFrame) -> DataFrame:
         "once_pct": 100 * F.avg((n == 1).cast("int")),
         "largest_amount": F.max("max"),
     }
-    return unpivot_aggs(profile, {k: {"value": F.round(v.cast("double"), 4)} for k, v in metrics.items()}, name="metric")
+    out = unpivot_aggs(profile, {k: {"value": F.round(v.cast("double"), 4)} for k, v in metrics.items()}, name="metric")
+    name = F.when(F.col("feature") == "n", "median_count").otherwise("median_of_medians")
+    return out.unionByName(column_quantiles(profile, ["n", "median"], [0.5]).select(name.alias("metric"), F.round(F.col("q")[0], 4).alias("value")))
 
 
 def concentration(profile: DataFrame, share: float = 0.01) -> DataFrame:
@@ -143,10 +142,10 @@ def iqr_outliers(df: DataFrame, columns: Sequence[str], label: str = "label") ->
 
     Two passes: exact quartiles of all columns (one row), then counts against them.
     """
-    row = df.agg(*[F.percentile(c, [0.25, 0.75]).alias(c) for c in columns]).first()
+    row = values_of(df, columns, [0.25, 0.75])
     aggs = {}
     for c in columns:
-        q1, q3 = row[c] or (None, None)
+        q1, q3 = row.get(c, (None, None))
         lo, hi = (q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)) if q1 is not None else (None, None)
         out = (F.col(c) < lo) | (F.col(c) > hi)
         y = F.col(label) == 1
@@ -174,7 +173,7 @@ def leakage_probes(df: DataFrame, conditions: Mapping[str, Column], label: str =
 
 def decile_rates(df: DataFrame, column: str, label: str = "label", bins: int = 10) -> DataFrame:
     """Rate of the label by quantile bin (left, right], edges exact and distinct."""
-    edges = df.agg(F.array_distinct(F.percentile(column, [i / bins for i in range(bins + 1)])).alias("e")).first()["e"] or []
+    edges = distinct_edges(values_of(df, [column], [i / bins for i in range(bins + 1)]).get(column))
     inner = edges[1:-1]
     bin_ = sum((F.col(column) > e).cast("int") for e in inner) if inner else F.lit(0)
     out = df.where(F.col(column).isNotNull()).groupBy(F.lit(bin_).alias("bin") if isinstance(bin_, int) else bin_.cast("int").alias("bin"))
@@ -184,7 +183,7 @@ def decile_rates(df: DataFrame, column: str, label: str = "label", bins: int = 1
 def histogram(df: DataFrame, column: str, bins: int, tails: tuple[float, float] | None = None, keys: Sequence[str] = ()) -> DataFrame:
     """Equal-width counts; with ``tails`` values beyond these quantiles are pooled in the end bins."""
     if tails:
-        lo, hi = df.agg(F.percentile(column, list(tails)).alias("b")).first()["b"]
+        lo, hi = values_of(df, [column], tails)[column]
     else:
         lo, hi = df.agg(F.min(column), F.max(column)).first()
     width = (hi - lo) / bins
@@ -195,8 +194,8 @@ def histogram(df: DataFrame, column: str, bins: int, tails: tuple[float, float]
 
 def box_stats(df: DataFrame, column: str, keys: Sequence[str]) -> DataFrame:
     """Quartiles and whiskers: the fences clipped to the data."""
-    q = lambda p: F.percentile(column, p)
-    out = df.groupBy(*keys).agg(q(0.25).alias("q1"), q(0.5).alias("median"), q(0.75).alias("q3"), F.min(column).alias("lo"), F.max(column).alias("hi"))
+    ends = df.groupBy(*keys).agg(F.lit(column).alias("feature"), F.min(column).alias("lo"), F.max(column).alias("hi"))
+    out = with_quantiles(ends, df, [column], {"q1": 0.25, "median": 0.5, "q3": 0.75}, keys)
     iqr = F.col("q3") - F.col("q1")
     return out.select(
         *keys, *[F.round(c, 4).alias(c) for c in ("q1", "median", "q3")],

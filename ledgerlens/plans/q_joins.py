@@ -79,7 +79,7 @@ def accounts_in_both_roles(spark, sf_dir):
 
 @query(f"WITH {EVT} SELECT event_id, count(*) OVER (PARTITION BY dest) AS dest_total FROM evt")
 def account_totals_per_row(spark, sf_dir):
-    return evt(spark, sf_dir).select("event_id", F.count("*").over(W.partitionBy("dest")).alias("dest_total"))
+    return jn.with_totals(evt(spark, sf_dir).select("event_id", "dest"), ["dest"], {"dest_total": F.count("*")}).drop("dest")
 
 
 @query(f"WITH {PRED}, {TRUTH} SELECT count(*) AS n_labels, count(p.transaction_id) AS matched, count(*) - count(p.transaction_id) AS unmatched FROM truth LEFT JOIN (SELECT * FROM pred WHERE prediction = 1) p USING (transaction_id)")

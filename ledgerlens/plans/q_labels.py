@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.operators import labels as lb
 from ledgerlens.operators import profile as pf
+from ledgerlens.operators.quantiles import order_statistics
 from ledgerlens.operators import validate as va
 from ledgerlens.plans.q_joins import TRUTH, truth
 from ledgerlens.plans.views import EVT, ORD, PRED, SUB, evt, ords, predictions, read, registry, submissions
@@ -223,10 +224,12 @@ LONG = ("amount", "sender_old", "sender_new", "dest_old", "dest_new")
 def feature_part_summary(spark, sf_dir):
     v = F.col("value")
     long = pf.to_long(ords(spark, sf_dir), LONG)
-    return long.groupBy("feature").agg(
-        F.round(100 * F.count_if(v.isNull()) / F.count("*"), 4).alias("null_pct"), F.round(F.avg(v), 3).alias("mean"), F.round(F.percentile(v, 0.5), 4).alias("median"), F.min(v).alias("min"), F.max(v).alias("max"),
+    median = order_statistics(long, ["feature"], [0.5]).select("feature", F.round(F.col("q")[0], 4).alias("median"))
+    out = long.groupBy("feature").agg(
+        F.round(100 * F.count_if(v.isNull()) / F.count("*"), 4).alias("null_pct"), F.round(F.avg(v), 3).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max"),
         F.round(100 * F.count_if(v == 0) / F.count(v), 4).alias("zero_pct"), F.count_if(F.abs(v) == float("inf")).alias("n_inf"),
     )
+    return out.join(median, "feature", "left")
 
 
 @query(f"WITH {ORD}, c AS (SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS feature, count(DISTINCT {c}) AS n_distinct, max(abs(corr)) AS top_corr FROM ord, (SELECT corr({c}, label) AS corr FROM ord) GROUP BY ALL" for c in LONG) + ")) SELECT feature, CASE WHEN feature LIKE '%new' THEN 'EXCLUDE_AFTER' WHEN n_distinct <= 1 THEN 'EXCLUDE_CONSTANT' WHEN top_corr >= 0.98 THEN 'EXCLUDE_LEAK' ELSE 'KEEP' END AS decision FROM c")

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.operators import monitor as mo
 from ledgerlens.operators import profile as pf
+from ledgerlens.operators.quantiles import with_quantiles
 from ledgerlens.plans.q_joins import TRUTH, truth
 from ledgerlens.plans.q_quality import _conf_sql, _counts_sql, label_performance
 from ledgerlens.plans.views import EVT, ORD, PRED, evt, ords, predictions, read
@@ -70,13 +71,14 @@ def balance_summary(spark, sf_dir):
         c: {
             "n": F.count(c),
             "mean": F.round(F.avg(c), 3),
-            "median": F.round(F.percentile(c, 0.5), 4),
             "not_positive_pct": F.round(100 * F.avg((F.col(c) <= 0).cast("int")), 4),
             "missing_pct": pf.pct(F.count_if(F.col(c).isNull()), F.count("*")),
         }
         for c in BAL
     }
-    return pf.unpivot_aggs(ords(spark, sf_dir), aggs, ["label"], name="column_name")
+    o = ords(spark, sf_dir)
+    out = pf.unpivot_aggs(o, aggs, ["label"], name="column_name")
+    return with_quantiles(out, o, BAL, {"median": 0.5}, ["label"], "column_name").withColumn("median", F.round("median", 4))
 
 
 @query(f"WITH {EVT} SELECT type, (step - 1) % 24 AS hour, count(*) AS n, round(100.0 * avg(label), 4) AS rate_pct FROM evt GROUP BY CUBE (type, hour)")

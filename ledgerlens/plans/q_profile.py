@@ -5,7 +5,9 @@ from pyspark.sql import Window as W
 
 from ledgerlens.functions.scalars import risk_level, risk_score, safe_divide, suffix_number
 from ledgerlens.operators import features as ft
+from ledgerlens.operators import joins as jn
 from ledgerlens.operators import profile as pf
+from ledgerlens.operators.quantiles import column_quantiles, with_quantiles
 from ledgerlens.plans.views import EVT, ORD, cut, cut_sql, evt, ords, read
 
 QUERIES, ORACLES = {}, {}
@@ -232,8 +234,12 @@ def account_concentration(spark, sf_dir):
 @query(f"""WITH {ORD}, c AS (SELECT label, count(*) OVER (PARTITION BY sender) AS k FROM ord)
 SELECT label, count(*) AS n, round(avg(k), 4) AS mean, round(quantile_cont(k, 0.5), 4) AS median, max(k) AS "max", round(100.0 * avg(CAST(k > 1 AS INTEGER)), 4) AS repeat_pct FROM c GROUP BY label""")
 def frequency_by_class(spark, sf_dir):
-    df = ords(spark, sf_dir).select("label", F.count("*").over(W.partitionBy("sender")).alias("k"))
-    return df.groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg("k"), 4).alias("mean"), F.round(F.percentile("k", 0.5), 4).alias("median"), F.max("k").alias("max"), F.round(100 * F.avg((F.col("k") > 1).cast("int")), 4).alias("repeat_pct"))
+    by = ords(spark, sf_dir).groupBy("sender", "label").agg(F.count("*").alias("n"))
+    df = jn.with_totals(by, ["sender"], {"k": F.sum("n")})  # a row an account and class
+    mean = lambda c: F.sum(c * F.col("n")) / F.sum("n")
+    out = df.groupBy("label").agg(F.sum("n").alias("n"), F.round(mean(F.col("k")), 4).alias("mean"), F.max("k").alias("max"), F.round(100 * mean((F.col("k") > 1).cast("int")), 4).alias("repeat_pct"))
+    median = column_quantiles(df, ["k"], [0.5], ["label"], weight="n").select("label", F.round(F.col("q")[0], 4).alias("median"))
+    return out.join(median, "label")
 
 
 FLAGS = {
@@ -290,7 +296,10 @@ def iqr_outliers(spark, sf_dir):
 SELECT p.median_amount AS positive_median, n.median_amount AS negative_median, round(p.mean_amount / n.mean_amount, 4) AS mean_ratio, p.zero_pct AS positive_zero_pct, n.zero_pct AS negative_zero_pct FROM c p, c n WHERE p.label = 1 AND n.label = 0""")
 def class_comparison(spark, sf_dir):
     zero = 100 * F.avg((F.col("sender_old") <= 0).cast("int"))
-    out = ords(spark, sf_dir).groupBy().pivot("label", [1, 0]).agg(F.round(F.percentile("amount", 0.5), 4).alias("median"), F.round(F.avg("amount"), 4).alias("mean"), F.round(zero, 4).alias("zero"))
+    o = ords(spark, sf_dir)
+    each = o.groupBy("label").agg(F.lit("amount").alias("feature"), F.round(F.avg("amount"), 4).alias("mean"), F.round(zero, 4).alias("zero"))
+    each = with_quantiles(each, o, ["amount"], {"median": 0.5}, ["label"])
+    out = each.groupBy().pivot("label", [1, 0]).agg(F.round(F.max("median"), 4).alias("median"), F.max("mean").alias("mean"), F.max("zero").alias("zero"))
     return out.select(F.col("1_median").alias("positive_median"), F.col("0_median").alias("negative_median"), F.round(F.col("1_mean") / F.col("0_mean"), 4).alias("mean_ratio"), F.col("1_zero").alias("positive_zero_pct"), F.col("0_zero").alias("negative_zero_pct"))
 
 
@@ -351,8 +360,9 @@ def dataset_fingerprint(spark, sf_dir):
 SELECT part, count(*) AS n, round(avg(amount), 4) AS mean, round(quantile_cont(amount, 0.5), 4) AS median, round(stddev_samp(amount), 4) AS std, round(100.0 * avg(CAST(type = 'purchase' AS INTEGER)), 4) AS purchase_pct FROM s WHERE part IS NOT NULL GROUP BY part""")
 def reference_vs_recent(spark, sf_dir):
     part = F.when(F.col("step") <= 504, "reference").when(F.col("step") > 552, "recent")
-    out = evt(spark, sf_dir).withColumn("part", part).where("part IS NOT NULL").groupBy("part")
-    return out.agg(F.count("*").alias("n"), F.round(F.avg("amount"), 4).alias("mean"), F.round(F.percentile("amount", 0.5), 4).alias("median"), F.round(F.stddev_samp("amount"), 4).alias("std"), F.round(100 * F.avg((F.col("type") == "purchase").cast("int")), 4).alias("purchase_pct"))
+    e = evt(spark, sf_dir).withColumn("part", part).where("part IS NOT NULL")
+    out = e.groupBy("part").agg(F.lit("amount").alias("feature"), F.count("*").alias("n"), F.round(F.avg("amount"), 4).alias("mean"), F.round(F.stddev_samp("amount"), 4).alias("std"), F.round(100 * F.avg((F.col("type") == "purchase").cast("int")), 4).alias("purchase_pct"))
+    return with_quantiles(out, e, ["amount"], {"median": 0.5}, ["part"]).drop("feature").withColumn("median", F.round("median", 4))
 
 
 @query(f"WITH {EVT}, d AS (SELECT CAST(floor((step - 1) / 24) AS BIGINT) AS day, avg(amount) AS m, avg(label) AS r FROM evt GROUP BY 1) SELECT round(stddev_samp(m), 4) AS amount_std, round(stddev_samp(r), 6) AS rate_std, count(*) AS days FROM d")
@@ -405,7 +415,8 @@ def new_pairs_by_day(spark, sf_dir):
 round(100.0 * avg(CAST(large AS INTEGER)) FILTER (label = 1), 4) AS lp, round(100.0 * avg(CAST(large AS INTEGER)) FILTER (label = 0), 4) AS ln FROM c), u AS (SELECT 'busy_account' AS candidate, bp AS positive_pct, bn AS negative_pct FROM s UNION ALL SELECT 'large_amount', lp, ln FROM s)
 SELECT *, CASE WHEN abs(positive_pct - negative_pct) >= 20 THEN 'High' WHEN abs(positive_pct - negative_pct) >= 5 THEN 'Medium' ELSE 'Low' END AS priority FROM u""")
 def candidate_evidence(spark, sf_dir):
-    e = evt(spark, sf_dir).withColumns({"busy": F.count("*").over(W.partitionBy("sender")) > 60, "large": F.col("amount") > 200})
+    e = jn.with_totals(evt(spark, sf_dir), ["sender"], {"of_account": F.count("*")})
+    e = e.withColumns({"busy": F.col("of_account") > 60, "large": F.col("amount") > 200})
     share = lambda c, y: F.round(100 * F.avg(F.when(F.col("label") == y, F.col(c).cast("int"))), 4)
     out = pf.unpivot_aggs(e, {n: {"positive_pct": share(c, 1), "negative_pct": share(c, 0)} for n, c in (("busy_account", "busy"), ("large_amount", "large"))}, name="candidate")
     gap = F.abs(F.col("positive_pct") - F.col("negative_pct"))

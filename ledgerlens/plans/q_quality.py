@@ -1,5 +1,7 @@
 """Queries on classifier metrics and drift."""
 
+from functools import reduce
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -169,17 +171,38 @@ def prediction_summary(spark, sf_dir):
 
 
 FEATURES = ("amount", "log_amount", "is_purchase", "is_click", "sparse", "shifted")
-DRIFT = f"""f AS (SELECT CASE WHEN step BETWEEN 1 AND 350 THEN 0 WHEN step BETWEEN 401 AND 720 THEN 1 END AS recent, amount, ln(1 + amount) AS log_amount, CAST(type = 'purchase' AS DOUBLE) AS is_purchase, CAST(type = 'click' AS DOUBLE) AS is_click,
-CASE WHEN event_id % 997 = 0 THEN amount END AS sparse, CASE WHEN step > 400 THEN amount * 3 ELSE amount END AS shifted FROM evt),
-l AS (SELECT * FROM (SELECT recent, unnest([{", ".join(f"'{x}'" for x in FEATURES)}]) AS feature, unnest([{", ".join(FEATURES)}]) AS value FROM f WHERE recent IS NOT NULL)),
+
+
+def _drift_sql(features: dict[str, str]) -> str:
+    """CTEs from ``evt`` to long rows ``l`` and their statistics ``st``."""
+    return f"""l AS (SELECT * FROM (SELECT CASE WHEN step BETWEEN 1 AND 350 THEN 0 WHEN step BETWEEN 401 AND 720 THEN 1 END AS recent, unnest([{", ".join(f"'{x}'" for x in features)}]) AS feature,
+unnest([{", ".join(f"CAST({v} AS DOUBLE)" for v in features.values())}]) AS value FROM evt) WHERE recent IS NOT NULL),
 st AS (SELECT feature, count(value) FILTER (recent = 0) AS n_ref, count(value) FILTER (recent = 1) AS n_rec, round(1 - count(value) FILTER (recent = 0) / count(*) FILTER (recent = 0), 6) AS null_ref, round(1 - count(value) FILTER (recent = 1) / count(*) FILTER (recent = 1), 6) AS null_rec,
 avg(value) FILTER (recent = 0) AS mean_ref, avg(value) FILTER (recent = 1) AS mean_rec, stddev_pop(value) FILTER (recent = 0) AS std_ref, stddev_pop(value) FILTER (recent = 1) AS std_rec, coalesce(bool_and(value IN (0, 1)), false) AS is_binary FROM l GROUP BY feature)"""
+
+
+DRIFT = _drift_sql({"amount": "amount", "log_amount": "ln(1 + amount)", "is_purchase": "type = 'purchase'", "is_click": "type = 'click'", "sparse": "CASE WHEN event_id % 997 = 0 THEN amount END", "shifted": "CASE WHEN step > 400 THEN amount * 3 ELSE amount END"})
 PSI = """e AS (SELECT feature, quantile_cont(value, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) FILTER (recent = 0) AS q FROM l WHERE value IS NOT NULL GROUP BY feature),
 bn AS (SELECT feature, recent, CASE WHEN is_binary THEN CAST(value >= 0.5 AS BIGINT) ELSE len(list_filter(list_distinct(q), lambda x: value >= x)) END AS b FROM l JOIN e USING (feature) JOIN st USING (feature) WHERE value IS NOT NULL),
 bc AS (SELECT feature, b, greatest(count(*) FILTER (recent = 0) / any_value(n_ref), 1e-6) AS p, greatest(count(*) FILTER (recent = 1) / any_value(n_rec), 1e-6) AS q FROM bn JOIN st USING (feature) GROUP BY feature, b),
 ps AS (SELECT feature, CASE WHEN least(any_value(n_ref), any_value(n_rec)) >= 30 THEN sum((q - p) * ln(q / p)) END AS psi FROM bc JOIN st USING (feature) GROUP BY feature)"""
 KS = """kc AS (SELECT feature, value, count(*) FILTER (recent = 0) AS a, count(*) FILTER (recent = 1) AS b FROM l WHERE value IS NOT NULL GROUP BY 1, 2),
 kg AS (SELECT feature, abs(sum(a) OVER (PARTITION BY feature ORDER BY value) / sum(a) OVER (PARTITION BY feature) - sum(b) OVER (PARTITION BY feature ORDER BY value) / sum(b) OVER (PARTITION BY feature)) AS gap FROM kc), ks AS (SELECT feature, max(gap) AS ks FROM kg GROUP BY feature)"""
+_ERFC = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
+_POLY = reduce(lambda out, c: f"(({out}) * t + {c})", reversed(_ERFC[:-1]), str(_ERFC[-1]))
+TESTS = f"""zp AS (SELECT feature, mean_rec - mean_ref AS d, (n_ref * mean_ref + n_rec * mean_rec) / (n_ref + n_rec) AS pool, 1.0 / n_ref + 1.0 / n_rec AS m FROM st WHERE is_binary),
+z AS (SELECT feature, CASE WHEN pool * (1 - pool) * m = 0 THEN 0 ELSE d / sqrt(pool * (1 - pool) * m) END AS z FROM zp),
+zt AS (SELECT feature, z, abs(z) / sqrt(2) AS x, 1 / (1 + abs(z) / sqrt(2) / 2) AS t FROM z), zn AS (SELECT feature, t * exp(-x * x + {_POLY}) AS p FROM zt),
+kx AS (SELECT feature, ks * sqrt(n_ref * n_rec / (n_ref + n_rec)) AS x FROM ks JOIN st USING (feature)),
+kp AS (SELECT feature, CASE WHEN x < 0.2 THEN 1.0 ELSE least(1.0, greatest(0.0, 2 * list_sum(list_transform(range(1, 41), lambda k: exp(-2 * k * k * x * x) * CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END)))) END AS p FROM kx),
+tt AS (SELECT st.*, psi, CASE WHEN NOT is_binary THEN ks END AS ks, z, CASE WHEN least(n_ref, n_rec) < 30 THEN NULL WHEN is_binary THEN zn.p ELSE kp.p END AS p_value
+  FROM st LEFT JOIN ps USING (feature) LEFT JOIN ks USING (feature) LEFT JOIN z USING (feature) LEFT JOIN zn USING (feature) LEFT JOIN kp USING (feature)),
+br AS (SELECT feature, p_value, row_number() OVER (ORDER BY p_value, feature) AS k, count(*) OVER () AS n FROM tt WHERE p_value IS NOT NULL),
+ba AS (SELECT feature, least(1.0, min(p_value * n / k) OVER (ORDER BY k DESC)) AS p_adjusted FROM br),
+dd AS (SELECT *, least(n_ref, n_rec) >= 30 AS enough, coalesce(psi >= 0.2, false) AS by_psi, coalesce(p_adjusted < 0.05, false) AS by_p FROM tt LEFT JOIN ba USING (feature)),
+fd AS (SELECT *, CASE WHEN NOT enough THEN 'insufficient_sample' WHEN by_psi OR by_p THEN 'drift' ELSE 'no_drift' END AS decision, CASE WHEN enough THEN concat_ws(', ', CASE WHEN by_psi THEN 'psi' END, CASE WHEN by_p THEN 'p_value' END) ELSE '' END AS reason FROM dd)"""
+SHOWN = {"null_ref": 6, "null_rec": 6, "mean_ref": 4, "mean_rec": 4, "std_ref": 4, "std_rec": 4, "psi": 5, "ks": 6, "z": 4, "p_value": 7, "p_adjusted": 7}
+FOUND = "feature, n_ref, n_rec, is_binary, decision, reason, " + ", ".join(f"round({c}, {d}) AS {c}" for c, d in SHOWN.items())
 
 
 def _drift_input(spark, sf_dir):
@@ -229,24 +252,37 @@ def false_discovery_control(spark, sf_dir):
     return dr.bh_adjust(p).select("feature", F.round("p_value", 8).alias("p_value"), F.round("p_adjusted", 8).alias("p_adjusted"))
 
 
-@query()
+def _shown(found):
+    return found.select("feature", "n_ref", "n_rec", "is_binary", "decision", "reason", *[F.round(c, d).alias(c) for c, d in SHOWN.items()])
+
+
+@query(f"WITH {EVT}, {DRIFT}, {PSI}, {KS}, {TESTS} SELECT {FOUND} FROM fd")
 def feature_drift(spark, sf_dir):
-    return dr.feature_drift(_drift_input(spark, sf_dir), FEATURES, window_tag((1, 350), (401, 720)))
+    return _shown(dr.feature_drift(_drift_input(spark, sf_dir), FEATURES, window_tag((1, 350), (401, 720))))
 
 
-@query()
+@query(f"""WITH {EVT}, {DRIFT}, {PSI}, {KS}, {TESTS}, o AS (SELECT count(*) FILTER (decision <> 'insufficient_sample') AS tested, count(*) FILTER (decision = 'drift') AS drifted, (SELECT string_agg(feature, ',' ORDER BY psi DESC, feature DESC) FROM (SELECT feature, round(psi, 9) AS psi FROM fd WHERE psi IS NOT NULL ORDER BY 2 DESC, 1 DESC LIMIT 5)) AS top FROM fd)
+SELECT tested, drifted, round(drifted / tested, 6) AS rate, drifted / tested >= 0.15 AS drift, top FROM o""")
 def overall_drift(spark, sf_dir):
-    return dr.overall_drift(feature_drift(spark, sf_dir)).drop("top")
+    found = dr.feature_drift(_drift_input(spark, sf_dir), FEATURES, window_tag((1, 350), (401, 720)))
+    return dr.overall_drift(found)
+
+
+FACTORS = (1.0, 1.1, 1.5, 2.0, 3.0)
+#: What follows from the amount, and the hour, which doesn't.
+DEPENDANTS = {"amount": "{a}", "log_amount": "ln(1 + {a})", "is_large": "{a} >= 150", "rounded": "floor({a} / 50)", "hour": "(step - 1) % 24"}
+SCALED = {f"{n}@{k}": v.format(a=f"(CASE WHEN step > 400 THEN amount * {k} ELSE amount END)") for k in FACTORS for n, v in DEPENDANTS.items()}
 
 
-@query()
+@query(f"WITH {EVT}, {_drift_sql(SCALED)}, {PSI}, {KS}, {TESTS} SELECT CAST(split_part(feature, '@', 2) AS DOUBLE) AS factor, split_part(feature, '@', 1) AS feature, * EXCLUDE (feature) FROM (SELECT {FOUND} FROM fd)")
 def drift_sensitivity(spark, sf_dir):
-    """How the test answers to amounts scaled by several factors, all factors in one plan."""
-    e = evt(spark, sf_dir)
-    recent = F.col("step") > 400
-    factors = (1.0, 1.1, 1.5, 2.0, 3.0)
-    df = e.withColumns({f"x{i}": F.when(recent, F.col("amount") * k).otherwise(F.col("amount")) for i, k in enumerate(factors)})
-    return dr.feature_drift(df, [f"x{i}" for i in range(len(factors))], window_tag((1, 350), (401, 720)))
+    """How the tests answer to recent amounts scaled by several factors, with all that depends on the amount."""
+
+    def derive(df):
+        return df.withColumns({n: F.expr(v.format(a="amount")) for n, v in DEPENDANTS.items() if n != "amount"})
+
+    found = dr.sensitivity(evt(spark, sf_dir), "amount", FACTORS, F.col("step") > 400, derive, list(DEPENDANTS), window_tag((1, 350), (401, 720)))
+    return _shown(found).withColumns({"factor": F.split_part("feature", F.lit("@"), F.lit(2)).cast("double"), "feature": F.split_part("feature", F.lit("@"), F.lit(1))})
 
 
 @query(f"""WITH {PRED}, {TRUTH}, m AS (SELECT p, label FROM pred JOIN truth USING (transaction_id)), c AS (SELECT {_counts_sql(0.5)} FROM m), f AS (SELECT {_conf_sql(0.5)} FROM c)
