@@ -8,8 +8,8 @@ from ledgerlens.operators import labels as lb
 from ledgerlens.operators import rules as ru
 from ledgerlens.plans.q_streams import _sql, arriving
 from ledgerlens.plans.views import EVT, ORD, PRED, SCORES, evt, ords, predictions, read, scores
-from ledgerlens.sources.scratch import shared_dir
-from ledgerlens.streaming import jobs
+from ledgerlens.sources.scratch import materialize, shared_dir
+from ledgerlens.streaming import history, jobs
 
 QUERIES, ORACLES = {}, {}
 
@@ -186,9 +186,10 @@ def balance_changes(spark, sf_dir):
 
 @query(f"WITH {EVT} SELECT * FROM (SELECT event_id, {_sql('sender')}, {_sql('dest')}, step FROM evt) WHERE step > 360".replace("SELECT * FROM (", "SELECT * EXCLUDE (step) FROM ("))
 def stream_warm_start(spark, sf_dir):
-    """Earlier events go into the state without being scored; features of the later ones know them."""
+    """The state of the earlier events comes from a batch table; only later events go through the stream."""
     events = evt(spark, sf_dir).select("event_id", "step", "amount", "sender", "dest")
-    rows = arriving(events, lambda s: jobs.account_features(s, scored_from=361), 3, "warm")
+    known = materialize(history.history_state(events.where("step <= 360")), "known")
+    rows = arriving(events.where("step > 360"), lambda s: history.account_features(s, known), 3, "warm")
     out = jobs.paired(rows)
     return out.select(*[F.round(c, 4).alias(c) if "total" in c or "sum" in c else F.col(c) for c in out.columns])
 

@@ -8,7 +8,7 @@ from ledgerlens.operators.splits import temporal_split
 from ledgerlens.plans.q_labels import ALLOWED, REASON, raw_events
 from ledgerlens.plans.views import EVT, evt, ords, read
 from ledgerlens.sources.scratch import materialize, shared_dir
-from ledgerlens.streaming import jobs
+from ledgerlens.streaming import history, jobs
 
 QUERIES, ORACLES = {}, {}
 
@@ -56,7 +56,7 @@ def _sql(role: str) -> str:
 @query(f"WITH {EVT} SELECT event_id, {_sql('sender')}, {_sql('dest')} FROM evt")
 def stream_account_features(spark, sf_dir):
     events = evt(spark, sf_dir).select("event_id", "step", "amount", "sender", "dest")
-    rows = arriving(events, jobs.account_features, 3, "ordered")
+    rows = arriving(events, history.account_features, 3, "ordered")
     out = jobs.paired(rows)
     return out.select(*[F.round(c, 4).alias(c) if "total" in c or "sum" in c else F.col(c) for c in out.columns])
 
@@ -93,24 +93,63 @@ def stream_deduplication(spark, sf_dir):
     return rows.groupBy("event_type").agg(F.count("*").alias("n"))
 
 
-@query("SELECT event_type, count(*) AS matched FROM events WHERE event_id % 4 = 0 GROUP BY event_type")
+@query("""WITH w AS (SELECT time_bucket(INTERVAL 2 HOURS, ts, TIMESTAMP '2000-01-01') - to_hours(2 * i) AS s, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events, range(0, 3) r(i) GROUP BY 1, 2)
+SELECT CAST(epoch(s) AS BIGINT) AS start, event_type, n, total FROM w WHERE s + INTERVAL 6 HOURS <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""")
+def stream_sliding_windows(spark, sf_dir):
+    s = event_stream(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+    rows, _ = jobs.drain(jobs.activity(s, slide="2 hours"))
+    return rows.select(F.unix_timestamp(F.col("start")).alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query("""WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOURS THEN 0 ELSE 1 END AS opens FROM events),
+s AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+SELECT user_id, epoch_us(min(ts)) AS start, epoch_us(max(ts) + INTERVAL 6 HOURS) AS "end", count(*) AS n, round(sum(value), 4) AS total FROM s GROUP BY user_id, k HAVING max(ts) + INTERVAL 6 HOURS <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""")
+def stream_sessions(spark, sf_dir):
+    """Sessions of accounts that arrive in three parts, so that most are open from one batch to the next."""
+    e = read(spark, sf_dir, "events").select("event_id", "user_id", "value", F.col("ts").cast("timestamp").alias("ts"))
+    rows = arriving(e.withColumn("at", F.unix_timestamp("ts") - F.lit(1704067200)), lambda s: jobs.sessions(s, "user_id", gap="6 hours"), 3, "sessions", by="at")
+    return rows.select("user_id", F.unix_micros("start").alias("start"), F.unix_micros("end").alias("end"), "n", F.round("total", 4).alias("total"))
+
+
+@query("""WITH t AS (SELECT least(max(ts) - INTERVAL 1 HOUR, max(ts) FILTER (event_id % 4 = 0)) AS mark FROM events)
+SELECT event_type, count(*) FILTER (event_id % 4 = 0) AS matched, count(*) FILTER (event_id % 4 <> 0 AND ts + INTERVAL 2 HOURS < mark) AS unmatched FROM events, t GROUP BY event_type""")
 def stream_delayed_labels(spark, sf_dir):
+    """Labels that come an hour later. A prediction without one is released, as unmatched, once the
+    watermark says that none can come any more; those that may still get one are held back."""
     p = event_stream(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
     t = event_stream(spark, sf_dir).where("event_id % 4 = 0").select(F.col("event_id").alias("label_key"), (F.col("ts").cast("timestamp") + F.expr("INTERVAL 1 HOUR")).alias("label_ts"))
     rows, _ = jobs.drain(jobs.delayed_labels(p, t, "event_id"))
-    return rows.where("label_key IS NOT NULL").groupBy("event_type").agg(F.count("*").alias("matched"))
+    hit = F.col("label_key").isNotNull()
+    return rows.groupBy("event_type").agg(F.count_if(hit).alias("matched"), F.count_if(~hit).alias("unmatched"))
 
 
-@query()
+@query("SELECT event_type, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM events GROUP BY event_type")
+def stream_batch_sink(spark, sf_dir):
+    """Batches written to partitions of their own number, two runs with one checkpoint."""
+    import uuid
+
+    base = f"{shared_dir(spark)}/batches-{uuid.uuid4().hex}"
+    e = read(spark, sf_dir, "events").select("event_id", "event_type")
+    e.repartition(6, "event_id").write.parquet(f"{base}/in")
+    for _ in range(2):
+        jobs.write_batches(spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 2).parquet(f"{base}/in"), f"{base}/out", f"{base}/checkpoint")
+    rows = jobs.read_batches(spark, f"{base}/out", e.schema)
+    return rows.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
+
+
+@query("SELECT count(*) AS n_rows, CAST(3 AS BIGINT) AS batches, CAST(1 AS BIGINT) AS n_queries FROM events")
 def stream_progress(spark, sf_dir):
-    """Batches of a bounded run, and of a second one with the same checkpoint, which has nothing to do."""
+    """What a listener has recorded of a run over six files by two, and of a second one, which has nothing to do."""
     import uuid
 
     base = f"{shared_dir(spark)}/progress-{uuid.uuid4().hex}"
-    s = event_stream(spark, sf_dir).select("event_id", "value")
-    runs = [jobs.drain(s, f"{base}/checkpoint", f"{base}/out")[1] for _ in range(2)]
-    rows = [(i, p["batch"], p["rows"]) for i, q in enumerate(runs) for p in jobs.progress(q)]
-    return spark.createDataFrame(rows, "run int, batch long, n_rows long")
+    e = read(spark, sf_dir, "events").select("event_id", "value")
+    e.repartition(6, "event_id").write.parquet(f"{base}/in")
+    with jobs.ProgressTable(spark, f"{base}/progress") as log:
+        for _ in range(2):
+            jobs.drain(spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 2).parquet(f"{base}/in"), f"{base}/checkpoint", f"{base}/out")
+    worked = log.table().where("n_rows > 0")
+    return worked.agg(F.sum("n_rows").alias("n_rows"), F.count("*").alias("batches"), F.countDistinct("query").alias("n_queries"))
 
 
 FEATURES = ("amount", "sender_old", "dest_old", "step", "to_sender", "priority")

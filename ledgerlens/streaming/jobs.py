@@ -3,22 +3,21 @@
 Each takes and returns streaming frames; ``drain`` runs one to the end of what its source has.
 """
 
+import threading
 import uuid
 from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
 from ledgerlens.sources.scratch import shared_dir
 
-WINDOWS = (24, 168)
-STATE = "n long, total double, largest double, last long, steps array<long>, amounts array<double>"
-OUT = "role string, account long, event_id long, prev_count long, prev_total double, prev_max double, hours_since_prev long, " + ", ".join(f"count_{w}h long, sum_{w}h double" for w in WINDOWS)
-
 
 def drain(stream: DataFrame, checkpoint: str | None = None, path: str | None = None, fmt: str = "parquet"):
     """Write a stream to files until its source has no more, and return (rows written, query).
@@ -32,56 +31,6 @@ def drain(stream: DataFrame, checkpoint: str | None = None, path: str | None = N
     return stream.sparkSession.read.schema(stream.schema).option("header", True).format(fmt).load(path), query
 
 
-def by_role(events: DataFrame) -> DataFrame:
-    """One row for each account of an event: its sender's and its recipient's."""
-    roles = F.array(F.struct(F.lit("sender").alias("role"), F.col("sender").alias("account")), F.struct(F.lit("dest").alias("role"), F.col("dest").alias("account")))
-    return events.select("event_id", "step", "amount", F.explode(roles).alias("r")).select("r.role", "r.account", "event_id", "step", "amount")
-
-
-def _account(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState, scored_from: int) -> Iterator[pd.DataFrame]:
-    """History of one account in one role: features are read before the event is added.
-
-    State keeps sums and the events of the longest window only; windows are differences of prefix sums.
-    Events before ``scored_from`` change the state alone.
-    """
-    n, total, largest, last, steps, amounts = state.get if state.exists else (0, 0.0, None, None, [], [])
-    batch = pd.concat(list(frames), ignore_index=True).sort_values(["step", "event_id"])
-    known, step, amount = len(steps or []), batch["step"].to_numpy(np.int64), batch["amount"].to_numpy(float)
-    every, paid = np.concatenate((np.array(steps or [], np.int64), step)), np.concatenate((np.array(amounts or [], float), amount))
-    place = np.arange(known, len(every))
-    out = pd.DataFrame({"role": key[0], "account": key[1], "event_id": batch["event_id"].to_numpy()})
-    out["prev_count"] = n + np.arange(len(step))
-    out["prev_total"] = total + np.concatenate(([0.0], np.cumsum(amount)[:-1]))
-    before = np.maximum.accumulate(np.concatenate(([-np.inf if largest is None else largest], amount)))
-    out["prev_max"] = np.where(np.isinf(before[:-1]), np.nan, before[:-1])
-    out["hours_since_prev"] = pd.array(step, "Int64") - pd.array([last, *step[:-1].tolist()], "Int64")
-    upto = np.concatenate(([0.0], np.cumsum(paid)))
-    in_order = bool((np.diff(every) >= 0).all())
-    for w in WINDOWS:
-        if in_order:
-            first = np.searchsorted(every, step - w, "right")
-            out[f"count_{w}h"], out[f"sum_{w}h"] = place - first, upto[place] - upto[first]
-        else:  # an account with late events: each row looks at all that came before it
-            near = [every[:p] > s - w for p, s in zip(place.tolist(), step.tolist(), strict=True)]
-            out[f"count_{w}h"], out[f"sum_{w}h"] = [int(x.sum()) for x in near], [float(paid[: len(x)][x].sum()) for x in near]
-    keep = every > step[-1] - max(WINDOWS)
-    state.update((n + len(step), total + float(amount.sum()), float(before[-1]), int(step[-1]), every[keep].tolist(), paid[keep].tolist()))
-    yield out[step >= scored_from]
-
-
-def account_features(events: DataFrame, scored_from: int = -(1 << 62)) -> DataFrame:
-    """Strictly past features of both accounts of each event, keyed by (role, account).
-
-    A stream that begins with the events of the past warms the state up: those with a step below
-    ``scored_from`` are known to later ones and get no row. An event with a lower step than its
-    account's last is taken as it comes (its hours are negative); ``late_events`` finds such events.
-
-    No single-partition order is needed: only events of one account are put in order, by
-    (step, event_id) in a batch, by arrival between batches.
-    """
-    return by_role(events).groupBy("role", "account").applyInPandasWithState(partial(_account, scored_from=scored_from), OUT, STATE, "append", GroupStateTimeout.NoTimeout)
-
-
 def _late(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState, account: str) -> Iterator[pd.DataFrame]:
     batch = pd.concat(list(frames), ignore_index=True).sort_values("event_id")
     step = batch["step"].to_numpy(np.int64)
@@ -105,10 +54,17 @@ def paired(features: DataFrame) -> DataFrame:
     return features.groupBy("event_id").agg(*[at(r, c) for r in ("sender", "dest") for c in names])
 
 
-def activity(events: DataFrame, time: str = "ts", length: str = "6 hours", late: str = "1 hour") -> DataFrame:
-    """Events by tumbling window; a window is final once the watermark has passed its end."""
-    w = events.withWatermark(time, late).groupBy(F.window(time, length), "event_type")
-    return w.agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), "event_type", "n", "total")
+def activity(events: DataFrame, time: str = "ts", length: str = "6 hours", slide: str | None = None, late: str = "1 hour", by: str = "event_type") -> DataFrame:
+    """Events by tumbling window, or by sliding ones with ``slide``; a window is final once the watermark has passed its end."""
+    w = events.withWatermark(time, late).groupBy(F.window(time, length, slide), by)
+    return w.agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), by, "n", "total")
+
+
+def sessions(events: DataFrame, key: str, time: str = "ts", gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
+    """Runs of a key's events with less than ``gap`` between neighbours; late ones join or merge runs until
+    the watermark has passed their end."""
+    w = events.withWatermark(time, late).groupBy(F.session_window(time, gap), key)
+    return w.agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(key, F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n", "total")
 
 
 def once(events: DataFrame, key: str, time: str = "ts", late: str = "1 hour") -> DataFrame:
@@ -123,6 +79,88 @@ def delayed_labels(predictions: DataFrame, labels: DataFrame, key: str, longest:
     return p.join(t, F.expr(f"{key} = label_key AND label_ts >= ts AND label_ts <= ts + INTERVAL {longest}"), "leftOuter")
 
 
-def progress(query) -> list[dict]:
-    """Batch, input rows and duration of a query's last batches."""
+def write_batches(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Write each batch to the partition of its number, in place of what is there.
+
+    After a crash between a batch's write and its entry in the checkpoint, Spark runs the batch again with
+    the same rows and the same number, so every row is there once. Read it with ``read_batches``.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch_id={number}")
+
+    query = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return query
+
+
+def read_batches(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    return spark.read.schema(schema.add("batch_id", "long")).parquet(path)
+
+
+PROGRESS = "query string, batch long, n_rows long, ms long, state_rows long, watermark string"
+
+
+class ProgressTable(StreamingQueryListener):
+    """Writes the progress of every batch of every query of a session to a table, while they run.
+
+    Use it as a context: at its end it waits for the queries that have begun in it, and writes what is left.
+    """
+
+    #: Rows that are held before they are written.
+    HELD = 500
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path, self.rows = spark, path, []
+        self.lock, self.open, self.quiet = threading.Lock(), set(), threading.Event()
+        self.quiet.set()
+
+    def onQueryStarted(self, event) -> None:
+        with self.lock:
+            self.open.add(event.runId)
+            self.quiet.clear()
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        state = sum(s.numRowsTotal for s in p.stateOperators)
+        with self.lock:
+            self.rows.append((str(p.id), p.batchId, p.numInputRows, p.durationMs.get("triggerExecution"), state, p.eventTime.get("watermark")))
+            full = len(self.rows) >= self.HELD
+        if full:
+            self.write()
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        with self.lock:
+            self.open.discard(event.runId)
+            if not self.open:
+                self.quiet.set()
+
+    def write(self) -> None:
+        with self.lock:
+            rows, self.rows = self.rows, []
+        if rows:
+            self.spark.createDataFrame(rows, PROGRESS).coalesce(1).write.mode("append").parquet(self.path)
+
+    def table(self) -> DataFrame:
+        """All progress; a batch without work may report itself more than once, of which the last counts."""
+        self.write()
+        rows = self.spark.read.schema(PROGRESS).parquet(self.path)
+        return rows.groupBy("query", "batch").agg(F.max_by(F.struct("n_rows", "ms", "state_rows", "watermark"), F.struct("n_rows", "watermark")).alias("r")).select("query", "batch", "r.*")
+
+    def __enter__(self) -> "ProgressTable":
+        self.spark.createDataFrame([], PROGRESS).write.mode("append").parquet(self.path)
+        self.spark.streams.addListener(self)
+        return self
+
+    def __exit__(self, *error) -> None:
+        self.quiet.wait(60)
+        self.spark.streams.removeListener(self)
+        self.write()
+
+
+def progress(query: StreamingQuery) -> list[dict]:
+    """Batch, input rows and duration of a query's last batches, of which Spark keeps a hundred; see ``ProgressTable``."""
     return [{"batch": p["batchId"], "rows": p["numInputRows"], "ms": p["durationMs"].get("triggerExecution")} for p in query.recentProgress]
