@@ -18,7 +18,7 @@ LONGEST = max(WINDOWS)
 HOUR = 3_600_000
 #: Hours from 1970 to where step 0 is put, so that no step is before the watermark's start.
 ORIGIN = 262_968
-STATE = "n long, total double, largest double, last long, hours array<long>, counts array<long>, sums array<double>"
+STATE = "n long, total double, largest double, last long, hours array<long>, counts array<long>, sums array<double>, timer long"
 OUT = "role string, account long, event_id long, prev_count long, prev_total double, prev_max double, hours_since_prev long, " + ", ".join(f"count_{w}h long, sum_{w}h double" for w in WINDOWS)
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -32,12 +32,12 @@ def by_role(events: DataFrame) -> DataFrame:
 class Past:
     """What is known of an account: totals, and count and sum of each hour of the longest window."""
 
-    def __init__(self, n=0, total=0.0, largest=None, last=None, hours=(), counts=(), sums=()):
-        self.n, self.total, self.largest, self.last = n, total, largest, last
+    def __init__(self, n=0, total=0.0, largest=None, last=None, hours=(), counts=(), sums=(), timer=None):
+        self.n, self.total, self.largest, self.last, self.timer = n, total, largest, last, timer
         self.hours, self.counts, self.sums = np.array(hours, np.int64), np.array(counts, np.int64), np.array(sums, float)
 
     def row(self) -> tuple:
-        return self.n, self.total, self.largest, self.last, self.hours.tolist(), self.counts.tolist(), self.sums.tolist()
+        return self.n, self.total, self.largest, self.last, self.hours.tolist(), self.counts.tolist(), self.sums.tolist(), self.timer
 
     def features(self, step: np.ndarray, amount: np.ndarray) -> dict[str, np.ndarray]:
         """Features of new events in order, each before it is added. Both parts of a window are
@@ -49,7 +49,7 @@ class Past:
             "prev_count": self.n + place,
             "prev_total": self.total + paid[:-1],
             "prev_max": np.where(np.isinf(before), np.nan, before),
-            "hours_since_prev": pd.array(step, "Int64") - pd.array([self.last, *step[:-1].tolist()], "Int64"),
+            "hours_since_prev": step - np.concatenate(([np.nan if self.last is None else self.last], step[:-1])),
         }
         known_n, known_sum = np.concatenate(([0], np.cumsum(self.counts))), np.concatenate(([0.0], np.cumsum(self.sums)))
         for w in WINDOWS:
@@ -83,19 +83,12 @@ class AccountHistory(StatefulProcessor):
         found = self.state.get()
         return Past() if found is None else Past(*found)
 
-    @staticmethod
-    def _due(past: Past) -> int | None:
-        return (int(past.hours[-1]) + LONGEST + ORIGIN) * HOUR if len(past.hours) else None
-
-    def _write(self, past: Past, timer: int | None) -> None:
-        """Keep the state, and let its hours end with the newest of them."""
+    def _write(self, past: Past) -> None:
+        """Keep the state; while it has hours, a timer is set that looks at them again."""
+        if past.timer is None and len(past.hours):
+            past.timer = (int(past.hours[-1]) + LONGEST + ORIGIN) * HOUR
+            self.handle.registerTimer(past.timer)
         self.state.update(past.row())
-        due = self._due(past)
-        if due != timer:
-            if timer is not None:
-                self.handle.deleteTimer(timer)
-            if due is not None:
-                self.handle.registerTimer(due)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         """A batch's events of one account; of each, three numbers are held to put them in order."""
@@ -104,21 +97,21 @@ class AccountHistory(StatefulProcessor):
         order = np.lexsort((event, step))
         step, event, amount = step[order], event[order], amount[order]
         past = self._read()
-        timer = self._due(past)
         out = pd.DataFrame({"role": key[0], "account": key[1], "event_id": event, **past.features(step, amount)})
         past.add(step, amount)
-        self._write(past, timer)
+        self._write(past)
         yield out
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         past = self._read()
         past.drop_until(expiredTimerInfo.getExpiryTimeInMs() // HOUR - ORIGIN - LONGEST)
-        self._write(past, expiredTimerInfo.getExpiryTimeInMs())
+        past.timer = None
+        self._write(past)
         yield from ()
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
         r = initialState.iloc[0]
-        self._write(Past(int(r["n"]), float(r["total"]), float(r["largest"]), int(r["last"]), r["hours"], r["counts"], r["sums"]), None)
+        self._write(Past(int(r["n"]), float(r["total"]), float(r["largest"]), int(r["last"]), r["hours"], r["counts"], r["sums"]))
 
     def close(self) -> None:
         pass
