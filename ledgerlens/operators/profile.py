@@ -130,13 +130,6 @@ def concentration(profile: DataFrame, share: float = 0.01) -> DataFrame:
     )
 
 
-def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Pearson correlation of each pair of columns, one pass."""
-    return unpivot_aggs(df, {f"{a}|{b}": {"corr": F.round(F.corr(a, b), 6)} for a, b in combinations(columns, 2)}, name="pair").select(
-        F.split_part("pair", F.lit("|"), F.lit(1)).alias("left_col"), F.split_part("pair", F.lit("|"), F.lit(2)).alias("right_col"), "corr"
-    )
-
-
 def iqr_outliers(df: DataFrame, columns: Sequence[str], label: str = "label") -> DataFrame:
     """Fences at 1.5 IQR, and what lies outside overall and by class.
 

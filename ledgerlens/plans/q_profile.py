@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ledgerlens.functions.scalars import risk_level, risk_score, safe_divide, suffix_number
+from ledgerlens.operators import correlation as co
 from ledgerlens.operators import features as ft
 from ledgerlens.operators import joins as jn
 from ledgerlens.operators import profile as pf
@@ -276,7 +277,59 @@ CORR = ("amount", "sender_old", "sender_new", "dest_old", "dest_new", "label")
 
 @query(f"WITH {ORD} " + " UNION ALL ".join(f"SELECT '{a}' AS left_col, '{b}' AS right_col, round(corr({a}, {b}), 6) AS corr FROM ord" for i, a in enumerate(CORR) for b in CORR[i + 1 :]))
 def correlation_pairs(spark, sf_dir):
-    return pf.correlations(ords(spark, sf_dir), CORR)
+    return co.correlations(ords(spark, sf_dir), CORR).select("left_col", "right_col", F.round("corr", 6).alias("corr"))
+
+
+DELTAS = {"sender_delta": "sender_new - sender_old", "dest_delta": "dest_new - dest_old", "sender_error": "sender_old - amount - sender_new", "over": "CASE WHEN amount > sender_old THEN amount - sender_old END"}
+MATRIX = (*CORR, *DELTAS)
+DELTA_SQL = f"{ORD}, dl AS (SELECT *, {', '.join(f'{v} AS {k}' for k, v in DELTAS.items())} FROM ord)"
+
+
+def _pairs_sql(columns, table):
+    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
+    return "pr AS (" + " UNION ALL ".join(f"SELECT '{a}' AS left_col, '{b}' AS right_col, count(*) FILTER ({a} IS NOT NULL AND {b} IS NOT NULL) AS n, corr({a}, {b}) AS corr FROM {table}" for a, b in pairs) + ")"
+
+
+def _with_deltas(spark, sf_dir):
+    return ords(spark, sf_dir).withColumns({k: F.expr(v) for k, v in DELTAS.items()})
+
+
+@query(f"WITH {DELTA_SQL}, {_pairs_sql(MATRIX, 'dl')} SELECT left_col, right_col, n, round(corr, 6) AS corr FROM pr")
+def correlation_matrix(spark, sf_dir):
+    """Balances, their changes and errors, the last of which has nulls: each pair over the rows that have both."""
+    return co.correlations(_with_deltas(spark, sf_dir), MATRIX).withColumn("corr", F.round("corr", 6))
+
+
+@query(f"WITH {DELTA_SQL}, {_pairs_sql(MATRIX, 'dl')} SELECT left_col, right_col, n, round(corr, 6) AS corr FROM pr WHERE abs(corr) >= 0.9")
+def high_correlations(spark, sf_dir):
+    return co.above(co.correlations(_with_deltas(spark, sf_dir), MATRIX), 0.9).withColumn("corr", F.round("corr", 6))
+
+
+FEATURE_SQL = {
+    "hour": "(step - 1) % 24", "day": "floor((step - 1) / 24)", "log_amount": "ln(1 + greatest(amount, 0))", "amount": "amount", "amount_to_sender": "CASE WHEN sender_old > 0 THEN amount / sender_old END",
+    "sender_remaining": "sender_old - amount", "log_sender": "ln(1 + greatest(sender_old, 0))", "log_dest": "ln(1 + greatest(dest_old, 0))", "sender_old": "sender_old", "step": "step", "label": "label",
+}
+
+
+def _audited(spark, sf_dir):
+    from ledgerlens.functions.scalars import FrozenParams, amounts, balances, temporal
+
+    return ords(spark, sf_dir).withColumns(temporal() | amounts(FrozenParams(0.0, ())) | balances())
+
+
+FEATURE_PAIRS = f"{ORD}, ft AS (SELECT {', '.join(f'{v} AS {k}' for k, v in FEATURE_SQL.items())} FROM ord), {_pairs_sql(tuple(FEATURE_SQL), 'ft')}"
+
+
+@query(f"WITH {FEATURE_PAIRS} SELECT left_col, right_col, round(corr, 6) AS corr FROM pr WHERE abs(corr) >= 0.98 AND right_col <> 'label'")
+def redundant_features(spark, sf_dir):
+    """Pairs of features of which one says what the other says, over all rows."""
+    pairs = co.correlations(_audited(spark, sf_dir), [c for c in FEATURE_SQL if c != "label"])
+    return co.above(pairs, 0.98).select("left_col", "right_col", F.round("corr", 6).alias("corr"))
+
+
+@query(f"WITH {FEATURE_PAIRS} SELECT left_col AS feature, round(abs(corr), 6) AS abs_corr, coalesce(abs(corr) >= 0.98, false) AS leaks FROM pr WHERE right_col = 'label'")
+def label_correlations(spark, sf_dir):
+    return co.with_label(_audited(spark, sf_dir), [c for c in FEATURE_SQL if c != "label"]).withColumn("abs_corr", F.round("abs_corr", 6))
 
 
 def _iqr_sql(c: str) -> str:
