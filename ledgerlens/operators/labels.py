@@ -78,3 +78,58 @@ def eligibility(summary: DataFrame, least_labels: int = 100, least_positives: in
     out = summary.withColumn("__why", why)
     decision = F.when(~F.col("drift"), "NOT_REQUIRED").when(F.size("__why") > 0, "BLOCKED").otherwise("ELIGIBLE")
     return out.withColumns({"decision": decision, "reasons": F.array_join("__why", ",")}).drop("__why")
+
+
+def label_checks(joined: DataFrame, key: str = "transaction_id", label: str = "label") -> DataFrame:
+    """``check, n_bad, passed`` for labels joined to predictions: values, one row and one label a transaction, all matched."""
+    y = F.col(label)
+    by = joined.groupBy(key).agg(F.count("*").alias("n"), F.count_if(y.isNull()).alias("missing"), F.count_if(y.isNotNull() & ~y.isin(0, 1)).alias("odd"), F.min(y).alias("lo"), F.max(y).alias("hi"))
+    bad = {
+        "labels_are_0_or_1": F.coalesce(F.sum("odd"), F.lit(0)),
+        "one_row_a_transaction": F.coalesce(F.sum(F.col("n") - 1), F.lit(0)),
+        "one_label_a_transaction": F.count_if(F.col("lo") != F.col("hi")),
+        "every_transaction_matched": F.coalesce(F.sum("missing"), F.lit(0)),
+    }
+    row = by.agg(*[v.cast("long").alias(k) for k, v in bad.items()])
+    out = row.select(F.explode(F.array(*[F.struct(F.lit(k).alias("check"), F.col(k).alias("n_bad")) for k in bad])).alias("r")).select("r.*")
+    present = joined.sparkSession.createDataFrame([("label_column_present", int(label not in joined.columns))], "check string, n_bad long")
+    return out.unionByName(present).withColumn("passed", F.col("n_bad") == 0)
+
+
+def trusted_facts(labels: DataFrame, predictions: DataFrame, vectors: DataFrame, key: str = "transaction_id") -> DataFrame:
+    """Everything that decides whether a submitted label may be trained on, one row a submission.
+
+    ``labels`` is what ``fold_labels`` returns; ``predictions`` has ``key, prediction, version, origin, step``, with
+    repeats where a transaction was predicted twice; ``vectors`` has ``key`` and ``valid``. Each side is reduced to a
+    row a transaction before the join, by aggregates that combine where rows are read.
+    """
+    said = labels.groupBy(key).agg(F.count_if(F.col("disposition").isin("conflict", "submission_conflict")).alias("n_conflicts"))
+    made = predictions.groupBy(key).agg(F.count("*").alias("n_predictions"), (F.min("prediction") != F.max("prediction")).alias("prediction_conflict"), F.max("version").alias("version"), F.min("origin").alias("origin"), F.max("step").alias("step"))
+    known = vectors.groupBy(key).agg(F.count("*").alias("n_vectors"), F.bool_and("valid").alias("vector_valid"))
+    return labels.join(said, key).join(made, key, "left").join(known, key, "left").fillna(0, ["n_predictions", "n_vectors"])
+
+
+def trust_rules(trusted: Sequence[str], synthetic: str, version: int, boundary: int) -> dict[str, Column]:
+    """Why a label isn't trained on, each over a row of ``trusted_facts``; a label may have several reasons."""
+    has = F.col("n_predictions") > 0
+    return {
+        "synthetic_label": F.col("source_type") == synthetic,
+        "untrusted_or_unauthorized": ~F.coalesce(F.col("source_type").isin(*trusted), F.lit(False)),
+        "pending_or_rejected": F.col("disposition").isin("pending_prediction", "rejected"),
+        "unmatched_prediction": ~has,
+        "synthetic_prediction": F.startswith(F.lower("origin"), F.lit("synthetic")),
+        "other_version": has & (F.col("version") != version),
+        "label_conflict": F.col("n_conflicts") > 0,
+        "prediction_conflict": F.col("prediction_conflict"),
+        "submission_not_accepted": F.col("disposition") != "accepted",
+        "missing_or_duplicate_feature_vector": F.col("n_vectors") != 1,
+        "invalid_feature_vector": (F.col("n_vectors") > 0) & ~F.col("vector_valid"),
+        "heldout_boundary_violation": F.col("step") <= boundary,
+    }
+
+
+def trust_breakdown(facts: DataFrame, rules: Mapping[str, Column], by: Sequence[str]) -> DataFrame:
+    """Labels by source and state: how many, how many are eligible, and of them positive."""
+    marked = facts.withColumn("__why", reasons(rules))
+    ok = F.size("__why") == 0
+    return marked.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(ok).alias("eligible"), F.count_if(ok & (F.col("outcome") == 1)).alias("eligible_positives"))

@@ -120,3 +120,25 @@ def accept(comparison: DataFrame, regression: float = 0.02, least_recall: float
     out = comparison.agg(worst.alias("worst_delta"), recall.alias("recall"))
     ok = (F.col("worst_delta") >= -regression) & (F.col("recall") >= least_recall)
     return out.withColumn("decision", F.when(ok, "accept").otherwise("reject"))
+
+
+#: Why a ratio isn't defined.
+NO_PREDICTED, NO_ACTUAL, NEITHER = "no positive predictions", "no positive labels", "precision or recall is undefined"
+
+
+def undefined_reasons(confusion_rows: DataFrame) -> DataFrame:
+    """``confusion(..., undefined="null")`` with ``reasons``: for each metric that is NULL, why; F1 is 0 where
+    precision and recall are both there and 0, and NULL where either isn't."""
+    predicted, actual = F.col("tp") + F.col("fp"), F.col("tp") + F.col("fn")
+    why = F.array_compact(F.array(F.when(predicted == 0, f"precision: {NO_PREDICTED}"), F.when(actual == 0, f"recall: {NO_ACTUAL}"), F.when((predicted == 0) | (actual == 0), f"f1: {NEITHER}")))
+    f1 = F.when((predicted > 0) & (actual > 0), F.coalesce("f1", F.lit(0.0)))
+    return confusion_rows.withColumns({"f1": f1, "reasons": F.array_join(why, "; ")})
+
+
+def split_report(scores: DataFrame, threshold: float, parts: Sequence[str] = ("train", "validation", "test"), split: str = "split") -> DataFrame:
+    """``metric``, its value in each part, and how far each part falls below the one before it (``gap_*``)."""
+    m = confusion(scores, threshold, [split]).join(ranking(scores, [split]), split)
+    names = ("precision", "recall", "f1", "average_precision", "roc_auc")
+    long = m.select(split, F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).alias("value")) for n in names])).alias("r")).select(split, "r.*")
+    out = long.groupBy("metric").agg(*[F.max(F.when(F.col(split) == p, F.col("value"))).alias(p) for p in parts])
+    return out.withColumns({f"gap_{a}_{b}": F.round(F.col(a) - F.col(b), 6) for a, b in zip(parts, parts[1:], strict=False)})

@@ -67,3 +67,21 @@ def segmented_sums(df: DataFrame, by: Sequence[str], order: Sequence[str | Colum
     local = W.partitionBy("__part", *by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     out = null_safe(cut.withColumns({k: F.sum(c).over(local) for k, c in sums.items()}), offsets, ["__part", *by])
     return out.withColumns({k: F.col(k) + F.col(f"__{k}") for k in sums}).drop("__part", *[f"__{k}" for k in sums])
+
+
+def nearest_window(df: DataFrame, order: Sequence[str], label: str, n: int, target: int) -> DataFrame:
+    """One row about the best run of ``n`` neighbouring rows in ``order``, whose first column is a time step.
+
+    Runs with at least ``target`` positives and a negative count; of them the one whose positives are nearest
+    the target, then with the most distinct steps, then the earliest. Positives and steps of every run are
+    differences of distributed running sums, a run's end meeting its start by their row numbers.
+    """
+    step = order[0]
+    seen = lag_global(df.select(*order, label), order, step, "__last")
+    changed = (F.col("__last").isNull() | (F.col(step) != F.col("__last"))).cast("int")
+    run = running_sums(seen, order, {"i": F.lit(1), "y": F.col(label), "d": changed})
+    ends = run.select((F.col("i") - 1).alias("last_row"), F.col("y"), F.col("d"))
+    starts = run.select((F.col("i") - 1).alias("first_row"), (F.col("i") + n - 2).alias("last_row"), (F.col("y") - F.col(label)).alias("y0"), F.col("d").alias("d0"))
+    runs = starts.join(ends, "last_row").select("first_row", "last_row", (F.col("y") - F.col("y0")).alias("positives"), (F.col("d") - F.col("d0") + 1).alias("steps"))
+    fit = runs.where((F.col("positives") >= target) & (F.col("positives") < n))
+    return fit.orderBy(F.abs(F.col("positives") - target), F.desc("steps"), "first_row").limit(1)

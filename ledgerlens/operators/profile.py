@@ -229,3 +229,78 @@ def cardinality(df: DataFrame, columns: Sequence[str], low: int = 50, mid: int =
     ratio = F.col("n_distinct") / F.col("n")
     level = F.when(F.col("n_distinct") <= low, "low").when(F.col("n_distinct") <= mid, "medium").otherwise("high")
     return out.select("column_name", "n_distinct", F.round(ratio, 6).alias("ratio"), level.alias("level"), F.when(ratio > 0.5, "identifier").when(ratio > 0.05, "id-like").otherwise("feature").alias("kind"))
+
+
+def full_audit(df: DataFrame, key: str, numeric: Sequence[str], rules: Mapping[str, Column]) -> DataFrame:
+    """``rule, n_found, pct``: missing cells, rows with one, whole rows and ids that repeat, infinite and NaN
+    values, and how many rows break each of ``rules``. Cells are counted against cells, rows against rows.
+
+    One pass for all that a row shows by itself; repeats come from two aggregates that combine where rows are read.
+    """
+    columns, n = df.columns, F.count("*")
+    missing = [F.col(c).isNull() | F.isnan(F.col(c).cast("double")) if c in numeric else F.col(c).isNull() for c in columns]
+    cells = sum((m.cast("int") for m in missing), F.lit(0))
+    number = [F.col(c).cast("double") for c in numeric]
+    infinite, nans = (sum((F.coalesce(f(c), F.lit(False)).cast("int") for c in number), F.lit(0)) for f in (lambda c: F.abs(c) == float("inf"), F.isnan))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    of = lambda found, most: {"n_found": found.cast("long"), "pct": pct(found, most)}
+    aggs = {"missing_cells": of(total(cells), n * len(columns)), "rows_with_missing": of(F.count_if(cells > 0), n), "infinite_values": of(total(infinite), n * len(numeric)), "nan_values": of(total(nans), n * len(numeric))}
+    aggs |= {k: of(F.count_if(c), n) for k, c in rules.items()}
+    out = unpivot_aggs(df, aggs, name="rule")
+    for name, by in (("duplicate_rows", columns), ("duplicate_ids", [key])):
+        groups = df.groupBy(*by).agg(n.alias("k"))
+        out = out.unionByName(groups.agg(F.lit(name).alias("rule"), total(F.col("k") - 1).cast("long").alias("n_found"), pct(total(F.col("k") - 1), F.sum("k")).alias("pct")))
+    return out
+
+
+def feature_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Distinct values, corrected skewness and kurtosis, and whether a column is binary or constant."""
+    aggs = {c: {"n_unique": F.countDistinct(c), "skew": F.round(skewness(c), 3), "kurt": F.round(kurtosis(c), 3)} for c in columns}
+    out = unpivot_aggs(df, aggs, name="column_name")
+    return out.withColumns({"is_binary": F.col("n_unique") <= 2, "is_constant": F.col("n_unique") <= 1})
+
+
+def positive_concentration(profile: DataFrame, top: int = 10, share: float = 0.01) -> DataFrame:
+    """How far positives gather in few accounts: accounts that have any, the share of those with several, of the
+    ``top`` accounts and of the top ``share`` of them.
+
+    Accounts with equally many positives are one row before they are ranked.
+    """
+    by = profile.groupBy("positives").agg(F.count("*").alias("accounts"))
+    everything = W.partitionBy()
+    some = F.when(F.col("positives") > 0, F.col("accounts")).otherwise(0)
+    by = by.withColumns({"all_accounts": F.sum("accounts").over(everything), "with_any": F.sum(some).over(everything), "total": F.sum(F.col("accounts") * F.col("positives")).over(everything)}).where("positives > 0")
+    ranked = by.withColumn("before", F.sum("accounts").over(W.orderBy(F.desc("positives"))) - F.col("accounts"))
+    held = lambda most: F.sum(F.greatest(F.lit(0), F.least(F.col("accounts"), most - F.col("before"))) * F.col("positives"))
+    most = F.greatest(F.ceil(F.col("with_any") * share), F.lit(1))
+    return ranked.agg(
+        F.max("with_any").alias("accounts_with_positives"),
+        pct(F.max("with_any"), F.max("all_accounts")).alias("accounts_pct"),
+        pct(F.sum(F.when(F.col("positives") >= 2, F.col("accounts") * F.col("positives"))), F.max("total")).alias("in_repeated_pct"),
+        pct(held(F.lit(top)), F.max("total")).alias("top_accounts_pct"),
+        pct(held(most), F.max("total")).alias("top_share_pct"),
+    )
+
+
+def outlier_review(df: DataFrame, columns: Sequence[str], label: str = "label") -> DataFrame:
+    """Median, P99, P99.9 and maximum of the finite values of each column, and what lies beyond 1.5 IQR, by class."""
+    finite = df.select(label, *[F.when(F.abs(F.col(c).cast("double")) < float("inf"), F.col(c).cast("double")).alias(c) for c in columns])
+    row, aggs, y = values_of(finite, columns, [0.25, 0.5, 0.75, 0.99, 0.999]), {}, F.col(label) == 1
+    for c in columns:
+        if c in row:
+            q1, q2, q3, p99, p999 = row[c]
+            v = F.col(c)
+            out, ok = (v < q1 - 1.5 * (q3 - q1)) | (v > q3 + 1.5 * (q3 - q1)), v.isNotNull()
+            share = lambda of, out=out, ok=ok: pct(F.count_if(out & of), F.count_if(ok & of))
+            aggs[c] = {"defined_rows": F.count(c), "median": F.round(F.lit(q2), 4), "p99": F.round(F.lit(p99), 4), "p999": F.round(F.lit(p999), 4), "max": F.round(F.max(c), 4), "outlier_pct": share(F.lit(True)), "in_positives_pct": share(y), "in_negatives_pct": share(~y)}
+    return unpivot_aggs(finite, aggs, name="feature")
+
+
+def null_table(df: DataFrame, columns: Sequence[str], by_design: Sequence[str]) -> DataFrame:
+    """Nulls and infinities of each feature, and what to make of them: a name with a part in ``by_design`` may have nulls."""
+    number = lambda c: F.col(c).cast("double")
+    null = lambda c: F.count_if(F.col(c).isNull() | F.isnan(number(c)))
+    aggs = {c: {"n_null": null(c), "null_pct": pct(null(c), F.count("*")), "n_infinite": F.count_if(F.abs(number(c)) == float("inf")), "by_design": F.lit(any(k in c for k in by_design))} for c in columns}
+    out = unpivot_aggs(df, aggs, name="feature")
+    treatment = F.when(F.col("n_null") == 0, "none").when(F.col("by_design"), "undefined").otherwise("unexpected")
+    return out.withColumn("treatment", treatment)

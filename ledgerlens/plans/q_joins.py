@@ -246,11 +246,11 @@ def best_row_window(spark, sf_dir):
     return w.orderBy(F.abs(F.col("positives") - 40), "i").limit(1).select(F.col("i").cast("long").alias("last_row"), F.col("positives").cast("long").alias("positives"))
 
 
-@query(f"WITH {EVT} SELECT event_id, type, amount FROM evt WHERE (contains(lower(type), 'ur') OR contains(CAST(event_id AS VARCHAR), '77')) AND type IN ('purchase', 'view') ORDER BY amount DESC NULLS LAST, event_id LIMIT 200")
+@query(f"WITH {EVT} SELECT event_id, type, amount FROM evt WHERE (contains(lower(type), 'ur') OR contains(CAST(event_id AS VARCHAR), '77')) AND type IN ('purchase', 'view') ORDER BY amount DESC NULLS LAST, event_id")
 def explorer_filter(spark, sf_dir):
     e = evt(spark, sf_dir)
     has = F.contains(F.lower("type"), F.lit("ur")) | F.contains(F.col("event_id").cast("string"), F.lit("77"))
-    return e.where(has & F.col("type").isin("purchase", "view")).select("event_id", "type", "amount").orderBy(F.desc_nulls_last("amount"), "event_id").limit(200)
+    return e.where(has & F.col("type").isin("purchase", "view")).select("event_id", "type", "amount").orderBy(F.desc_nulls_last("amount"), "event_id")
 
 
 @query(f"WITH {EVT} SELECT 'old' AS part, event_id, step, label FROM evt WHERE step <= 100 UNION ALL SELECT 'recent', event_id, step, label FROM evt WHERE step >= 650")

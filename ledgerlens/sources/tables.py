@@ -80,3 +80,8 @@ def read_stream(spark: SparkSession, kind: str, schema: str | None = None, path:
     if schema:
         reader = reader.schema(schema)
     return reader.load(path) if path else reader.load()
+
+
+def newest(logs: DataFrame, order: Sequence[str], limit: int) -> DataFrame:
+    """The last ``limit`` records by ``order``, newest first; NULLs come last."""
+    return logs.orderBy(*[F.desc_nulls_last(c) for c in order]).limit(limit)
