@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ledgerlens.operators.prefix import null_safe, row_ids
 
 def step_table(df: DataFrame) -> DataFrame:
     """Rows and positives of each step with cumulative share; a window over steps, not rows."""
@@ -27,14 +28,15 @@ def temporal_split(df: DataFrame, fractions: Sequence[float] = (0.7, 0.85)) -> D
 
 
 def clamped_split(df: DataFrame, fractions: Sequence[float] = (0.7, 0.85)) -> DataFrame:
-    """By rank of steps, clamped so that all three parts have one; needs three steps."""
-    steps = [r["step"] for r in df.select("step").distinct().orderBy("step").collect()]
-    n = len(steps)
+    """By rank of steps, clamped so that all three parts have one; needs three steps. Two steps come to the driver."""
+    ranked = row_ids(df.select("step").where("step IS NOT NULL").distinct(), ["step"], "rank")
+    n = df.agg(F.countDistinct("step")).first()[0]
     if n < 3:
         raise ValueError("a split needs three steps")
     a = max(1, min(int(n * fractions[0] + 1e-9), n - 2))
     b = max(a + 1, min(int(n * fractions[1] + 1e-9), n - 1))
-    return df.withColumn("split", F.when(F.col("step") < steps[a], "train").when(F.col("step") < steps[b], "validation").otherwise("test"))
+    first = {r["rank"]: r["step"] for r in ranked.where(F.col("rank").isin(a, b)).collect()}
+    return df.withColumn("split", F.when(F.col("step") < first[a], "train").when(F.col("step") < first[b], "validation").otherwise("test"))
 
 
 def split_summary(df: DataFrame) -> DataFrame:
@@ -77,26 +79,17 @@ def covering_sample(df: DataFrame, key: str, features: Sequence[str], n: int, le
 
 
 def stratified_sample(df: DataFrame, keys: Sequence[str], key: str, n: int, seed: int = 42) -> DataFrame:
-    """Quotas in proportion to strata. A row's turn is its hash's rank, found by a threshold on the
-    hash and settled exactly among the rows near it."""
-    counts = {tuple(r[k] for k in keys): r["count"] for r in df.groupBy(*keys).count().collect()}
-    total = max(sum(counts.values()), 1)
+    """Quotas in proportion to strata, of which there may be any number. A row's turn is its hash's rank, found
+    by a threshold on the hash, so that a stratum of any size is ranked by few rows, and settled exactly among them."""
+    counts = df.groupBy(*keys).agg(F.count("*").alias("__n"))
+    total = max(df.count(), 1)
+    quota = F.bround(F.col("__n") * F.lit(float(n)) / total).cast("long")
+    near = F.least(F.lit(1.0), (F.col("__q") + 6 * F.sqrt(F.col("__q") + 1) + 10) / F.col("__n"))
+    strata = counts.withColumn("__q", quota).withColumn("__near", near)
     h = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
-    quota = {k: round(n * c / total) for k, c in counts.items()}
-    near = F.lit(False)
-    for k, q in quota.items():
-        share = min(1.0, (q + 6 * (q + 1) ** 0.5 + 10) / counts[k])
-        match = h <= share
-        for name, value in zip(keys, k, strict=True):
-            match = match & F.col(name).eqNullSafe(F.lit(value))
-        near = near | match
-    keep = F.lit(False)
-    for k, q in quota.items():
-        match = F.col("__rank") <= q
-        for name, value in zip(keys, k, strict=True):
-            match = match & F.col(name).eqNullSafe(F.lit(value))
-        keep = keep | match
-    return df.withColumn("__h", h).where(near).withColumn("__rank", F.row_number().over(W.partitionBy(*keys).orderBy("__h", key))).where(keep).drop("__h", "__rank")
+    some = null_safe(df.withColumn("__h", h), strata, keys).where("__h <= __near")
+    ranked = some.withColumn("__rank", F.row_number().over(W.partitionBy(*keys).orderBy("__h", key)))
+    return ranked.where("__rank <= __q").select(*df.columns)
 
 
 def weighted_sample(df: DataFrame, key: str, weight: str, n: int, seed: int = 42) -> DataFrame:

@@ -22,29 +22,35 @@ def split_by(df: DataFrame, rules: Mapping[str, Column]) -> tuple[DataFrame, Dat
     return checked.where("reason IS NULL").drop("reason"), checked.where("reason IS NOT NULL")
 
 
-def _json_kind(v: Column, key: str) -> Column:
-    """Type of a member of a JSON object, as the text has it."""
-    return F.schema_of_variant(F.try_variant_get(v, f"$.{key}", "variant"))
+NUMERIC = r"^(BIGINT|DOUBLE|DECIMAL.*)$"
+#: Members of an event, with the type that each is read as.
+MEMBERS = {"event_id": "string", "step": "bigint", "type": "string", "amount": "double", "sender": "string", "dest": "string"}
 
 
-NUMERIC = r"^(BIGINT|DOUBLE|DECIMAL.*)$"
+def parsed(df: DataFrame, raw: str) -> DataFrame:
+    """``df`` with ``__is_object``, ``__keys``, and for each member its JSON type and its value.
+
+    The text is parsed once a row. The members come out of a generator, so a filter on them isn't pushed
+    below the parse, where every rule would parse the text anew.
+    """
+    v = F.col("__v")
+    member = lambda k, t: (F.schema_of_variant(F.try_variant_get(v, f"$.{k}", "variant")).alias(f"__{k}_kind"), F.try_variant_get(v, f"$.{k}", t).alias(f"__{k}"))
+    fields = [F.coalesce(F.startswith(F.schema_of_variant(v), F.lit("OBJECT")), F.lit(False)).alias("__is_object"), F.col("__k").alias("__keys"), *[c for k, t in MEMBERS.items() for c in member(k, t)]]
+    once = df.withColumns({"__v": F.try_parse_json(F.col(raw)), "__k": F.json_object_keys(F.col(raw))})
+    return once.select(*df.columns, F.inline(F.array(F.struct(*fields))))
 
 
-def event_rules(raw: str, types: Sequence[str]) -> dict[str, Column]:
-    """Rules of a strict JSON event, in the order in which a failure is reported."""
-    v = F.try_parse_json(F.col(raw))
-    keys = F.json_object_keys(F.col(raw))
-    required = ["event_id", "step", "type", "amount", "sender", "dest"]
-    step, amount = F.try_variant_get(v, "$.step", "bigint"), F.try_variant_get(v, "$.amount", "double")
-    text = lambda k: (_json_kind(v, k) == "STRING") & (F.length(F.try_variant_get(v, f"$.{k}", "string")) > 0)
+def event_rules(types: Sequence[str]) -> dict[str, Column]:
+    """Rules of a strict JSON event over the columns of ``parsed``, in the order in which a failure is reported."""
+    text = lambda k: (F.col(f"__{k}_kind") == "STRING") & (F.length(f"__{k}") > 0)
     return {
-        "not_an_object": F.coalesce(F.startswith(F.schema_of_variant(v), F.lit("OBJECT")), F.lit(False)),
-        "label_present": ~F.arrays_overlap(keys, F.array(*map(F.lit, LABEL_KEYS))),
-        "missing_key": F.size(F.array_except(F.array(*map(F.lit, required)), keys)) == 0,
+        "not_an_object": F.col("__is_object"),
+        "label_present": ~F.arrays_overlap("__keys", F.array(*map(F.lit, LABEL_KEYS))),
+        "missing_key": F.size(F.array_except(F.array(*map(F.lit, MEMBERS)), "__keys")) == 0,
         "bad_id": text("event_id") & text("sender") & text("dest"),
-        "bad_step": (_json_kind(v, "step") == "BIGINT") & (step >= 1),
-        "unknown_type": text("type") & F.try_variant_get(v, "$.type", "string").isin(*types),
-        "bad_amount": F.rlike(_json_kind(v, "amount"), F.lit(NUMERIC)) & (amount >= 0) & (amount < float("inf")),
+        "bad_step": (F.col("__step_kind") == "BIGINT") & (F.col("__step") >= 1),
+        "unknown_type": text("type") & F.col("__type").isin(*types),
+        "bad_amount": F.rlike("__amount_kind", F.lit(NUMERIC)) & (F.col("__amount") >= 0) & (F.col("__amount") < float("inf")),
     }
 
 
@@ -53,18 +59,22 @@ def validate_events(df: DataFrame, raw: str, types: Sequence[str]) -> tuple[Data
 
     Works on streams too: both are projections of the input.
     """
-    valid, rejected = split_by(df, event_rules(raw, types))
-    v = F.try_parse_json(F.col(raw))
-    get = lambda k, t: F.try_variant_get(v, f"$.{k}", t)
-    parsed = {"event_id": get("event_id", "string"), "step": get("step", "bigint"), "type": get("type", "string"), "amount": get("amount", "double"), "sender": get("sender", "string"), "dest": get("dest", "string")}
-    return valid.withColumns(parsed), rejected.withColumn(raw, redact(raw))
+    valid, rejected = split_by(parsed(df, raw), event_rules(types))
+    return valid.select(*df.columns, *[F.col(f"__{k}").alias(k) for k in MEMBERS]), rejected.select(*df.columns, "reason").withColumn(raw, redact(raw))
 
 
 def redact(raw: str) -> Column:
-    """The JSON text with label values replaced; text that isn't a JSON object stays."""
-    members = F.from_json(F.col(raw), "map<string,string>")
-    clean = F.transform_values(members, lambda k, v: F.when(k.isin(*LABEL_KEYS), REDACTED).otherwise(v))
-    return F.when(members.isNotNull() & F.arrays_overlap(F.map_keys(members), F.array(*map(F.lit, LABEL_KEYS))), F.to_json(clean)).otherwise(F.col(raw))
+    """The text with the values of label members replaced, at any depth, whether it is whole JSON or not.
+
+    Where such a value is an object or an array, or a member's name is written with escapes, so that it
+    can't be told where the label ends, the whole text is replaced.
+    """
+    names = "|".join(LABEL_KEYS)
+    plain = F.regexp_replace(raw, rf'"({names})"\s*:\s*("(?:[^"\\]|\\.)*"|[^\s,\[\]{{}}"]+)', f'"$1":"{REDACTED}"')
+    nested = F.rlike(plain, F.lit(rf'"({names})"\s*:\s*[\[{{]'))
+    cut_off = F.rlike(plain, F.lit(rf'"({names})"\s*:\s*"(?!{REDACTED[:-1].replace("[", chr(92) + "[")})'))
+    escaped = F.rlike(F.col(raw), F.lit(r'"[^"]*\\u[^"]*"\s*:'))
+    return F.when(nested | cut_off | escaped, REDACTED).otherwise(plain)
 
 
 def prediction_rules() -> dict[str, Column]:

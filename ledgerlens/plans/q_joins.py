@@ -104,11 +104,11 @@ def prefix_invariance(spark, sf_dir):
     return jn.parity(full, part, "event_id", cols, 0.0, 1e-9).agg(F.max("n").alias("n"), F.max("n_different").alias("n_different"))
 
 
-@query(f"""WITH {EVT}, live AS (SELECT * FROM evt WHERE step >= 700 AND event_id % 7 = 0), f AS (SELECT step AS s, event_id AS i FROM live ORDER BY step, event_id LIMIT 1)
+@query(f"""WITH {EVT}, live AS (SELECT * FROM evt WHERE step >= 600 AND label = 1), f AS (SELECT step AS s, event_id AS i FROM live ORDER BY step, event_id LIMIT 1)
 SELECT event_id, step FROM evt, f WHERE (step < s OR (step = s AND event_id < i)) AND (sender IN (SELECT sender FROM live) OR dest IN (SELECT dest FROM live))""")
 def warm_up_rows(spark, sf_dir):
     e = evt(spark, sf_dir)
-    return jn.touching(e, e.where("step >= 700 AND event_id % 7 = 0")).select("event_id", "step")
+    return jn.touching(e, e.where("step >= 600 AND label = 1")).select("event_id", "step")
 
 
 @query(f"""WITH {EVT}, live AS (SELECT * FROM evt WHERE step >= 700), f AS (SELECT step AS s, event_id AS i FROM live ORDER BY step, event_id LIMIT 1)

@@ -105,14 +105,14 @@ def order_post_features(spark, sf_dir):
     return ords(spark, sf_dir).select("event_id", *[(c if n.endswith(("after", "consistent")) else F.round(c, 4)).alias(n) for n, c in cols.items()])
 
 
-@query(f"""WITH {EVT}, p AS (SELECT event_id AS probe_id, sender, step FROM evt WHERE event_id % 10 = 3)
-SELECT probe_id, p.sender, p.step, count(e.amount) AS prev_count, round(coalesce(sum(e.amount), 0), 4) AS prev_total, {cut_sql('avg(e.amount)')} AS prev_mean, max(e.amount) AS prev_max,
+@query(f"""WITH {EVT}, p AS (SELECT event_id AS probe_id, dest, step FROM evt)
+SELECT probe_id, p.dest, p.step, count(e.amount) AS prev_count, round(coalesce(sum(e.amount), 0), 4) AS prev_total, {cut_sql('avg(e.amount)')} AS prev_mean, max(e.amount) AS prev_max,
 p.step - max(e.step) AS hours_since_prev, CASE WHEN count(e.amount) > 0 THEN 'prior_transactions' ELSE 'no_prior_transactions' END AS status
-FROM p LEFT JOIN evt e ON e.sender = p.sender AND e.step <= p.step GROUP BY probe_id, p.sender, p.step""")
+FROM p LEFT JOIN evt e ON e.dest = p.dest AND e.step <= p.step GROUP BY probe_id, p.dest, p.step""")
 def history_as_of(spark, sf_dir):
     e = evt(spark, sf_dir)
-    probes = e.where("event_id % 10 = 3").select(F.col("event_id").alias("probe_id"), "sender", "step")
-    out = ft.history_as_of(e, probes)
+    probes = e.select(F.col("event_id").alias("probe_id"), "dest", "step")
+    out = ft.history_as_of(e, probes, "dest")
     return out.withColumns({"prev_total": F.round("prev_total", 4), "prev_mean": cut("prev_mean")})
 
 
