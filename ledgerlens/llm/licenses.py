@@ -46,7 +46,75 @@ TEMPLATES = [
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("CC0-1.0", "This work is dedicated to the public domain under CC0 1.0 Universal."),
     ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    (
+        "BSD",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in "
+        "the documentation and/or other materials provided with the distribution.",
+    ),
+    (
+        "BSD",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from "
+        "this software without specific prior written permission.",
+    ),
+    (
+        "BSD",
+        "This software is provided by the copyright holders and contributors \"as is\" and any express or implied warranties, including, but "
+        "not limited to, the implied warranties of merchantability and fitness for a particular purpose are disclaimed. In no event shall the "
+        "copyright holder or contributors be liable for any direct, indirect, incidental, special, exemplary, or consequential damages "
+        "(including, but not limited to, procurement of substitute goods or services; loss of use, data, or profits; or business "
+        "interruption) however caused and on any theory of liability, whether in contract, strict liability, or tort (including negligence or "
+        "otherwise) arising in any way out of the use of this software, even if advised of the possibility of such damage.",
+    ),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
+    (
+        "ISC",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that "
+        "the above copyright notice and this permission notice appear in all copies.",
+    ),
+    (
+        "ISC",
+        "The software is provided \"as is\" and the author disclaims all warranties with regard to this software including all implied "
+        "warranties of merchantability and fitness. In no event shall the author be liable for any special, direct, indirect, or consequential "
+        "damages or any damages whatsoever resulting from loss of use, data or profits, whether in an action of contract, negligence or other "
+        "tortious action, arising out of or in connection with the use or performance of this software.",
+    ),
+    (
+        "MIT",
+        "The software is provided \"as is\", without warranty of any kind, express or implied, including but not limited to the warranties of "
+        "merchantability, fitness for a particular purpose and noninfringement. In no event shall the authors or copyright holders be liable "
+        "for any claim, damages or other liability, whether in an action of contract, tort or otherwise, arising from, out of or in connection "
+        "with the software or the use or other dealings in the software.",
+    ),
+    (
+        "Apache-2.0",
+        "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You "
+        "may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in "
+        "writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, "
+        "either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+    ),
+    (
+        "MPL-2.0",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with "
+        "this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    ),
+    (
+        "Zlib",
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any "
+        "damages arising from the use of this software.",
+    ),
+    (
+        "Unlicense",
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, "
+        "or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and "
+        "by any means.",
+    ),
+    (
+        "BSL-1.0",
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying "
+        "documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, "
+        "and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so.",
+    ),
     ("Proprietary", "All rights reserved."),
 ]
 
@@ -106,17 +174,35 @@ def matches(data: np.ndarray, offsets: np.ndarray, known: Templates, least: floa
     return units[row], template[row], dice[row, template[row]]
 
 
+def cuts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where lines end, where a line without any character does, and where one without terms does (a rule, or
+    marks of a comment alone). A carriage return with its line feed is one end of line."""
+    breaks = np.zeros(len(data) + 1, bool)
+    breaks[:-1] = BREAK[data]
+    breaks[:-2] &= ~((data[:-1] == 13) & (data[1:] == 10))
+    ends = np.flatnonzero(breaks)
+    blank, bare = np.zeros_like(breaks), np.zeros_like(breaks)
+    if len(ends):
+        size = np.diff(np.r_[ends, len(data)]) - 1
+        follows = data[np.minimum(ends + 1, len(data) - 1)]
+        empty = (size == 0) | ((size == 1) & (follows == 13))
+        terms = np.concatenate(([0], np.cumsum(~IS_PUNCTUATION[data])))
+        last = np.searchsorted(ends, offsets[1:]) - 1  # the last line of a text isn't closed by a break of its own
+        closed = np.ones(len(ends), bool)
+        closed[last[(last >= 0)]] = False
+        blank[np.r_[ends[1:], len(data)][empty & closed]] = True
+        bare[ends[(np.diff(terms[np.r_[ends, len(data)]]) == 0) & closed]] = True
+    return breaks, blank, bare
+
+
 def scan_batches(batches: Iterator[pa.RecordBatch], templates: list[tuple[str, str]], least: float) -> Iterator[pa.RecordBatch]:
     known = Templates(templates)
     for batch in batches:
         for part in slices(batch, "text"):
             data, offsets = text_bytes(part.column("text"), lower=True)
             ids = part.column("doc_id").to_numpy(zero_copy_only=False)
-            breaks = np.zeros(len(data) + 1, bool)
-            breaks[:-1] = BREAK[data]
-            blank = np.zeros_like(breaks)
-            blank[1:] = breaks[1:] & breaks[:-1]
-            for kind, cut in (("line", breaks), ("paragraph", blank), ("text", np.zeros_like(breaks))):
+            breaks, blank, bare = cuts(data, offsets)
+            for kind, cut in (("line", breaks), ("paragraph", blank), ("paragraph", bare), ("text", np.zeros_like(breaks))):
                 edges = cut.copy()
                 edges[offsets] = True
                 edges = np.flatnonzero(edges)
@@ -141,7 +227,8 @@ def license_scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
     """Licences found in documents: ``doc_id, license, dice, unit, start, end``, one row for each
     document and licence with its best unit (the widest of equal ones).
 
-    Units are lines, paragraphs between blank lines and the whole text (byte offsets). Texts are
+    Units are lines, paragraphs between empty lines or lines without a word (as ``#`` alone), whatever ends a
+    line, and the whole text (byte offsets). Texts are
     normalised to lower-case terms without punctuation. Null, empty and one-word texts match
     nothing; repeated rows are scanned each and count once; further columns are ignored.
     """
