@@ -87,7 +87,8 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, batches: int
     ``group_size`` counts the rows of ``docs`` with this text.
 
     Null text counts as empty, empty texts equal each other. Rows that share text and doc_id are
-    equal: they count each and ``kept`` is the same for both. An empty table gives no rows and
+    equal: they count each and ``kept`` is the same for both. A row without a doc_id stays only where no row
+    with its text has one; keep_id is null then, and so it stays again in later calls. An empty table gives no rows and
     further columns are ignored, whatever their names.
     """
     index = index or DigestIndex(docs.sparkSession)
@@ -104,7 +105,7 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, batches: int
         "doc_id",
         "keep_id",
         "group_size",
-        (F.col("doc_id") == F.col("keep_id")).alias("kept"),
+        F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
         F.col("digest").alias("text_sha256"),
     )
 

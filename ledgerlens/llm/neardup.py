@@ -178,8 +178,8 @@ def near_dedup(docs: DataFrame, width: int = 5, percent: int = 75, id_col: str =
     that share a bucket is lost.
 
     Null, empty and blank texts have no shingles and are linked with nothing. Rows that repeat a
-    doc_id are one document with the shingles of all of them; further columns are ignored; an empty
-    table gives no rows.
+    doc_id are returned each, with the shingles of their own text, by which they are compared; what is linked
+    with either is in the component of both. Further columns are ignored; an empty table gives no rows.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     kind = "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>"

@@ -140,7 +140,7 @@ class Rows:
 
 
 def fit(text: np.ndarray, text_count: np.ndarray, label: np.ndarray, swap: np.ndarray, swap_count: np.ndarray, rounds: int = 150, decay: float = 1e-3, sparse: float = 2e-4, swap_weight: float = 5.0, least_docs: int = 3) -> tuple[np.ndarray, float]:
-    """Weights and bias that minimise log loss + decay * |w|^2 + sparse * |w| + swap_weight * mean (score change)^2.
+    """Weights and bias that minimise log loss + decay / 4 * |w|^2 + sparse * |w| + swap_weight * mean (score change)^2.
 
     ``text`` has the places of the texts one after another, ``text_count`` the number of each; ``swap``
     what each counterfactual gains (place) and loses (-1 - place). The score change is that of the

@@ -55,6 +55,12 @@ def test_exact_dedup(docs, rows, empty):
     assert exact.exact_dedup(empty).count() == 0
 
 
+def test_exact_dedup_without_ids(spark):
+    rows = [(1, "a"), (None, "A"), (None, "b"), (None, "b"), (3, None), (None, "")]
+    got = exact.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "keep_id", "group_size", "kept").collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(1, 1, 2, True), (None, 1, 2, False), (None, None, 2, True), (None, None, 2, True), (3, 3, 2, True), (None, 3, 2, False)], key=str)
+
+
 def test_digest_index_appends_only_new(spark):
     index = exact.DigestIndex(spark)
     first = spark.createDataFrame([(1, "a"), (2, "b"), (3, "A")], "doc_id long, text string")
