@@ -94,6 +94,13 @@ def suffix_number(ident: Column) -> Column:
     return F.coalesce(F.regexp_extract(ident, r"-(\d+)$", 1).try_cast("long"), F.lit(0))
 
 
+def digest_number(*columns: str | Column, seed: int | None = None) -> Column:
+    """The first 60 bits of the MD5 of the columns' texts, NULL as ``\\N`` and doubles with six decimals: a hash
+    that any other engine can reproduce, for samples and fingerprints that must be."""
+    text = [F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit("\\N")) for c in columns]
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *text, *([F.lit(str(seed))] if seed is not None else []))), 1, 15), 16, 10).cast("long")
+
+
 def skewness(x: str) -> Column:
     """Bias-corrected, as data-frame libraries report it."""
     n = F.count(x)

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.scalars import kurtosis, safe_divide, skewness
+from ledgerlens.functions.scalars import digest_number, kurtosis, safe_divide, skewness
 from ledgerlens.operators.prefix import null_safe
 from ledgerlens.operators.quantiles import column_quantiles, distinct_edges, values_of, with_quantiles
 
@@ -217,8 +217,9 @@ def duplicate_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def fingerprint(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Order-independent fingerprint of a dataset."""
-    h = F.xxhash64(*columns)
+    """Order-independent fingerprint of a dataset: its rows' digests summed and joined by exclusive or."""
+    kinds = dict(df.dtypes)
+    h = digest_number(*[F.col(c).cast("decimal(38,6)") if kinds[c] in ("double", "float") else F.col(c) for c in columns])
     return df.agg(F.count("*").alias("n_rows"), F.bit_xor(h).alias("xor_hash"), F.sum(h.cast("decimal(38,0)")).cast("string").alias("sum_hash"))
 
 

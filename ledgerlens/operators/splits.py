@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ledgerlens.functions.scalars import digest_number
 from ledgerlens.operators.prefix import null_safe, row_ids
 
 def step_table(df: DataFrame) -> DataFrame:
@@ -66,12 +67,12 @@ def first_per(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataF
 
 def hash_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """A uniform sample of ``n`` rows that depends on keys and seed only."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    return df.orderBy(digest_number(key, seed=seed), key).limit(n)
 
 
 def covering_sample(df: DataFrame, key: str, features: Sequence[str], n: int, least: int = 30, seed: int = 42) -> DataFrame:
     """``hash_sample`` and, for each feature, the first ``least`` rows by hash where it isn't NULL."""
-    h = F.xxhash64(F.col(key), F.lit(seed))
+    h = digest_number(key, seed=seed)
     pick = hash_sample(df, key, n, seed).select(key)
     for f in features:
         pick = pick.unionByName(df.where(F.col(f).isNotNull()).orderBy(h, key).limit(least).select(key))
@@ -94,5 +95,5 @@ def stratified_sample(df: DataFrame, keys: Sequence[str], key: str, n: int, seed
 
 def weighted_sample(df: DataFrame, key: str, weight: str, n: int, seed: int = 42) -> DataFrame:
     """Without replacement, in proportion to weights: the least of -ln(u) / w."""
-    u = (F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+    u = (digest_number(key, seed=seed) % (1 << 40) + 0.5) / float(1 << 40)
     return df.where(F.col(weight) > 0).orderBy(-F.ln(u) / F.col(weight), key).limit(n)

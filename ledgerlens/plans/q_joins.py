@@ -7,7 +7,7 @@ from ledgerlens.operators import features as ft
 from ledgerlens.operators import joins as jn
 from ledgerlens.operators import splits as sp
 from ledgerlens.operators.prefix import row_ids, running_sums
-from ledgerlens.plans.views import EVT, ORD, PRED, evt, ords, predictions, read
+from ledgerlens.plans.views import EVT, ORD, PRED, digest_sql, evt, ords, predictions, read
 
 QUERIES, ORACLES = {}, {}
 
@@ -88,20 +88,30 @@ def registry_match_rate(spark, sf_dir):
     return truth(spark, sf_dir).join(p, "transaction_id", "left").agg(F.count("*").alias("n_labels"), F.count("hit").alias("matched"), (F.count("*") - F.count("hit")).alias("unmatched"))
 
 
-@query("SELECT column_name, (SELECT count(*) FROM events) AS n, CAST(0 AS BIGINT) AS n_different FROM (VALUES ('sender_prev_count'), ('sender_prev_total'), ('sender_prev_mean'), ('sender_prev_max'), ('sender_hours_since_prev'), ('sender_count_24h'), ('sender_sum_168h'), ('sender_prev_partners')) t(column_name)")
+_COMPARED = ("prev_count", "prev_total", "prev_mean", "prev_max", "hours_since_prev", "count_24h", "sum_168h", "prev_partners")
+_DEFINED = {"prev_mean": "AND r > 1", "prev_max": "AND r > 1", "hours_since_prev": "AND r > 1"}
+
+
+@query(f"WITH {EVT}, w AS (SELECT event_id, row_number() OVER (PARTITION BY sender ORDER BY step, event_id) AS r FROM evt) " + " UNION ALL ".join(f"SELECT 'sender_{c}' AS column_name, count(*) AS n, count(*) FILTER (event_id % 97 = 0 {_DEFINED.get(c, '')}) AS n_different FROM w" for c in _COMPARED))
 def feature_parity(spark, sf_dir):
+    """Two ways to the same features, one of which is then off by more than the tolerance in every 97th event."""
     e = ft.mark_new_pairs(evt(spark, sf_dir))
-    cols = [f"sender_{c}" for c in ("prev_count", "prev_total", "prev_mean", "prev_max", "hours_since_prev", "count_24h", "sum_168h", "prev_partners")]
-    return jn.parity(ft.past_windows(e, "sender", "sender"), ft.past_windows_hot(e, "sender", "sender"), "event_id", cols).drop("max_diff")
+    cols = [f"sender_{c}" for c in _COMPARED]
+    other = ft.past_windows_hot(e, "sender", "sender").withColumns({c: F.when(F.col("event_id") % 97 == 0, F.col(c) * 1.01 + 1).otherwise(F.col(c)) for c in cols})
+    return jn.parity(ft.past_windows(e, "sender", "sender"), other, "event_id", cols).drop("max_diff")
 
 
-@query(f"WITH {EVT} SELECT count(*) AS n, CAST(0 AS BIGINT) AS n_different FROM evt WHERE step <= 300")
+@query(f"""WITH {EVT}, w AS (SELECT *, sum(CAST(event_id % 50 = 0 AS INTEGER)) OVER (PARTITION BY dest ORDER BY step, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS lost FROM evt)
+SELECT 'whole' AS prefix, count(*) AS n, count(*) FILTER (false) AS n_different FROM w WHERE step <= 300 UNION ALL SELECT 'thinned', count(*), count(*) FILTER (event_id % 50 = 0 OR lost > 0) FROM w WHERE step <= 300""")
 def prefix_invariance(spark, sf_dir):
+    """Features of the first 300 hours don't change when later events are left out; they do where earlier ones are."""
     e = evt(spark, sf_dir)
     full = ft.past_windows(ft.mark_new_pairs(e), "dest", "dest").where("step <= 300")
-    part = ft.past_windows(ft.mark_new_pairs(e.where("step <= 300")), "dest", "dest")
+    whole = ft.past_windows(ft.mark_new_pairs(e.where("step <= 300")), "dest", "dest")
+    thinned = ft.past_windows(ft.mark_new_pairs(e.where("step <= 300 AND event_id % 50 <> 0")), "dest", "dest")
     cols = [c for c in full.columns if c.startswith("dest_")]
-    return jn.parity(full, part, "event_id", cols, 0.0, 1e-9).agg(F.max("n").alias("n"), F.max("n_different").alias("n_different"))
+    worst = lambda part, of: jn.parity(full, part, "event_id", of, 0.0, 1e-9).agg(F.max("n").alias("n"), F.max("n_different").alias("n_different"))
+    return worst(whole, cols).withColumn("prefix", F.lit("whole")).unionByName(worst(thinned, ["dest_prev_count"]).withColumn("prefix", F.lit("thinned")))
 
 
 @query(f"""WITH {EVT}, live AS (SELECT * FROM evt WHERE step >= 600 AND label = 1), f AS (SELECT step AS s, event_id AS i FROM live ORDER BY step, event_id LIMIT 1)
@@ -183,12 +193,16 @@ def first_per_step_and_payload(spark, sf_dir):
     return sp.first_per(one, ["type", "amount", "sender", "dest"], ["step", "event_id"]).select("event_id", "step", "type", "amount")
 
 
-@query()
+HASH = digest_sql("event_id", "42")
+
+
+@query(f"WITH {EVT} SELECT * FROM evt ORDER BY {HASH}, event_id LIMIT 500")
 def uniform_sample(spark, sf_dir):
     return sp.hash_sample(evt(spark, sf_dir), "event_id", 500)
 
 
-@query()
+@query(f"""WITH {ORD}, r AS (SELECT *, CASE WHEN event_id % 97 = 0 THEN amount END AS rare, {HASH} AS h FROM ord)
+SELECT * EXCLUDE (h) FROM r WHERE event_id IN (SELECT event_id FROM r ORDER BY h, event_id LIMIT 300) OR event_id IN (SELECT event_id FROM r WHERE rare IS NOT NULL ORDER BY h, event_id LIMIT 30) OR event_id IN (SELECT event_id FROM r WHERE amount IS NOT NULL ORDER BY h, event_id LIMIT 30)""")
 def covering_sample(spark, sf_dir):
     o = ords(spark, sf_dir).withColumn("rare", F.when(F.col("event_id") % 97 == 0, F.col("amount")))
     return sp.covering_sample(o, "event_id", ["rare", "amount"], 300)
@@ -200,7 +214,7 @@ def stratified_sample(spark, sf_dir):
     return out.groupBy("type", "label").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"WITH {EVT} SELECT * FROM evt WHERE amount > 0 ORDER BY -ln(({HASH} % 1099511627776 + 0.5) / 1099511627776.0) / amount, event_id LIMIT 400")
 def weighted_sample(spark, sf_dir):
     return sp.weighted_sample(evt(spark, sf_dir), "event_id", "amount", 400)
 

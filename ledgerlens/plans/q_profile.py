@@ -9,7 +9,7 @@ from ledgerlens.operators import features as ft
 from ledgerlens.operators import joins as jn
 from ledgerlens.operators import profile as pf
 from ledgerlens.operators.quantiles import column_quantiles, with_quantiles
-from ledgerlens.plans.views import EVT, ORD, cut, cut_sql, evt, ords, read
+from ledgerlens.plans.views import EVT, ORD, cut, cut_sql, digest_sql, evt, ords, read
 
 QUERIES, ORACLES = {}, {}
 
@@ -398,13 +398,22 @@ def near_zero_variance(spark, sf_dir):
     return pf.dominant_values(ords(spark, sf_dir).where("step <= 1500"), DOM)
 
 
-@query(f"WITH {ORD} SELECT 'sender' AS left_col, 'sender_copy' AS right_col, CAST(0 AS BIGINT) AS n_different FROM ord LIMIT 1")
+TWINS = {"sender": "sender", "dest": "dest", "amount": "amount", "sender_copy": "sender", "sender_old": "sender_old", "almost": "CASE WHEN event_id = (SELECT min(event_id) FROM ord) THEN -1 ELSE dest END", "rounded": "round(amount, 2)"}
+
+
+@query(f"WITH {ORD}, t AS (SELECT {', '.join(f'{v} AS {k}' for k, v in TWINS.items())} FROM ord), p AS (" + " UNION ALL ".join(f"SELECT '{a}' AS left_col, '{b}' AS right_col, count(*) FILTER ({a} IS DISTINCT FROM {b}) AS n_different FROM t" for i, a in enumerate(TWINS) for b in list(TWINS)[i + 1 :]) + ") SELECT * FROM p WHERE n_different = 0")
 def duplicate_columns(spark, sf_dir):
-    df = ords(spark, sf_dir).withColumn("sender_copy", F.col("sender"))
-    return pf.duplicate_columns(df, ["sender", "dest", "amount", "sender_copy", "sender_old"])
+    """Equal columns among copies, one that differs in a single row, and amounts that are rounded already."""
+    o = ords(spark, sf_dir)
+    first = o.agg(F.min("event_id")).first()[0]
+    df = o.withColumns({"sender_copy": F.col("sender"), "almost": F.when(F.col("event_id") == first, F.lit(-1)).otherwise(F.col("dest")), "rounded": F.round("amount", 2)})
+    return pf.duplicate_columns(df, list(TWINS))
+
+
+_DIGEST = digest_sql(*[f"CAST({c} AS DECIMAL(38, 6))" if c == "amount" else c for c in COLS])
 
 
-@query()
+@query(f"WITH {EVT} SELECT count(*) AS n_rows, bit_xor({_DIGEST}) AS xor_hash, CAST(sum({_DIGEST}) AS VARCHAR) AS sum_hash FROM evt")
 def dataset_fingerprint(spark, sf_dir):
     return pf.fingerprint(evt(spark, sf_dir), COLS)
 

@@ -4,10 +4,11 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ledgerlens.functions.scalars import digest_number
 from ledgerlens.operators import labels as lb
 from ledgerlens.operators import rules as ru
 from ledgerlens.plans.q_streams import _sql, arriving
-from ledgerlens.plans.views import EVT, ORD, PRED, SCORES, evt, ords, predictions, read, scores
+from ledgerlens.plans.views import EVT, ORD, PRED, SCORES, digest_sql, evt, ords, predictions, read, scores
 from ledgerlens.sources.scratch import materialize, shared_dir
 from ledgerlens.streaming import history, jobs
 
@@ -111,15 +112,19 @@ def label_eligibility_by_source(spark, sf_dir):
 
 
 MEASURES = {"n_rows": "count(*)", "n_positives": "sum(label)", "id_sum": "sum(event_id)", "cents": "sum(CAST(round(amount * 100) AS BIGINT))"}
+#: The lower bits of the rows' digests, which a number of checks can hold exactly.
+_PRINT = digest_sql("event_id", "step", "type", "CAST(amount AS DECIMAL(38, 6))", "label")
+MEASURED = MEASURES | {"fingerprint": f"bit_xor({_PRINT}) % 9007199254740992"}
 
 
-@query(f"""WITH {EVT}, kept AS (SELECT * FROM evt WHERE event_id % 997 <> 5), m AS (SELECT {', '.join(f'{c} AS {k}' for k, c in MEASURES.items())} FROM evt), f AS (SELECT {', '.join(f'{c} AS {k}' for k, c in MEASURES.items())}, count(*) FILTER (type = 'signup') AS synthetic FROM kept) """
-    + " UNION ALL ".join(f"SELECT '{k}' AS \"check\", CAST(m.{k} AS DOUBLE) AS expected, CAST(f.{k} AS DOUBLE) AS found, m.{k} = f.{k} AS passed FROM m, f" for k in MEASURES)
+@query(f"""WITH {EVT}, kept AS (SELECT * FROM evt WHERE event_id % 997 <> 5), m AS (SELECT {', '.join(f'{c} AS {k}' for k, c in MEASURED.items())} FROM evt), f AS (SELECT {', '.join(f'{c} AS {k}' for k, c in MEASURED.items())}, count(*) FILTER (type = 'signup') AS synthetic FROM kept) """
+    + " UNION ALL ".join(f"SELECT '{k}' AS \"check\", CAST(m.{k} AS DOUBLE) AS expected, CAST(f.{k} AS DOUBLE) AS found, m.{k} = f.{k} AS passed FROM m, f" for k in MEASURED)
     + " UNION ALL SELECT 'synthetic', 0.0, CAST(synthetic AS DOUBLE), synthetic = 0 FROM f")
 def provenance_gate(spark, sf_dir):
     """A dataset that lost a few rows, against the manifest of the whole."""
     e = evt(spark, sf_dir)
-    measures = {k: F.expr(c) for k, c in MEASURES.items()}
+    digest = digest_number("event_id", "step", "type", F.col("amount").cast("decimal(38,6)"), "label")
+    measures = {k: F.expr(c) for k, c in MEASURES.items()} | {"fingerprint": F.bit_xor(digest) % (1 << 53)}
     return ru.provenance(e.where("event_id % 997 <> 5"), e.agg(*[m.alias(k) for k, m in measures.items()]), measures, F.col("type") == "signup")
 
 

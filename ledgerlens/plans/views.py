@@ -18,6 +18,11 @@ def cut_sql(x: str, digits: int = 4) -> str:
     return f"floor(({x}) * 1e{digits} + 0.3) / 1e{digits}"
 
 
+def digest_sql(*columns: str) -> str:
+    """``digest_number`` in SQL; doubles have to be cast to decimals by the caller."""
+    return f"CAST('0x' || substr(md5(concat_ws('|', {', '.join(f"coalesce(CAST({c} AS VARCHAR), chr(92) || 'N')" for c in columns)})), 1, 15) AS BIGINT)"
+
+
 def evt(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ledger of events: ``event_id, step, type, amount, sender, dest, label``; step is an hour from 1."""
     e = read(spark, sf_dir, "events")
