@@ -21,6 +21,8 @@ from ledgerlens.llm.vectors import LEAST, Shard, floors, grouped, kept_best, met
 BUCKET_ROWS, FOCUS, WORTH = 1_024, 5, 0.5
 #: Queries scored at once against a bucket that none of their ranges narrows.
 CHUNK = 512
+#: One shard in so many is searched first; what is found there are floors for the others.
+FIRST = 16
 #: Keeps rounding in angles from excluding a row.
 SLACK = 1e-9
 
@@ -179,6 +181,9 @@ def mine(df: DataFrame, anchors: Column, label: Column, positives: int = 5, nega
     repeat an id stand for themselves: an anchor leaves out its own row only. Fewer rows give all, an
     anchor without positives or a positive without negatives in its band gives none, an empty table none;
     other columns aren't read. A label with any share of the rows spreads over shards.
+
+    Negatives are sought in one shard of ``FIRST`` before the others: the last of the first ``negatives`` found there
+    bounds from below what the others have to send, so that doesn't grow with their number times ``negatives``.
     """
     tag = label.cast("long").alias("tag")
     rows = quantised(df.where(label.isNotNull()), id_col, vec_col, tag, F.coalesce(anchors, F.lit(False)).alias("is_anchor"))
@@ -205,6 +210,9 @@ def mine(df: DataFrame, anchors: Column, label: Column, positives: int = 5, nega
         score = np.array([[p["score"] for p in x] + [0] * (positives - len(x)) for x in each], np.int64)
         used = np.array([[True] * len(x) + [False] * (positives - len(x)) for x in each])
         low, high = np.where(used, ratio(score, least, True), 1), np.where(used, ratio(score, most, False), 0)
+        for i, known in enumerate(table["floors"].to_pylist()):
+            for place, floor in known or ():
+                low[i, place] = max(low[i, place], floor)
         wanted = Wanted(np.asarray(table["label"]), low, high, negatives, False)
         search_buckets(shard, asked_vectors(table), wanted)
         key, value, ids = wanted.found
@@ -213,7 +221,13 @@ def mine(df: DataFrame, anchors: Column, label: Column, positives: int = 5, nega
         out = [*[table[c].take(pa.array(who)) for c in ("row", "query_id")], pa.array(place, pa.int32())]
         return pa.table([*out, pa.array([p["id"] for p in took], pa.int64()), pa.array([p["score"] for p in took], pa.int64()), pa.array(ids), pa.array(value)], schema=TAKEN)
 
-    everywhere = F.explode(F.sequence(F.lit(0), F.lit(shard_count(index) - 1))).alias("shard")
-    taken = met(index, pairs.select("*", everywhere), far, TAKEN_SQL)
-    order = W.partitionBy("row", "place").orderBy(F.desc("negative_score"), "negative_id")
-    return taken.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= negatives).select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
+    def best(taken: DataFrame) -> DataFrame:
+        order = W.partitionBy("row", "place").orderBy(F.desc("negative_score"), "negative_id")
+        return taken.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= negatives)
+
+    everywhere, first = F.explode(F.sequence(F.lit(0), F.lit(shard_count(index) - 1))).alias("shard"), F.col("shard") % FIRST == 0
+    none = F.lit(None).cast("map<int, long>")
+    soon = materialize(best(met(index, pairs.withColumn("floors", none).select("*", everywhere).where(first), far, TAKEN_SQL)), "first")
+    floors = soon.where(F.col("rank") == negatives).groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("place", "negative_score"))).alias("floors"))  # one a positive
+    late = met(index, pairs.join(floors, "row", "left").select("*", everywhere).where(~first), far, TAKEN_SQL)
+    return best(soon.drop("rank").unionByName(late)).select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
