@@ -1,4 +1,12 @@
-"""The corpus pipeline: five stages, each applying one text operator to all that the last one kept."""
+"""The corpus pipeline: five stages, each applying one text operator to all that the last one kept.
+
+Every filtering stage returns rows of its input with all their columns, whatever their names, and an empty
+table gives no rows. Texts that are null, empty or blank, and texts of any length, go through each stage as its
+operator says: a null or empty text is scored as one without terms, counts as equal to other empty ones (of
+which one stays), has no near copies and no leaks, and is packed as the end token alone. Rows without a
+doc_id stay where their own text doesn't make them go. Rows that repeat a doc_id are documents of their own
+until a stage rejects one of them: rows are dropped by doc_id, so all of that id go then.
+"""
 
 from collections.abc import Callable
 
