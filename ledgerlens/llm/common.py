@@ -42,11 +42,15 @@ def materialize(df: DataFrame, name: str, folder: str = "") -> DataFrame:
 
 
 def bucketed(df: DataFrame, key: str, name: str, buckets: int, sort: bool = False) -> DataFrame:
-    """Write ``df`` once, bucketed by ``key``, so that later joins on ``key`` leave it in place."""
+    """Write ``df`` once, bucketed by ``key``, so that later joins on ``key`` leave it in place.
+
+    Rows are dealt by ``key`` first, so there is a file a bucket, not one for each task and bucket.
+    """
     spark = df.sparkSession
     table = f"{name}_{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd").option("path", f"{shared_dir(spark)}/{table}").bucketBy(buckets, key)
+    writer = df.repartition(buckets, key).write.option("compression", "zstd").option("path", f"{shared_dir(spark)}/{table}").bucketBy(buckets, key)
     (writer.sortBy(key) if sort else writer).saveAsTable(table)
+    release(spark)
     return spark.table(table)
 
 
