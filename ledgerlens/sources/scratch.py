@@ -15,7 +15,10 @@ def shared_dir(spark: SparkSession) -> str:
         return base.rstrip("/")
     if not spark.sparkContext.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return _own.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="spark-scratch-"))
+    app = spark.sparkContext.applicationId
+    if app not in _own:
+        _own[app] = tempfile.mkdtemp(prefix="spark-scratch-")
+    return _own[app]
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
