@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -44,9 +44,19 @@ def prepare(df: DataFrame, how: Prepared) -> DataFrame:
     return df.withColumns(numbers | {f"{c}__missing": F.col(c).isNull().cast("double") for c in how.marked})
 
 
-def fit(train: DataFrame, features: Sequence[str], validation: DataFrame | None = None, rounds: int = 300, depth: int = 5, step: float = 0.1, tolerance: float = 1e-5) -> tuple[PipelineModel, Prepared]:
+#: Most rows that one task of a fit holds (about 100 MB at 60 inputs), and what is dealt over up to eight tasks before.
+TASK_ROWS, FEW_ROWS = 1 << 17, 1 << 13
+
+
+def fit(
+    train: DataFrame, features: Sequence[str], validation: DataFrame | None = None, rounds: int = 300, depth: int = 5, step: float = 0.1, tolerance: float = 1e-5, key: str = "event_id"
+) -> tuple[PipelineModel, Prepared]:
     """Classes are weighted by their inverse frequency in ``train``.
 
+    Rows become vectors once and are dealt by the hash of ``key``, in its order, over as many tasks as there
+    are ``TASK_ROWS`` training rows: what a task holds doesn't grow with the table, and the model doesn't
+    depend on the files that the rows are read from.
+
     With ``validation`` rows, boosting ends at the first round that lowers their loss by less than
     ``tolerance`` of it, and keeps the trees up to the best; ``rounds`` is the most there may be.
     """
@@ -55,15 +65,16 @@ def fit(train: DataFrame, features: Sequence[str], validation: DataFrame | None
     ).first()
     floors = {c: (row[c] if row[c] is not None else 0.0) - 1.0 for c in features}
     how = Prepared(tuple(features), floors, tuple(c for c in features if row[f"{c}__nulls"]), (row["n"] - row["y"]) / max(row["y"], 1))
-    rows = train.select("label", *features, F.lit(False).alias("held_out"))
+    rows = train.select(F.col(key).alias("key"), "label", *features, F.lit(False).alias("held_out"))
     if validation is not None:
-        rows = rows.unionByName(validation.select("label", *features, F.lit(True).alias("held_out")))
-    data = _labelled(rows, how)
+        rows = rows.unionByName(validation.select(F.col(key).alias("key"), "label", *features, F.lit(True).alias("held_out")))
     assembler = VectorAssembler(inputCols=how.inputs, outputCol="features")
+    parts = max(-(-row["n"] // TASK_ROWS), min(8, -(-row["n"] // FEW_ROWS)), 1)
+    data = assembler.transform(_labelled(rows, how)).select("key", "label", "w", "held_out", "features").repartition(parts, "key").sortWithinPartitions("key")
     tree = GBTClassifier(labelCol="label", weightCol="w", maxIter=rounds, maxDepth=depth, stepSize=step, subsamplingRate=0.8, seed=42)
     if validation is not None:
         tree = tree.setValidationIndicatorCol("held_out").setParams(validationTol=tolerance)
-    return Pipeline(stages=[assembler, tree]).fit(data), how
+    return PipelineModel([assembler, tree.fit(data)]), how
 
 
 def _labelled(df: DataFrame, how: Prepared) -> DataFrame:
@@ -168,19 +179,19 @@ def counterfactuals(model: PipelineModel, how: Prepared, df: DataFrame, types: S
     """The nearest change that flips each decision: each fraction of the amount off or on it, or another type.
 
     ``derive`` makes all that depends on amount or type anew, so only rows that could exist are scored, all
-    candidates in one pass. Amounts stay at zero or above. The distance is the change of the amount relative
+    candidates in one pass; each brings its row's own decision along, and only those that flip it are shuffled. Amounts stay at zero or above. The distance is the change of the amount relative
     to it (to 1 below 1), and 1 for another type; of equal ones an amount comes before a type, a decrease
     before an increase, and types in the order given. Rows that nothing flips are left out.
     """
-    base = score(model, how, df, threshold).select("event_id", F.col("predicted").alias("was"), F.col("p").alias("p_was"))
+    base = score(model, how, df, threshold).select(*df.columns, F.col("predicted").alias("was"), F.col("p").alias("p_was"))
     change = lambda kind, turn, factor, to: F.struct(F.lit(kind).alias("kind"), F.lit(turn).alias("turn"), F.lit(float(factor)).alias("factor"), F.lit(to).cast("string").alias("to"))
     amounts = [change("amount", i, 1 + sign * f, None) for i, (f, sign) in enumerate((f, s) for f in fractions for s in (-1, 1))]
     others = [change("type", i, 1.0, t) for i, t in enumerate(types)]
-    grid = df.withColumns({"amount_was": F.col("amount"), "type_was": F.col("type")}).withColumn("change", F.explode(F.array(*amounts, *others)))
+    grid = base.withColumns({"amount_was": F.col("amount"), "type_was": F.col("type")}).withColumn("change", F.explode(F.array(*amounts, *others)))
     grid = grid.withColumns({"amount": F.greatest(F.lit(0.0), F.col("amount") * F.col("change.factor")), "type": F.coalesce("change.to", "type")})
     grid = derive(grid.where("amount <> amount_was OR type <> type_was"))
     moved = F.abs(F.col("amount") - F.col("amount_was")) / F.greatest(F.abs("amount_was"), F.lit(1.0))
     distance = F.when(F.col("change.kind") == "type", F.lit(1.0)).otherwise(moved)
-    out = score(model, how, grid, threshold).join(base, "event_id").where("predicted <> was")
+    out = score(model, how, grid, threshold).where("predicted <> was")
     best = F.min_by(F.struct("change.kind", "amount", "type", "p", distance.alias("distance")), F.struct(distance, "change.kind", "change.turn"))
     return out.groupBy("event_id", "was", "p_was").agg(best.alias("b")).select("event_id", "was", "p_was", "b.kind", "b.amount", "b.type", "b.p", "b.distance")

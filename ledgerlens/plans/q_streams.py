@@ -170,7 +170,7 @@ def _model_input(spark, sf_dir):
     depend on amount or type anew; the features' names and the types."""
     from ledgerlens.functions.scalars import amounts, one_hot, safe_divide
 
-    o = ords(spark, sf_dir)
+    o = materialize(ords(spark, sf_dir), "ledger")
     train_end = cut_steps(o)[0]
     params = ft.fit_params(o, train_end)
     kinds = one_hot("type", params.types)
@@ -180,7 +180,7 @@ def _model_input(spark, sf_dir):
         return df.withColumns(amounts(params) | ratios | kinds)
 
     features = ["amount", *AMOUNTS, *BALANCES, "step", *kinds, *[f"{r}_{h}" for r in ("sender", "dest") for h in HISTORY]]
-    rows = temporal_split(ft.build_features(o, params)).withColumn("label", _risk()).select("event_id", "label", "split", "type", *features)
+    rows = ft.build_features(temporal_split(o), params).withColumn("label", _risk()).select("event_id", "label", "split", "type", *features)
     return materialize(rows, "model-input"), derived, features, params.types
 
 

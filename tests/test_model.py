@@ -100,3 +100,21 @@ def test_counterfactuals(fitted, spark):
     for e, options in flips.items():
         _, kind, _, amount, t = min(options)
         assert (found[e]["kind"], found[e]["type"]) == (kind, t) and abs(found[e]["amount"] - amount) < 1e-9
+
+
+def test_a_fit_holds_a_bounded_number_of_rows_a_task_whatever_the_files(fitted, data, monkeypatch):
+    """The same model from rows in another order and other partitions; the rows a task reads of a fit are bounded."""
+    train, validation, model, how = fitted
+    other, _ = ml.fit(train.orderBy("amount").repartition(7), FEATURES, validation.coalesce(1), rounds=40, depth=2, step=0.3)
+    assert other.stages[-1].toDebugString.split("\n")[1:] == model.stages[-1].toDebugString.split("\n")[1:]
+    seen = []
+    monkeypatch.setattr(ml.GBTClassifier, "fit", lambda self, rows: seen.append(rows.where("NOT held_out").groupBy(F.spark_partition_id()).count().collect()) or model.stages[-1])
+    monkeypatch.setattr(ml, "TASK_ROWS", 200)
+    ml.fit(train.coalesce(1), FEATURES, validation)
+    assert len(seen[0]) == 10 and sum(r["count"] for r in seen[0]) == train.count() and max(r["count"] for r in seen[0]) < 300
+
+
+def test_counterfactuals_shuffle_only_what_flips(fitted):
+    _, validation, model, how = fitted
+    plan = ml.counterfactuals(model, how, validation.where("event_id < 120"), ["a", "b", "c"], derive)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
