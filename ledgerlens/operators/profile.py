@@ -1,6 +1,7 @@
 """Profiles, audits and rates: one pass of conditional aggregates each, results in long form."""
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from ledgerlens.functions.scalars import digest_number, kurtosis, safe_divide, skewness
 from ledgerlens.operators.prefix import null_safe
 from ledgerlens.operators.quantiles import column_quantiles, distinct_edges, values_of, with_quantiles
+from ledgerlens.sources.scratch import materialize
 
 
 def unpivot_aggs(df: DataFrame, aggs: Mapping[str, Mapping[str, Column]], keys: Sequence[str] = (), name: str = "name") -> DataFrame:
@@ -20,6 +22,22 @@ def unpivot_aggs(df: DataFrame, aggs: Mapping[str, Mapping[str, Column]], keys:
     return wide.select(*keys, F.explode(F.array(*rows)).alias("r")).select(*keys, "r.*")
 
 
+def distinct_counts(rows: DataFrame, columns: Sequence[str], name: str, count: str = "n_distinct") -> DataFrame:
+    """``(name, count)``: distinct values of each column of a written table, each column by itself.
+
+    In one aggregate every row would come once for each column, and a task's table would hold all columns' values.
+    """
+    each = [rows.agg(F.lit(c).alias(name), F.countDistinct(c).alias(count)) for c in columns]
+    return reduce(DataFrame.unionByName, each)
+
+
+def with_distinct(df: DataFrame, aggs: Mapping[str, Mapping[str, Column]], name: str, count: str = "n_distinct", also: Sequence[str] = ()) -> DataFrame:
+    """``unpivot_aggs`` with the distinct values of each row's column; only these columns, and those that the
+    aggregates use ``also``, are written first."""
+    rows = materialize(df.select(*dict.fromkeys([*aggs, *also])), "columns")
+    return F.broadcast(distinct_counts(rows, list(aggs), name, count)).join(unpivot_aggs(rows, aggs, name=name), name)  # a row a column
+
+
 def to_long(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
     """One row for each row and column: ``(*keep, feature, value)``."""
     rows = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"`{c}`").cast("double").alias("value")) for c in columns])
@@ -32,8 +50,8 @@ def pct(part: Column, whole: Column) -> Column:
 
 def overview(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Distinct values and missing cells of each column."""
-    aggs = {c: {"n_distinct": F.countDistinct(c), "n_missing": F.count_if(F.col(c).isNull()), "pct_missing": pct(F.count_if(F.col(c).isNull()), F.count("*"))} for c in columns}
-    return unpivot_aggs(df, aggs, name="column_name")
+    aggs = {c: {"n_missing": F.count_if(F.col(c).isNull()), "pct_missing": pct(F.count_if(F.col(c).isNull()), F.count("*"))} for c in columns}
+    return with_distinct(df, aggs, "column_name")
 
 
 def describe(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
@@ -225,8 +243,10 @@ def fingerprint(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def cardinality(df: DataFrame, columns: Sequence[str], low: int = 50, mid: int = 1000, approximate: bool = False) -> DataFrame:
     """Cardinality level and whether a column looks like an identifier."""
-    count = F.approx_count_distinct if approximate else F.countDistinct
-    out = unpivot_aggs(df, {c: {"n_distinct": count(c), "n": F.count("*")} for c in columns}, name="column_name")
+    if approximate:
+        out = unpivot_aggs(df, {c: {"n_distinct": F.approx_count_distinct(c), "n": F.count("*")} for c in columns}, name="column_name")
+    else:
+        out = with_distinct(df, {c: {"n": F.count("*")} for c in columns}, "column_name")
     ratio = F.col("n_distinct") / F.col("n")
     level = F.when(F.col("n_distinct") <= low, "low").when(F.col("n_distinct") <= mid, "medium").otherwise("high")
     return out.select("column_name", "n_distinct", F.round(ratio, 6).alias("ratio"), level.alias("level"), F.when(ratio > 0.5, "identifier").when(ratio > 0.05, "id-like").otherwise("feature").alias("kind"))
@@ -256,8 +276,8 @@ def full_audit(df: DataFrame, key: str, numeric: Sequence[str], rules: Mapping[s
 
 def feature_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Distinct values, corrected skewness and kurtosis, and whether a column is binary or constant."""
-    aggs = {c: {"n_unique": F.countDistinct(c), "skew": F.round(skewness(c), 3), "kurt": F.round(kurtosis(c), 3)} for c in columns}
-    out = unpivot_aggs(df, aggs, name="column_name")
+    aggs = {c: {"skew": F.round(skewness(c), 3), "kurt": F.round(kurtosis(c), 3)} for c in columns}
+    out = with_distinct(df, aggs, "column_name", "n_unique")
     return out.withColumns({"is_binary": F.col("n_unique") <= 2, "is_constant": F.col("n_unique") <= 1})
 
 

@@ -235,7 +235,7 @@ def feature_part_summary(spark, sf_dir):
 @query(f"WITH {ORD}, c AS (SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS feature, count(DISTINCT {c}) AS n_distinct, max(abs(corr)) AS top_corr FROM ord, (SELECT corr({c}, label) AS corr FROM ord) GROUP BY ALL" for c in LONG) + ")) SELECT feature, CASE WHEN feature LIKE '%new' THEN 'EXCLUDE_AFTER' WHEN n_distinct <= 1 THEN 'EXCLUDE_CONSTANT' WHEN top_corr >= 0.98 THEN 'EXCLUDE_LEAK' ELSE 'KEEP' END AS decision FROM c")
 def feature_audit(spark, sf_dir):
     o = ords(spark, sf_dir)
-    facts = pf.unpivot_aggs(o, {c: {"n_distinct": F.countDistinct(c), "corr": F.abs(F.corr(c, "label"))} for c in LONG}, name="feature")
+    facts = pf.with_distinct(o, {c: {"corr": F.abs(F.corr(c, "label"))} for c in LONG}, "feature", also=["label"])
     known = va.column_timing(o).withColumnRenamed("column_name", "feature")
     decision = F.when(F.col("known") == "after", "EXCLUDE_AFTER").when(F.col("n_distinct") <= 1, "EXCLUDE_CONSTANT").when(F.col("corr") >= 0.98, "EXCLUDE_LEAK").otherwise("KEEP")
     return facts.join(known, "feature").select("feature", decision.alias("decision"))

@@ -43,10 +43,22 @@ EVT = """evt AS (SELECT event_id, CAST(floor((epoch_us(ts) - epoch_us(TIMESTAMP
   CAST(event_type = 'error' AS INTEGER) AS label FROM events)"""
 
 
+#: Orders that a task joins, about, in tables of more than eight times as many.
+JOIN_ROWS = 1 << 18
+
+
+def dealt(orders: DataFrame, key: str = "o_orderkey") -> DataFrame:
+    """Large tables are dealt by ``key`` over a number of tasks that grows with their rows; left alone, a join's
+    partitions are put together until there is about one a core, so what a task sorts grows with the table."""
+    parts = -(-orders.count() // JOIN_ROWS)
+    return orders.repartition(max(parts, int(orders.sparkSession.conf.get("spark.sql.shuffle.partitions"))), key) if parts > 8 else orders
+
+
 def ords(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ledger of orders with balances: payer the customer, payee the least supplier of the order."""
     o, c, s = (read(spark, sf_dir, n) for n in ("orders", "customer", "supplier"))
     first = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.min("l_suppkey").alias("dest"))
+    o = dealt(o.select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority", "o_totalprice", "o_orderstatus"))
     j = o.join(first, "o_orderkey").join(c, o.o_custkey == c.c_custkey).join(s, F.col("dest") == s.s_suppkey)
     return j.select(
         F.col("o_orderkey").alias("event_id"),

@@ -108,3 +108,28 @@ def test_ranking_by_group_equals_one_at_a_time(spark):
     for m in ("a", "b"):
         one = ranking(df.where(F.col("model") == m)).first()
         assert all(abs(one[c] - both[m][c]) < 1e-9 for c in ("average_precision", "roc_auc", "brier", "n"))
+
+
+def test_distinct_counts_hold_one_column_a_task(spark):
+    """Several distinct counts don't multiply the rows, and are those of one aggregate; NULL isn't a value."""
+    from ledgerlens.operators import profile as pf
+
+    rows = [(i, float(i % 7) if i % 5 else None, None, "ab"[i % 2]) for i in range(100)]
+    df = spark.createDataFrame(rows, "id long, x double, gone double, kind string")
+    for out in (pf.overview(df, df.columns), pf.cardinality(df, df.columns), pf.feature_table(df, ["id", "x", "gone"])):
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert "Expand" not in plan
+        count = "n_unique" if "n_unique" in out.columns else "n_distinct"
+        found = {r["column_name"]: r[count] for r in out.collect()}
+        assert found == {c: n for c, n in {"id": 100, "x": 7, "gone": 0, "kind": 2}.items() if c in found} and len(found) >= 3
+
+
+def test_orders_of_a_large_table_are_joined_in_bounded_tasks(spark, sf_dir, monkeypatch):
+    """The number of tasks of the ledger's first join grows with the orders, and the rows are the same."""
+    from ledgerlens.plans import views
+
+    few = views.ords(spark, sf_dir)
+    monkeypatch.setattr(views, "JOIN_ROWS", 100)
+    many = views.ords(spark, sf_dir)
+    assert many.rdd.getNumPartitions() == -(-views.read(spark, sf_dir, "orders").count() // 100) > 8
+    assert sorted(many.collect()) == sorted(few.collect())
