@@ -194,7 +194,8 @@ def stream_warm_start(spark, sf_dir):
     """The state of the earlier events comes from a batch table; only later events go through the stream."""
     events = evt(spark, sf_dir).select("event_id", "step", "amount", "sender", "dest")
     known = materialize(history.history_state(events.where("step <= 360")), "known")
-    rows = arriving(events.where("step > 360"), lambda s: history.account_features(s, known), 3, "warm")
+    blocks = history.blocks_for(events)
+    rows = arriving(events.where("step > 360"), lambda s: history.account_features(s, known, blocks=blocks), 3, "warm")
     out = jobs.paired(rows)
     return out.select(*[F.round(c, 4).alias(c) if "total" in c or "sum" in c else F.col(c) for c in out.columns])
 

@@ -57,7 +57,8 @@ def _sql(role: str) -> str:
 @query(f"WITH {EVT} SELECT event_id, {_sql('sender')}, {_sql('dest')} FROM evt")
 def stream_account_features(spark, sf_dir):
     events = evt(spark, sf_dir).select("event_id", "step", "amount", "sender", "dest")
-    rows = arriving(events, history.account_features, 3, "ordered")
+    blocks = history.blocks_for(events)
+    rows = arriving(events, lambda s: history.account_features(s, blocks=blocks), 3, "ordered")
     out = jobs.paired(rows)
     return out.select(*[F.round(c, 4).alias(c) if "total" in c or "sum" in c else F.col(c) for c in out.columns])
 

@@ -4,9 +4,11 @@ import glob
 import os
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerlens.plans import q_rules, q_streams
 from ledgerlens.streaming import history, jobs
 
 EVENTS = "event_id long, step long, amount double, sender long, dest long"
@@ -121,6 +123,93 @@ def test_busy_account_keeps_a_bounded_state(spark, tmp_path):
     assert len(busy["hours"]) == history.LONGEST and busy["n"] == 2700 and sum(busy["counts"]) == 3 * history.LONGEST
 
 
+def test_blocks_of_accounts_equal_definition(spark, tmp_path, ledger):
+    """Several accounts to a block, among them one that is null, over three batches."""
+    rows = [(i, s, a, None if i % 11 == 0 else src, dst) for i, s, a, src, dst in ledger]
+    for part in (rows[:150], rows[150:300], rows[300:]):
+        put(spark, part, f"{tmp_path}/in", EVENTS)
+    out, query = jobs.drain(history.account_features(source(spark, f"{tmp_path}/in", EVENTS), blocks=3), f"{tmp_path}/c", f"{tmp_path}/o")
+    same(collected(out), brute(rows))
+    got = {(r["role"], r["event_id"]): r["account"] for r in out.collect()}
+    assert got == {(role, r[0]): r[k] for r in rows for role, k in (("sender", 3), ("dest", 4))}
+    assert query.recentProgress[-1]["stateOperators"][0]["numRowsTotal"] <= 6
+
+
+def test_blocks_begin_with_a_state(spark, tmp_path, ledger):
+    early, late = ledger[:250], ledger[250:]
+    known = history.history_state(spark.createDataFrame(early, EVENTS))
+    put(spark, late[:70], f"{tmp_path}/in", EVENTS)
+    put(spark, late[70:], f"{tmp_path}/in", EVENTS)
+    out, _ = jobs.drain(history.account_features(source(spark, f"{tmp_path}/in", EVENTS), known, blocks=2), f"{tmp_path}/c", f"{tmp_path}/o")
+    same(collected(out), {k: v for k, v in brute(ledger).items() if k[1] >= 250})
+
+
+def test_hours_of_a_block_leave_without_arrivals(spark, tmp_path):
+    put(spark, [(i, 1 + i % 100, 2.0, 1 + i % 2, 3) for i in range(200)], f"{tmp_path}/in", EVENTS)
+    run = lambda: jobs.drain(history.account_features(source(spark, f"{tmp_path}/in", EVENTS), late_hours=10, blocks=1), f"{tmp_path}/c", f"{tmp_path}/o")
+    state = lambda: {(r["key"]["role"], p["account"]): p for r in spark.read.format("statestore").option("stateVarName", "pasts").load(f"{tmp_path}/c").collect() for p in r["value"]["pasts"]}
+    run()
+    assert [len(state()["sender", k]["hours"]) for k in (1, 2)] == [50, 50]
+    put(spark, [(300, 290, 1.0, 8, 9)], f"{tmp_path}/in", EVENTS)
+    run()
+    held = state()
+    for k in (1, 2):
+        assert held["sender", k]["hours"] == [] and (held["sender", k]["n"], held["sender", k]["total"]) == (100, 200.0)
+    assert held["sender", 8]["hours"] == [290]  # which the block's next timer looks at
+    put(spark, [(301, 295, 5.0, 1, 9)], f"{tmp_path}/in", EVENTS)
+    rows, _ = run()
+    assert collected(rows)["sender", 301] == (100, 200.0, 2.0, 196, 0, 0.0, 0, 0.0)
+
+
+def test_frames_of_a_block():
+    """A block's rows are cut between accounts, and each account's are those of its own past."""
+
+    class Kept:
+        value = None
+
+        def get(self):
+            return self.value
+
+        def update(self, value):
+            self.value = value
+
+        def registerTimer(self, at):
+            pass
+
+    rng, block, pasts = np.random.default_rng(3), history.BlockHistory(), {}
+    block.handle = block.state = Kept()
+    block.FRAME = 50
+    for batch in range(3):
+        n = 400
+        df = pd.DataFrame({"missing": False, "account": rng.integers(0, 20, n) ** 2 // 40, "step": rng.integers(200 * batch, 200 * batch + 200, n), "event_id": np.arange(n), "amount": rng.random(n)})
+        frames = list(block.handleInputRows(("sender", 0), iter([df[:150], df[150:]]), None))
+        assert len(frames) > 2 and sum(len(f) for f in frames) == n and all(len(f) >= 50 for f in frames[:-1])
+        got = pd.concat(frames).set_index("event_id")
+        for account, part in df.sort_values(["step", "event_id"]).groupby("account"):
+            past = pasts.setdefault(account, history.Past())
+            want = past.features(part["step"].to_numpy(), part["amount"].to_numpy())
+            past.add(part["step"].to_numpy(), part["amount"].to_numpy())
+            mine = got.loc[part["event_id"]]
+            assert (mine["account"] == account).all()
+            for c, v in want.items():
+                np.testing.assert_array_equal(mine[c].to_numpy(float), v.astype(float))
+
+
+@pytest.mark.parametrize("name", ["stream_account_features", "stream_warm_start"])
+def test_account_queries_call_python_by_block(spark, sf_dir, monkeypatch, name):
+    """Rows of state, each a call in a batch, are two a block and not one an account."""
+    rows, drain = [], jobs.drain
+
+    def watched(*args):
+        out, query = drain(*args)
+        rows.extend(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress)
+        return out, query
+
+    monkeypatch.setattr(jobs, "drain", watched)
+    {**q_rules.QUERIES, **q_streams.QUERIES}[name](spark, sf_dir)
+    assert rows and 0 < max(rows) <= 2
+
+
 def test_replayed_batch_is_there_once(spark, tmp_path):
     """A crash after a batch's write, before its entry in the checkpoint: Spark writes it again, in its place."""
     for part in range(3):
