@@ -41,16 +41,16 @@ def materialize(df: DataFrame, name: str, folder: str = "") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, key: str, name: str, buckets: int, sort: bool = False, deal: Column | None = None) -> DataFrame:
+def bucketed(df: DataFrame, key: str, name: str, buckets: int, sort: bool = False, deal: Column | None = None, options: dict[str, str] | None = None) -> DataFrame:
     """Write ``df`` once, bucketed by ``key``, so that later joins on ``key`` leave it in place.
 
     Rows are dealt by ``key`` first, so there is a file a bucket, not one for each task and bucket; or by
-    ``deal``, which may spread the rows of a key that no join is on.
+    ``deal``, which may spread the rows of a key that no join is on. ``options`` are the writer's.
     """
     spark = df.sparkSession
     table = f"{name}_{uuid.uuid4().hex}"
     dealt = df.repartition(buckets, key) if deal is None else df.withColumn("__deal", deal).repartition(buckets, "__deal").drop("__deal")
-    writer = dealt.write.option("compression", "zstd").option("path", f"{shared_dir(spark)}/{table}").bucketBy(buckets, key)
+    writer = dealt.write.options(**(options or {})).option("compression", "zstd").option("path", f"{shared_dir(spark)}/{table}").bucketBy(buckets, key)
     (writer.sortBy(key) if sort else writer).saveAsTable(table)
     release(spark)
     return spark.table(table)

@@ -19,11 +19,16 @@ HOT = 256
 LOCAL = 4096
 #: Tokens and documents that a task packs at once.
 PACK_TOKENS, PACK_DOCS = 1 << 20, 60_000
+#: Tokens whose sums by document are taken at once; bytes of a row group of the tokens, and rows after which its size is
+#: first looked at. Spark reads a row group at once, so a part's rows would be held several times in one piece else.
+SUMMED, ROW_GROUP = 1 << 18, {"parquet.block.size": str(4 << 20), "parquet.page.size.row.check.min": "8"}
 #: Sweeps that come before, each with totals of its own, and draws that are averaged.
 BURN_IN, SWEEPS = 1, 3
 END, START = mix(np.array([101, 102], U))
 
-PACKED = "bucket int, keys binary, sizes binary, others binary, other binary, doc binary, docs binary, train binary"
+#: A part's tokens of a pack: numbers of keys, second words, tokens and documents, and the columns compressed as one;
+#: or, as part -1, pairs of hot words and their training counts.
+PACKED = "bucket int, head binary, data binary"
 #: What parts tell each other of their common contexts: which they are, customers (the first time) and tables;
 #: or, as stage -1, sums for all. At first contexts are known by their hashes; the answer has their places in
 #: their range, which stand for them from then on. Stage -2 is what a range keeps for itself.
@@ -56,7 +61,7 @@ def local_top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A task's most frequent words; which words are chosen changes costs, not results."""
     words, counts = np.zeros(0, U), np.zeros(0, np.int64)
     for batch in batches:
-        for part in slices(batch, "text", 1 << 22):
+        for part in slices(batch, "text", 1 << 20):
             w, c = np.unique(events(part)[0], return_counts=True)
             words, inverse = np.unique(np.concatenate((words, w)), return_inverse=True)
             counts = np.bincount(inverse, np.concatenate((counts, c)), len(words)).astype(np.int64)
@@ -78,24 +83,42 @@ def edges(buckets: int) -> np.ndarray:
     return np.arange(buckets, dtype=U) * U((1 << 64) // buckets)
 
 
-def narrow(index: np.ndarray, n: int) -> bytes:
-    """Numbers below ``n`` by place of their bytes, which compresses better."""
-    kind = np.dtype(np.uint16 if n <= 1 << 16 else np.uint32)
-    return index.astype(kind).view(np.uint8).reshape(-1, kind.itemsize).T.tobytes()
+def by_place(values: np.ndarray) -> bytes:
+    """Numbers by place of their bytes, which compresses better."""
+    return values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
 
 
-def wide(raw: bytes, n: int) -> np.ndarray:
-    kind = np.dtype(np.uint16 if n <= 1 << 16 else np.uint32)
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(kind.itemsize, -1).T).view(kind).ravel().astype(np.int64)
+def from_places(raw: np.ndarray, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
-def steps(index: np.ndarray) -> bytes:
-    """Numbers below 65,536 as differences, which are small within a frequent word."""
-    return narrow(np.diff(index.astype(np.uint16), prepend=np.uint16(0)), 1 << 16)
+def differences(values: np.ndarray) -> bytes:
+    """By place of their bytes, the steps between numbers, which are small where numbers are sorted; they wrap around."""
+    return by_place(np.diff(values, prepend=values.dtype.type(0)))
 
 
-def from_steps(raw: bytes) -> np.ndarray:
-    return np.cumsum(wide(raw, 1 << 16)) & 0xFFFF
+def from_differences(raw: np.ndarray, kind: type) -> np.ndarray:
+    return np.cumsum(from_places(raw, kind), dtype=kind)
+
+
+def index_kind(n: int) -> type:
+    return np.uint16 if n <= 1 << 16 else np.uint32
+
+
+def compressed(keys: np.ndarray, sizes: np.ndarray, others: np.ndarray, other: np.ndarray, doc: np.ndarray, docs: np.ndarray, train: np.ndarray) -> tuple[bytes, bytes]:
+    """Head and data of a row. Uncompressed, a part's rows would be held by the sort, the Arrow batch and Python at
+    once, in twice the bytes or more."""
+    data = [differences(keys), by_place(sizes), differences(others), by_place(other.astype(index_kind(len(others)))), differences(doc.astype(np.uint16)), differences(docs), train.tobytes()]
+    return np.array([len(x) for x in (keys, others, other, docs)], np.int64).tobytes(), pa.compress(b"".join(data), codec="zstd", asbytes=True)
+
+
+def decompressed(head: pa.Scalar, data: pa.Scalar) -> tuple[np.ndarray, ...]:
+    """The columns of a row, as ``compressed`` was given them."""
+    keys, others, tokens, docs = np.frombuffer(head.as_buffer(), np.int64).tolist()
+    index = index_kind(others)
+    ends = np.cumsum([8 * keys, 4 * keys, 8 * others, np.dtype(index).itemsize * tokens, 2 * tokens, 8 * docs, docs])
+    x = np.split(np.frombuffer(pa.decompress(data.as_buffer(), int(ends[-1]), codec="zstd"), np.uint8), ends[:-1])
+    return from_differences(x[0], U), from_places(x[1], np.uint32), from_differences(x[2], U), from_places(x[3], index), from_differences(x[4], np.uint16), from_differences(x[5], np.int64), x[6].astype(bool)
 
 
 def packed(batches: Iterator[pa.RecordBatch], hot: np.ndarray, hot_contexts: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
@@ -111,16 +134,12 @@ def packed(batches: Iterator[pa.RecordBatch], hot: np.ndarray, hot_contexts: np.
 
     def flush() -> pa.RecordBatch:
         words, context, doc, ids, train = (np.concatenate(x) for x in zip(*held, strict=True))
-        at, before = place_in(hot, words), place_in(hot_contexts, context)
-        rows: dict[str, list] = {k: [] for k in ("bucket", "keys", "sizes", "others", "other", "doc", "docs", "train")}
-
-        def row(*values) -> None:
-            for k, v in zip(rows, values, strict=True):
-                rows[k].append(v)
-
+        held.clear()
+        at, before = place_in(hot, words).astype(np.int32), place_in(hot_contexts, context).astype(np.int32)
         both = (at >= 0) & (before >= 0)
-        cell, n = np.unique((at * len(hot_contexts) + before)[both & train[doc]], return_counts=True)
-        row(-1, cell.astype(np.int64).tobytes(), n.astype(np.int64).tobytes(), b"", b"", b"", b"", b"")
+        use = both & train[doc]
+        cell, n = np.unique(at[use].astype(np.int64) * len(hot_contexts) + before[use], return_counts=True)
+        rows = [(-1, cell.astype(np.int64).tobytes(), n.astype(np.int64).tobytes())]
         for shift, chosen, keys, others in ((0, at < 0, words, context), (buckets, (at >= 0) & ~both, context, words)):
             use = np.flatnonzero(chosen)
             use = use[np.argsort(keys[use], kind="stable")]
@@ -132,9 +151,9 @@ def packed(batches: Iterator[pa.RecordBatch], hot: np.ndarray, hot_contexts: np.
                     sizes = np.diff(np.append(new, y - x)).astype(np.uint32)
                     seconds, other = np.unique(o[x:y], return_inverse=True)
                     used, local = np.unique(d[x:y], return_inverse=True)
-                    row(b + shift, k[x:y][new].tobytes(), sizes.tobytes(), seconds.tobytes(), narrow(other, len(seconds)), steps(local), ids[used].tobytes(), train[used].tobytes())
-        types = [pa.int32(), *[pa.binary()] * 7]
-        return pa.RecordBatch.from_pydict({k: pa.array(v, t) for (k, v), t in zip(rows.items(), types, strict=True)})
+                    rows.append((b + shift, *compressed(k[x:y][new], sizes, seconds, other, local, ids[used], train[used])))
+        columns = zip(("bucket", "head", "data"), zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)
+        return pa.RecordBatch.from_pydict({k: pa.array(v, t) for k, v, t in columns})
 
     docs = 0
     for batch in batches:
@@ -143,10 +162,10 @@ def packed(batches: Iterator[pa.RecordBatch], hot: np.ndarray, hot_contexts: np.
                 some = part.slice(at, PACK_DOCS)
                 if held and (size >= PACK_TOKENS or docs + len(some) > PACK_DOCS):
                     yield flush()
-                    held, size, docs = [], 0, 0
+                    size, docs = 0, 0
                 words, context, doc = events(some)
                 ids, train = (some.column(x).to_numpy(zero_copy_only=False) for x in ("doc_id", "train"))
-                held.append((words, context, doc + docs, ids.astype(np.int64), train.astype(bool)))
+                held.append((words, context, (doc + docs).astype(np.int32), ids.astype(np.int64), train.astype(bool)))
                 size += len(words)
                 docs += len(some)
     if held:
@@ -161,17 +180,25 @@ class Part:
     """All tokens of one part: pairs ``(first[i], second[j])``, training counts, and each token's pair and document."""
 
     def __init__(self, table: pa.Table):
-        col = {n: table.column(n).to_pylist() for n in table.schema.names}
-        read = lambda name, kind: [np.frombuffer(x, kind) for x in col[name]]
-        self.first, number = np.unique(joined(read("keys", U), U), return_inverse=True)
-        others, docs = read("others", U), read("docs", np.int64)
+        rows = [decompressed(*x) for x in zip(table.column("head"), table.column("data"), strict=True)]
+        keys, sizes, others, other, doc, docs, train = map(list, zip(*rows, strict=True)) if rows else [[]] * 7
+        del rows
+        self.first, number = np.unique(joined(keys, U), return_inverse=True)
         self.second, at = np.unique(joined(others, U), return_inverse=True)
         shifts = np.cumsum([0, *map(len, others)]), np.cumsum([0, *map(len, docs)])
-        other = joined([wide(x, len(o)) + s for x, o, s in zip(col["other"], others, shifts[0], strict=False)], np.int64)
-        self.doc = joined([from_steps(x) + s for x, s in zip(col["doc"], shifts[1], strict=False)], np.int64)
-        self.ids, train = joined(docs, np.int64), joined(read("train", bool), bool)
-        key = np.repeat(number, joined(read("sizes", np.uint32), np.uint32)) * len(self.second) + at[other]
-        key, self.pair = np.unique(key, return_inverse=True)
+        key = np.repeat(number, joined(sizes, np.uint32))
+        key *= len(self.second)
+        self.doc = np.empty(len(key), np.int32)
+        begin = 0
+        for second, text, s in zip(other, doc, zip(*shifts, strict=True), strict=False):
+            end = begin + len(text)
+            key[begin:end] += at[second + s[0]]
+            self.doc[begin:end] = text + s[1]
+            begin = end
+        del other, doc
+        self.ids, train = joined(docs, np.int64), joined(train, bool)
+        key, pair = np.unique(key, return_inverse=True)
+        self.pair = pair.astype(np.int32)
         self.i, self.j = np.divmod(key, max(len(self.second), 1))
         self.count = np.bincount(self.pair, train[self.doc], len(key)).astype(np.int64)
         self.tables = np.minimum(self.count, 1)
@@ -404,6 +431,14 @@ def unpacked_columns(raw: bytes, n: int, columns: int = len(SUMS)) -> list[np.nd
     return [np.ascontiguousarray(c.reshape(8, n).T).view("<i8").ravel() for c in np.split(data, columns)]
 
 
+def sums_by_text(doc: np.ndarray, pair: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """``whole_sums`` of each token's value, which is that of its pair, so many tokens at a time."""
+    out = np.zeros(n, np.int64)
+    for at in range(0, len(doc), SUMMED):
+        out += whole_sums(doc[at : at + SUMMED], values[pair[at : at + SUMMED]], n)
+    return out
+
+
 def document_sums(part: Part, log: np.ndarray, count: np.ndarray, s: Stage, slots: int) -> pa.Table:
     """Sums over the tokens of each document that are in this part, packed by a hash of doc_id.
 
@@ -413,9 +448,8 @@ def document_sums(part: Part, log: np.ndarray, count: np.ndarray, s: Stage, slot
     ``base``, which is negative, they have their word's count.
     """
     ids, doc = np.unique(part.ids, return_inverse=True)
-    doc, n = doc[part.doc], len(ids)
-    base, score = base_units(count, s)[part.pair], units(log, SCORE_UNIT)[part.pair]
-    found = [ids, np.bincount(doc, count[part.pair] > 0, n).astype(np.int64), whole_sums(doc, base, n), whole_sums(doc, score, n)]
+    doc, n = doc.astype(np.int32)[part.doc], len(ids)
+    found = [ids, *[sums_by_text(doc, part.pair, x, n) for x in ((count > 0).astype(np.int64), base_units(count, s), units(log, SCORE_UNIT))]]
     many = np.bincount(doc, minlength=n) > 1
     alone = ~many[doc]
     found[2][doc[alone]] = count[part.pair[alone]]
@@ -501,8 +535,8 @@ def lm_scores(docs: DataFrame, train: "F.Column", id_col: str = "doc_id", text_c
     flagged = texts.withColumn("train", train)
     buckets = partitions(docs.sparkSession)
     spread = F.when(F.col("bucket") < 0, -1 - F.spark_partition_id()).otherwise(F.col("bucket"))  # counts of hot pairs, one row a task
-    tokens = bucketed(flagged.mapInArrow(partial(packed, hot=frequent, hot_contexts=before, buckets=buckets), PACKED), "bucket", "tokens", buckets, deal=spread)
-    pairs = summed(tokens.where("bucket = -1").select("keys", "sizes"), len(frequent) * len(before), "sizes", "keys", np.int64)
+    tokens = bucketed(flagged.mapInArrow(partial(packed, hot=frequent, hot_contexts=before, buckets=buckets), PACKED), "bucket", "tokens", buckets, deal=spread, options=ROW_GROUP)
+    pairs = summed(tokens.where("bucket = -1").select("head", "data"), len(frequent) * len(before), "data", "head", np.int64)
     hot, stages = Hot(frequent, before, pairs.astype(np.int64).reshape(len(frequent), -1)), []
     to_words, to_contexts = f"bucket between 0 and {buckets - 1}", f"bucket >= {buckets}"
     words, contexts = (tokens.where(x).groupBy("bucket") for x in (to_words, to_contexts))

@@ -305,6 +305,24 @@ def test_lm_scores_are_those_of_the_model(spark, docs, rows, monkeypatch):
         assert got == {i: pytest.approx(x, rel=1e-6) for i, x in want.items()}
 
 
+def test_lm_tokens_travel_compressed(rows):
+    texts = pa.RecordBatch.from_pydict({"doc_id": [i for i, _ in rows], "text": pa.array([t for _, t in rows], pa.string()), "train": [i % 7 != 2 for i, _ in rows]})
+    hot, before = np.unique([scoring.END]), np.unique([scoring.END, scoring.START])
+    table = pa.Table.from_batches(scoring.packed(iter([texts]), hot, before, 3))
+    words, contexts, doc = scoring.events(texts)
+    ids = np.array([i for i, _ in rows])
+    want = Counter(t for t in zip(words.tolist(), contexts.tolist(), ids[doc].tolist(), strict=True) if not (t[0] in hot and t[1] in before))
+    got, plain = Counter(), 0
+    for bucket in range(6):
+        some = table.filter(pa.array([b == bucket for b in table.column("bucket").to_pylist()]))
+        part = scoring.Part(some)
+        pairs = [x[part.pair].tolist() for x in (part.first[part.i], part.second[part.j])]
+        got.update(zip(*(pairs if bucket < 3 else pairs[::-1]), part.ids[part.doc].tolist(), strict=True))
+        plain += sum(x.nbytes for r in zip(some.column("head"), some.column("data"), strict=True) for x in scoring.decompressed(*r))
+    assert got == want
+    assert table.nbytes < 0.85 * plain
+
+
 def test_lm_scores_depend_on_the_texts_alone(spark, docs):
     def scores(parts, shuffle):
         spark.conf.set("spark.sql.shuffle.partitions", shuffle)
