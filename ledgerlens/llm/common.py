@@ -64,7 +64,12 @@ def remove(spark: SparkSession, path: str) -> None:
 
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of steps whose results are written; it does so for plans that
-    have become garbage, which else happens whenever the driver's heap fills up."""
+    have become garbage, which else happens whenever the driver's heap fills up.
+
+    Spark's queues of events hold the last one, and with it the plan that just ended, until another query
+    has ended; so one without a job goes first.
+    """
+    spark.sql("SELECT 1").collect()
     gc.collect()
     spark._jvm.System.gc()
 

@@ -197,6 +197,8 @@ def repeated(docs: DataFrame, unit: str, window: int, q: int, every: int = 0) ->
     ``speaks`` marks one range of each key.
     """
     probes = docs.mapInArrow(partial(probe_batches, unit=unit, window=window, q=q, every=every), PROBE)
+    if q == window and not every:  # a probe is one window: its end needn't be sent
+        return shared(probes.drop("hi")).select("row", "lo", (F.col("lo") + 1).alias("hi"), "speaks")
     return shared(probes, bool(every)).select("row", "lo", "hi", "speaks")
 
 

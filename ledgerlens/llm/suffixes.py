@@ -145,7 +145,8 @@ def suffix_dedup(docs: DataFrame, length: int = 200, id_col: str = "doc_id", tex
     near = materialize(per_document(near, "cand"), "candidates")
     release(docs.sparkSession)
     state = parts.join(near.hint("shuffle_hash"), "row").join(whole.hint("shuffle_hash"), "row", "left")
-    single = per_document(repeated(state, "byte", length, length), "one")
+    single = materialize(per_document(repeated(state, "byte", length, length), "one"), "single")
+    release(docs.sparkSession)
     found = parts.select("row", "of", "base").join(single.hint("shuffle_hash"), "row", "left").join(whole.select("row", "done_lo", "done_hi").hint("shuffle_hash"), "row", "left")
     done = per_document(found.mapInArrow(partial(whole_runs, window=length), "row long, lo int, hi int"), "done")
     out = "doc_id long, n_bytes long, removed array<struct<start: int, end: int>>, kept binary"

@@ -2,7 +2,9 @@
 
 import hashlib
 import math
+import os
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -10,11 +12,13 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerlens.llm import counts, decontam, exact, licenses, neardup, packing, queries, scoring, substring, suffixes, toxicity
 from ledgerlens.llm import pitman_yor as hpy
-from ledgerlens.llm.common import documents
+from ledgerlens.llm.common import documents, materialize, release
 from ledgerlens.llm.components import components
+from ledgerlens.llm.repeats import repeated
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string, n int, digest string, rep long"
@@ -126,6 +130,34 @@ def test_suffix_dedup(docs, rows, empty, length):
     assert suffixes.suffix_dedup(empty, length).count() == 0
 
 
+def shuffle_files(spark):
+    top = spark.conf.get("spark.local.dir")
+    return {f for _, _, names in os.walk(top) for f in names if f.startswith("shuffle_")}
+
+
+def test_shuffle_files_of_a_written_step_go_at_once(spark):
+    release(spark)
+    before = shuffle_files(spark)
+    step = materialize(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "step")
+    assert shuffle_files(spark) - before
+    release(spark)
+    for _ in range(20):  # files are deleted a little later
+        if not shuffle_files(spark) - before:
+            break
+        time.sleep(0.25)
+    assert not shuffle_files(spark) - before
+    assert step.count() == 7
+
+
+def test_a_probe_of_one_window_is_sent_without_its_end(spark):
+    texts = spark.createDataFrame([(1, bytearray(b"abcdabce")), (2, bytearray(b"xxabc"))], "row long, text binary")
+    found = repeated(texts, "byte", 3, 3)
+    assert sorted(tuple(r) for r in found.select("row", "lo", "hi").collect()) == [(1, 0, 1), (1, 4, 5), (2, 2, 3)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    sent = plan[plan.index("Exchange") : plan.index("MapInArrow")]
+    assert "lo#" in sent and "hi#" not in sent
+
+
 def test_repeated_rows_are_documents_of_their_own(spark):
     words = " ".join(f"u{i}" for i in range(60))
     other = " ".join(f"v{i}" for i in range(60))
