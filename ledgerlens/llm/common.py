@@ -41,6 +41,13 @@ def materialize(df: DataFrame, name: str, folder: str = "") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled_step(df: DataFrame, name: str) -> DataFrame:
+    """Like ``materialize``; then the driver's garbage goes, so a chain of many small steps holds that of one."""
+    out = materialize(df, name)
+    release(out.sparkSession)
+    return out
+
+
 def bucketed(df: DataFrame, key: str, name: str, buckets: int, sort: bool = False, deal: Column | None = None, options: dict[str, str] | None = None) -> DataFrame:
     """Write ``df`` once, bucketed by ``key``, so that later joins on ``key`` leave it in place.
 

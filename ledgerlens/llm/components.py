@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import materialize
+from ledgerlens.llm.common import settled_step
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -11,7 +11,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges.select("u", "v")
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
     near = both.where("v > u") if large else both
-    moved = near.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = near.join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     if not large:
         moved = moved.unionByName(least.select("u", F.col("m").alias("v")))
     return moved.where("u <> v").distinct()
@@ -26,12 +26,13 @@ def components(edges: DataFrame) -> DataFrame:
     """``(node, component)`` for every node of ``edges (u, v)``; a component is named by its least node.
 
     Loops, repeated edges and either direction are allowed. Minima are pre-aggregated, so a node
-    with any number of neighbours is no hot spot; every round is written to the shared folder.
+    with any number of neighbours is no hot spot; every round is written to the shared folder. No join is
+    by broadcast, so rounds over few edges don't fill the driver's memory with relations.
     """
-    now = materialize(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges")
+    now = settled_step(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges")
     state = _state(now)
     while state[0]:
-        now = materialize(_star(_star(now, large=True), large=False), "edges")
+        now = settled_step(_star(_star(now, large=True), large=False), "edges")
         after = _state(now)
         if after == state:
             break

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import materialize
+from ledgerlens.llm.common import settled_step
 from ledgerlens.llm.components import components
 from ledgerlens.llm.hashing import U, Tokens, gram_hash, mix, pair_hash, placed_hash, run_hash, slices, word_tokens
 
@@ -102,25 +102,25 @@ def verified(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
 
 def merged(named: DataFrame, links: DataFrame) -> DataFrame:
     """``named (doc_id, component, central)`` after ``links (a, b)``, which join components, not documents."""
-    ends = links.join(named.select(F.col("doc_id").alias("a"), F.col("component").alias("u")), "a")
-    ends = ends.join(named.select(F.col("doc_id").alias("b"), F.col("component").alias("v")), "b").select("u", "v")
+    ends = links.join(named.select(F.col("doc_id").alias("a"), F.col("component").alias("u")).hint("merge"), "a")
+    ends = ends.join(named.select(F.col("doc_id").alias("b"), F.col("component").alias("v")).hint("merge"), "b").select("u", "v")
     moved = components(ends).select(F.col("node").alias("component"), F.col("component").alias("to"))
-    out = named.join(moved, "component", "left").select("doc_id", F.coalesce("to", "component").alias("component"), "central")
-    return materialize(out, "components")
+    out = named.join(moved.hint("merge"), "component", "left").select("doc_id", F.coalesce("to", "component").alias("component"), "central")
+    return settled_step(out, "components")
 
 
 def open_buckets(bucket: DataFrame, named: DataFrame) -> DataFrame:
     """Members of buckets that hold several components, with the bucket's largest component
     (``main``) and the most central of the documents outside it (``leader``)."""
-    rows = bucket.join(named, "doc_id")
+    rows = bucket.join(named.hint("merge"), "doc_id")
     sizes = rows.groupBy("key", "component").agg(F.count("*").alias("n"), F.max(F.struct("central", "doc_id")).alias("best"))
     main = F.max(F.struct("n", "best")).alias("m")
     several = sizes.groupBy("key").agg(F.count("*").alias("several"), main).where("several > 1")
-    others = sizes.join(several.select("key", "m"), "key").where("best <> m.best")
+    others = sizes.join(several.select("key", "m").hint("merge"), "key").where("best <> m.best")
     leader = others.groupBy("key").agg(F.max("best.doc_id").alias("any"), F.max("best").alias("best"), F.first("m.best.doc_id").alias("main_doc"), F.max("m.n").alias("n"))
     # while all are alone, the most central of all leads
     lead = leader.select("key", F.when(F.col("n") == 1, F.col("main_doc")).otherwise(F.col("best.doc_id")).alias("leader"))
-    return rows.join(lead, "key")
+    return rows.join(lead.hint("merge"), "key")
 
 
 def rare_shingles(sets: DataFrame, percent: int) -> DataFrame:
@@ -131,7 +131,7 @@ def rare_shingles(sets: DataFrame, percent: int) -> DataFrame:
     meet. Shingles of one document alone come before all others and aren't returned; ``rest`` is the
     number of shingles from this one on.
     """
-    rows = materialize(sets.select("doc_id", F.explode("shingles").alias("key")), "shingle-rows")
+    rows = settled_step(sets.select("doc_id", F.explode("shingles").alias("key")), "shingle-rows")
     often = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     shared = rows.join(often, "key")
     alone = sets.select("doc_id", F.size("shingles").alias("size"))
@@ -149,7 +149,7 @@ def across(rare: DataFrame, named: DataFrame, percent: int) -> DataFrame:
     it has from there on. That bound is applied to a member and the bucket's least size first, so
     members that can link with nothing there aren't paired at all; then to each pair.
     """
-    rows = materialize(rare.join(named.select("doc_id", "component"), "doc_id"), "rare-members")
+    rows = settled_step(rare.join(named.select("doc_id", "component"), "doc_id"), "rare-members")
     sizes = rows.groupBy("key", "component").agg(F.count("*").alias("n"), F.min("size").alias("least_size"), F.max("rest").alias("most"))
     main = F.max(F.struct("n", "component")).alias("m")
     least = sizes.groupBy("key").agg(F.count("*").alias("several"), main, F.min("least_size").alias("least_size"), F.max("most").alias("most")).where("several > 1")
@@ -183,27 +183,27 @@ def near_dedup(docs: DataFrame, width: int = 5, percent: int = 75, id_col: str =
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     kind = "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>"
-    signed = materialize(texts.mapInArrow(partial(signatures, width=width), kind), "signatures")
-    classes = materialize(signed.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")), "classes")
+    signed = settled_step(texts.mapInArrow(partial(signatures, width=width), kind), "signatures")
+    classes = settled_step(signed.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")), "classes")
     member = signed.select("doc_id", "n_shingles", "h1", "h2").join(classes, ["h1", "h2"], "left")
-    member = materialize(member.select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")), "members")
+    member = settled_step(member.select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")), "members")
     reps = signed.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    rows = materialize(reps.select("doc_id", "n_shingles", F.explode("bands").alias("key")), "band-rows")
-    shared = materialize(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
-    bucket = materialize(rows.join(shared, "key"), "bucket-members")
+    rows = settled_step(reps.select("doc_id", "n_shingles", F.explode("bands").alias("key")), "band-rows")
+    shared = settled_step(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
+    bucket = settled_step(rows.join(shared, "key"), "bucket-members")
     named = bucket.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"), F.sum("n").alias("central"))
-    named = materialize(named.withColumn("component", F.col("doc_id")), "components")
+    named = settled_step(named.withColumn("component", F.col("doc_id")), "components")
     sets = texts.join(named.select("doc_id"), "doc_id", "left_semi").mapInArrow(partial(full_sets, width=width), "doc_id long, shingles array<long>")
-    known = materialize(named.select("doc_id", "n_shingles").join(sets, "doc_id"), "shingles")
+    known = settled_step(named.select("doc_id", "n_shingles").join(sets, "doc_id"), "shingles")
     bucket, named = bucket.select("doc_id", "key"), named.select("doc_id", "component", "central")
     for _ in range(TURNS):
         near = open_buckets(bucket, named).where("doc_id <> leader")
         pairs = near.select(F.least("leader", "doc_id").alias("a"), F.greatest("leader", "doc_id").alias("b")).distinct()
-        named = merged(named, materialize(verified(pairs, known, percent), "links"))
+        named = merged(named, settled_step(verified(pairs, known, percent), "links"))
     left = open_buckets(bucket, named).select("doc_id").distinct()
     rare = rare_shingles(known.join(left, "doc_id", "left_semi"), percent)
-    cross = materialize(across(rare, named, percent), "pairs")
-    named = merged(named, materialize(verified(cross, known, percent), "links"))
+    cross = settled_step(across(rare, named, percent), "pairs")
+    named = merged(named, settled_step(verified(cross, known, percent), "links"))
     out = member.join(named.select(F.col("doc_id").alias("rep"), "component"), "rep", "left").withColumn("component_id", F.coalesce("component", "rep"))
     return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
 

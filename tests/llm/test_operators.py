@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ledgerlens.llm import counts, decontam, exact, licenses, neardup, packing, queries, scoring, substring, suffixes, toxicity
 from ledgerlens.llm import pitman_yor as hpy
 from ledgerlens.llm.common import documents, materialize, release
-from ledgerlens.llm.components import components
+from ledgerlens.llm.components import _star, components
 from ledgerlens.llm.repeats import repeated
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -158,6 +158,12 @@ def test_a_probe_of_one_window_is_sent_without_its_end(spark):
     assert "lo#" in sent and "hi#" not in sent
 
 
+def test_rounds_of_components_broadcast_nothing(spark):
+    edges = spark.createDataFrame([(2, 1), (3, 2)], "u long, v long")
+    plan = _star(_star(edges, large=True), large=False)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_repeated_rows_are_documents_of_their_own(spark):
     words = " ".join(f"u{i}" for i in range(60))
     other = " ".join(f"v{i}" for i in range(60))
